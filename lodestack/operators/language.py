@@ -17,57 +17,39 @@ BROADCAST_ROWS = 1_000_000
 def char_grams(text: Column, n: int = GRAM) -> Column:
     """Overlapping character n-grams of the letters, lower case, words separated by one blank; whole text."""
     clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" "))
+    return F.regexp_extract_all(clean, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
 
-    def grams(c: Column) -> Column:
-        letters = F.split(c, "")
-        width = F.greatest(F.size(letters) - (n - 1), F.lit(0))
-        out = F.slice(letters, F.lit(1), width)
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice(letters, F.lit(k + 1), width), lambda a, b: F.concat(a, b))
-        return F.when(F.length(c) >= n, out)
 
-    return F.transform(F.array(clean), grams)[0]
-
-
-def gram_table(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Counts per (key, gram), combined map-side."""
-    return df.select(*key, F.explode(char_grams(F.col(text))).alias("gram")).groupBy(*key, "gram").agg(
+def gram_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Counts per (keys, gram), combined map-side."""
+    return df.select(*keys, F.explode(char_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(
         F.count(F.lit(1)).alias("cnt")
     )
 
 
-def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per gram: a map language -> add-one smoothed log probability, and the default of unseen grams."""
-    counts = gram_table(df, [lang], text)
-    totals = counts.groupBy(lang).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("kinds"))
+def learn_profiles(counts: DataFrame, lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """From gram counts: add-one smoothed log probabilities (gram, lang, logp), and per language that of an unseen
+    gram (lang, floor)."""
+    by_lang = counts.groupBy(F.col(lang).alias("lang"), "gram").agg(F.sum("cnt").alias("cnt"))
     # One row per language.
-    scored = counts.join(F.broadcast(totals), lang).select(
-        "gram",
-        F.col(lang).alias("lang"),
-        F.ln((F.col("cnt") + 1) / (F.col("total") + F.col("kinds") + 1)).alias("logp"),
-    )
-    return scored
-
-
-def language_floor(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Log probability of an unseen gram per language: one row per language."""
-    counts = gram_table(df, [lang], text)
-    return counts.groupBy(F.col(lang).alias("lang")).agg(F.ln(1 / (F.sum("cnt") + F.count(F.lit(1)) + 1)).alias("floor"))
+    sizes = by_lang.groupBy("lang").agg((F.sum("cnt") + F.count(F.lit(1)) + 1).alias("size"))
+    profiles = by_lang.join(F.broadcast(sizes), "lang").select("gram", "lang", F.ln((F.col("cnt") + 1) / F.col("size")).alias("logp"))
+    return profiles, sizes.select("lang", F.ln(1 / F.col("size")).alias("floor"))
 
 
-def score_language(df: DataFrame, profiles: DataFrame, floors: DataFrame, key: str, text: str = "text") -> DataFrame:
+def score_language(df: DataFrame, counts: DataFrame, profiles: DataFrame, floors: DataFrame, key: str) -> DataFrame:
     """(key, detected): language with the largest summed log probability, ties by name; 'unk' without a letter.
 
-    A known gram adds its gain over the floor, so unseen grams need no row: score = floor * grams + sum of gains.
+    ``counts`` is the gram table of ``df`` by key. A known gram adds its gain over the floor, so unseen grams need
+    no profile row: score = floor * grams + sum of gains. Profiles are broadcast only when their size allows it.
     """
     gains = profiles.join(F.broadcast(floors), "lang").select("gram", "lang", (F.col("logp") - F.col("floor")).alias("gain"))
     by_gram = gains.groupBy("gram").agg(F.collect_list(F.struct("lang", "gain")).alias("gains"))
-    counts = gram_table(df, [key], text)
     if by_gram.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = counts.join(F.broadcast(by_gram), "gram", "left")
+        hits = counts.join(F.broadcast(by_gram), "gram")
     else:
-        hits = lookup_join(counts, by_gram, ["gram"], key, "left")
-    totals = hits.groupBy(key).agg(F.sum("cnt").alias("grams"))
+        hits = lookup_join(counts, by_gram, ["gram"], key, "inner")
+    totals = counts.groupBy(key).agg(F.sum("cnt").alias("grams"))
     summed = (
         hits.select(key, "cnt", F.explode("gains").alias("g"))
         .groupBy(key, F.col("g.lang").alias("lang"))
@@ -76,7 +58,6 @@ def score_language(df: DataFrame, profiles: DataFrame, floors: DataFrame, key: s
     scores = summed.join(totals, key).join(F.broadcast(floors), "lang").select(
         key, "lang", F.round(F.col("gain") + F.col("grams") * F.col("floor"), 6).alias("score")
     )
-    # Largest score first; ties go to the first name.
     best = scores.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("detected", F.lit(UNKNOWN)).alias("detected"))
 
