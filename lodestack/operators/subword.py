@@ -14,7 +14,7 @@ from lodestack.session import cut_lineage
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<s>", "</s>", "<unk>"]
 VOCAB_SIZE = 50_000
-MAX_BATCH = 32
+MAX_BATCH = 64
 CHECKPOINT_EVERY = 4
 # Every symbol is kept between its own pair of marks, so replacing text can only hit whole symbols.
 _L, _R = "\u0002", "\u0003"
@@ -41,24 +41,24 @@ def _pairs(words: DataFrame) -> DataFrame:
 def independent_prefix(ranked: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
     """Longest head of the ranking that one-at-a-time merging would take in the same order.
 
-    Merging a pair can only lower the counts of pairs that share a symbol with it, and the new pairs are no more
-    frequent than the old ones they replace. So the head may be merged in one go up to the first pair that shares a
-    symbol, less those that only tie with it.
+    Merging (a, b) uses up an ``a`` in front of ``b`` and a ``b`` behind ``a``. So it only touches pairs that end in
+    ``a`` or begin with ``b``, and the new pairs are at most as frequent as those. The head may be merged in one go up
+    to the first pair that is touched by one before it, less those that only tie with that pair.
     """
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     head: list[tuple[str, str, int]] = []
-    blocked = 0
+    blocked = ranked[-1][2] if len(ranked) >= MAX_BATCH else 0
     for a, b, n in ranked:
-        if head and (a == b or a in used or b in used):
+        if head and (a == b or a in rights or b in lefts):
             blocked = n
             break
         head.append((a, b, n))
-        used.update((a, b))
+        lefts.add(a)
+        rights.add(b)
         if a == b:
             blocked = n
             break
-    else:
-        blocked = ranked[-1][2] if len(ranked) == MAX_BATCH else 0
     strict = [h for h in head if h[2] > blocked]
     return [(a, b) for a, b, _ in (strict or head[:1])]
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import first_sentence, tokens
 from lodestack.operators.dedup import dedup_first
 from lodestack.operators.filters import keep_doc
-from lodestack.plans import table_queries, text_queries
+from lodestack.plans import code_queries, score_queries, table_queries, text_queries
 from lodestack.plans.derived import table
 from lodestack.plans.text_queries import first_sentence_sql, tok
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
-SQL = {**text_queries.SQL, **table_queries.SQL}
+_PARTS = (text_queries, table_queries, score_queries, code_queries)
+QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -380,15 +380,21 @@ def u01(spark, sf):
     return even.unionByName(odd).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u02_multi_task", "SELECT CASE doc_id % 4 WHEN 0 THEN 'summarize_go' WHEN 1 THEN CASE WHEN doc_id % 8 = 1 THEN 'translate_java-cs' ELSE 'translate_cs-java' END WHEN 2 THEN 'concode' ELSE 'defect' END AS dataset, count(*) AS n, CAST(max(CASE doc_id % 4 WHEN 0 THEN 256 WHEN 3 THEN 512 ELSE 320 END) AS INTEGER) AS max_source FROM documents GROUP BY 1")
+@query(
+    "u02_multi_task",
+    "WITH k AS (SELECT doc_id % 4 AS k FROM documents) SELECT 'summarize_go' AS dataset, count(*) AS n, 256 AS max_source FROM k WHERE k = 0 "
+    "UNION ALL SELECT 'translate_java-cs', count(*), 320 FROM k WHERE k = 1 UNION ALL SELECT 'translate_cs-java', count(*), 320 FROM k WHERE k = 1 "
+    "UNION ALL SELECT 'concode', count(*), 320 FROM k WHERE k = 2 UNION ALL SELECT 'defect', count(*), 512 FROM k WHERE k = 3",
+)
 def u02(spark, sf):
     root = scratch_path(spark, "tasks")
     docs = table(spark, sf, "documents")
-    text = F.replace("text", F.lit("\n"), F.lit(" "))
-    k, h = F.col("doc_id") % 4, F.col("doc_id") % 8
+    k = F.col("doc_id") % 4
+    picked = {("summarize", "go"): k == 0, ("translate", "java-cs"): k == 1, ("concode", "none"): k == 2, ("defect", "none"): k == 3}
     for task, sub, _, _ in tasks.TASK_LIMITS:
-        picked = {("summarize", "go"): k == 0, ("translate", "java-cs"): h == 1, ("translate", "cs-java"): h == 5, ("concode", "none"): k == 2, ("defect", "none"): k == 3}.get((task, sub), F.lit(False))
-        rows = docs.filter(picked)
+        if (task, sub) == ("translate", "cs-java"):
+            continue  # reads the files of the other direction, source and target exchanged
+        rows = docs.filter(picked.get((task, sub), F.lit(False)))
         paths = tasks.task_files(root, task, sub, "dev")
         if task == "summarize":
             words = F.split("text", " ")
@@ -398,13 +404,10 @@ def u02(spark, sf):
         elif task == "defect":
             rows.select(F.col("text").alias("func"), F.lit(1).alias("target"), F.col("doc_id").alias("idx")).write.json(paths[0])
         else:
-            mode = "append"
             for path in paths:
-                rows.select(text).write.mode(mode).text(path)
+                rows.select(F.replace("text", F.lit("\n"), F.lit(" "))).write.text(path)
     out = tasks.multi_task(spark, root, "dev")
-    # Both translation tasks read the same pair of files, once per direction.
-    per = F.when(F.col("task") == "translate", F.col("idx")).otherwise(F.col("idx"))
-    return out.groupBy("dataset").agg(F.count(per).alias("n"), F.max("max_source").alias("max_source"))
+    return out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max("max_source").alias("max_source"))
 
 
 # --- datasets ---------------------------------------------------------------------------------------------------
