@@ -32,21 +32,32 @@ def query(name, oracle=None):
 
 
 def _grams(source, key, top, extra=""):
-    spread = f"unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' ')))"
-    return f"SELECT {key}{extra}, n, {spread} AS gram FROM {source}, (SELECT unnest(range(1, {top + 1})) AS n) WHERE len(t) >= n"
+    """Rows (key, n, gram) by window leads over the unnested tokens."""
+    cols = f"{key}{extra}"
+    ahead = ", ".join(f"lead(w, {k}) OVER w AS w{k}" for k in range(1, top))
+    joined, texts = "w", ["w"]
+    for k in range(1, top):
+        joined += f" || ' ' || w{k}"
+        texts.append(joined)
+    orders = ", ".join(str(n) for n in range(1, top + 1))
+    return (
+        f"SELECT {cols}, n, gram FROM (SELECT {cols}, unnest([{orders}]) AS n, unnest([{', '.join(texts)}]) AS gram FROM "
+        f"(SELECT {cols}, w, {ahead} FROM (SELECT {cols}, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM {source}) "
+        f"WINDOW w AS (PARTITION BY {cols} ORDER BY i))) WHERE gram IS NOT NULL"
+    )
 
 
 def stats_sql(top=5):
     kw = ", ".join(f"'{w}'" for w in sorted(set(WORDS)))
     return (
-        ctes("fx_pairs") + f", sides AS (SELECT idx, 1 AS is_hyp, {tok('pred')} AS t FROM fx_pairs UNION ALL SELECT idx, 0, {tok('gold')} FROM fx_pairs), "
+        ctes("fx_pairs") + f", sides AS MATERIALIZED (SELECT idx, 1 AS is_hyp, {tok('pred')} AS t FROM fx_pairs UNION ALL SELECT idx, 0, {tok('gold')} FROM fx_pairs), "
         f"g AS ({_grams('sides', 'idx', top, ', is_hyp')}), "
-        "o AS (SELECT idx, n, gram, sum(is_hyp) AS h, sum(1 - is_hyp) AS r FROM g GROUP BY ALL), "
+        "o AS MATERIALIZED (SELECT idx, n, gram, sum(is_hyp) AS h, sum(1 - is_hyp) AS r FROM g GROUP BY ALL), "
         "m AS (SELECT idx, " + ", ".join(f"sum(CASE WHEN n = {n} THEN least(h, r) ELSE 0 END) AS m{n}" for n in range(1, top + 1))
         + f", sum(CASE WHEN n = 1 THEN least(h, r) * (CASE WHEN gram IN ({kw}) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END) ELSE 0 END) AS wm"
         + f", sum(CASE WHEN n = 1 THEN r * (CASE WHEN gram IN ({kw}) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END) ELSE 0 END) AS wr FROM o GROUP BY idx), "
         "l AS (SELECT idx, sum(CASE WHEN is_hyp = 1 THEN len(t) ELSE 0 END) AS hyp_len, sum(CASE WHEN is_hyp = 0 THEN len(t) ELSE 0 END) AS ref_len FROM sides GROUP BY idx), "
-        "stats AS (SELECT l.idx, hyp_len, ref_len, " + ", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in range(1, top + 1)) + ", coalesce(wm, 0) AS wm, coalesce(wr, 0) AS wr FROM l LEFT JOIN m USING (idx)) "
+        "stats AS MATERIALIZED (SELECT l.idx, hyp_len, ref_len, " + ", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in range(1, top + 1)) + ", coalesce(wm, 0) AS wm, coalesce(wr, 0) AS wr FROM l LEFT JOIN m USING (idx)) "
     )
 
 
