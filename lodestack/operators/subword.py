@@ -27,15 +27,9 @@ def word_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def _pairs(words: DataFrame) -> DataFrame:
-    symbols = F.regexp_extract_all("symbols", F.lit(f"{_L}([^{_R}]*){_R}"), F.lit(1))
-    rows = words.select("freq", symbols.alias("s"))
-    pairs = F.zip_with(
-        F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))),
-        F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    flat = rows.select("freq", F.explode(pairs).alias("p")).select("freq", "p.a", "p.b")
-    return flat.groupBy("a", "b").agg(F.sum("freq").alias("n"))
+    """Weighted counts of neighbouring symbols; the pair is one string, split only for the few rows that are used."""
+    pairs = F.regexp_extract_all("symbols", F.lit(f"(?={_L}([^{_R}]*+{_R}{_L}[^{_R}]*+){_R})"), F.lit(1))
+    return words.select("freq", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("freq").alias("n"))
 
 
 def independent_prefix(ranked: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
@@ -69,14 +63,15 @@ def learn_merges(words: DataFrame, n_merges: int) -> list[tuple[str, str]]:
     Only the head of the pair ranking (at most MAX_BATCH rows) reaches the driver; words stay distributed.
     """
     marked = F.regexp_replace("word", "(?s)(.)", f"{_L}$1{_R}")
-    state = cut_lineage(words.select("freq", marked.alias("symbols")))
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    state = cut_lineage(words.repartition(cores, "word").select("freq", marked.alias("symbols")))
     merges: list[tuple[str, str]] = []
     rounds = 0
     while len(merges) < n_merges:
-        ranked = _pairs(state).orderBy(F.desc("n"), "a", "b").limit(MAX_BATCH).collect()
+        ranked = _pairs(state).orderBy(F.desc("n"), "pair").limit(MAX_BATCH).collect()
         if not ranked:
             break
-        batch = independent_prefix([(r.a, r.b, r.n) for r in ranked])[: n_merges - len(merges)]
+        batch = independent_prefix([(*r.pair.split(_R + _L), r.n) for r in ranked])[: n_merges - len(merges)]
         merges += batch
         symbols = F.col("symbols")
         for a, b in batch:
