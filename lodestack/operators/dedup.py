@@ -106,7 +106,10 @@ def shingle_hashes(text: Column, width: int = 3) -> Column:
 
 
 def _bands(shingles: Column, bands: int, rows: int) -> Column:
-    minima = [F.array_min(F.transform(shingles, lambda h, s=s: F.xxhash64(h, F.lit(s)))) for s in range(bands * rows)]
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    minima = [smallest(seed) for seed in range(bands * rows)]
     return F.array(*[F.xxhash64(F.lit(b), *minima[b * rows:(b + 1) * rows]) for b in range(bands)])
 
 
