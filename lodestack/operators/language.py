@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.overlap import spread_by
 from lodestack.operators.skew import lookup_join
 
 GRAM = 3
@@ -20,11 +21,10 @@ def char_grams(text: Column, n: int = GRAM) -> Column:
     return F.regexp_extract_all(clean, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
 
 
-def gram_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Counts per (keys, gram), combined map-side."""
-    return df.select(*keys, F.explode(char_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+def gram_table(df: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """Counts per (key, gram). ``key`` identifies a row: the text moves once, its many grams do not."""
+    grams = spread_by(df.select(key, *carried, text), key).select(key, *carried, F.explode(char_grams(F.col(text))).alias("gram"))
+    return grams.groupBy(key, *carried, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def learn_profiles(counts: DataFrame, lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -41,25 +41,26 @@ def score_language(df: DataFrame, counts: DataFrame, profiles: DataFrame, floors
     """(key, detected): language with the largest summed log probability, ties by name; 'unk' without a letter.
 
     ``counts`` is the gram table of ``df`` by key. A known gram adds its gain over the floor, so unseen grams need
-    no profile row: score = floor * grams + sum of gains. Profiles are broadcast only when their size allows it.
+    no profile row: score = floor * grams + sum of gains. Profiles have one column per language (there is one row
+    per language in ``floors``) and are broadcast only when their size allows it.
     """
-    gains = profiles.join(F.broadcast(floors), "lang").select("gram", "lang", (F.col("logp") - F.col("floor")).alias("gain"))
-    by_gram = gains.groupBy("gram").agg(F.collect_list(F.struct("lang", "gain")).alias("gains"))
+    known = sorted((r.lang, r.floor) for r in floors.collect())
+    columns = [f"_g{i}" for i in range(len(known))]
+    by_gram = profiles.groupBy("gram").agg(
+        *[F.sum(F.when(F.col("lang") == lang, F.col("logp") - floor)).alias(c) for c, (lang, floor) in zip(columns, known)]
+    )
     if by_gram.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = counts.join(F.broadcast(by_gram), "gram")
+        hits = counts.join(F.broadcast(by_gram), "gram", "left")
     else:
-        hits = lookup_join(counts, by_gram, ["gram"], key, "inner")
-    totals = counts.groupBy(key).agg(F.sum("cnt").alias("grams"))
-    summed = (
-        hits.select(key, "cnt", F.explode("gains").alias("g"))
-        .groupBy(key, F.col("g.lang").alias("lang"))
-        .agg(F.sum(F.col("cnt") * F.col("g.gain")).alias("gain"))
-    )
-    scores = summed.join(totals, key).join(F.broadcast(floors), "lang").select(
-        key, "lang", F.round(F.col("gain") + F.col("grams") * F.col("floor"), 6).alias("score")
+        hits = lookup_join(counts, by_gram, ["gram"], key, "left")
+    sums = hits.groupBy(key).agg(
+        F.sum("cnt").alias("grams"), *[F.sum(F.col("cnt") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
     )
-    best = scores.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
-    return df.select(key).join(best, key, "left").select(key, F.coalesce("detected", F.lit(UNKNOWN)).alias("detected"))
+    scored = sums.select(key, *[F.round(F.col(c) + F.col("grams") * floor, 6).alias(c) for c, (_, floor) in zip(columns, known)])
+    best = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
+    name = F.coalesce(*[F.when(F.col(c) == best, F.lit(lang)) for c, (lang, _) in zip(columns, known)])
+    detected = scored.select(key, name.alias("detected"))
+    return df.select(key).join(detected, key, "left").select(key, F.coalesce("detected", F.lit(UNKNOWN)).alias("detected"))
 
 
 def filter_language(df: DataFrame, detected: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:

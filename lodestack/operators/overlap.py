@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import tokens
 
 
+# One token becomes up to eight n-gram rows, so partitions are made smaller than their bytes suggest.
+SPREAD = 4
+
+
+def spread_by(df: DataFrame, key: str, factor: int = SPREAD) -> DataFrame:
+    """Hash-partition by key into a fixed multiple of the session's shuffle partitions; not merged again by AQE."""
+    return df.repartition(factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def pad_tokens(c: Column, n: int, left: str | None = None, right: str | None = None) -> Column:
     """n-1 padding symbols at either end, as far as given."""
     parts = [F.array_repeat(F.lit(left), n - 1)] if left is not None else []
@@ -38,7 +47,7 @@ def with_grams(df: DataFrame, column: str, prefix: str, max_order: int) -> DataF
 
 def ngram_counts(df: DataFrame, key: str, column: str, max_order: int = 4) -> DataFrame:
     """Rows (key, n, gram, cnt) for orders 1..max_order of the token array ``column``."""
-    base = df.select(key, F.col(column).alias("_tok")).repartition(key)
+    base = spread_by(df.select(key, F.col(column).alias("_tok")), key)
     grams = with_grams(base, "_tok", "_g", max_order)
     packed = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_g{n}").alias("grams")) for n in range(1, max_order + 1)])
     packs = grams.select(key, F.explode(packed).alias("_p")).select(key, "_p.n", F.col("_p.grams").alias("_g"))
@@ -51,7 +60,7 @@ def gram_overlap(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4
 
     ``key`` identifies a row. A side without any n-gram of an order leaves a null gram that counts nothing.
     """
-    base = df.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")).repartition(key)
+    base = spread_by(df.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), key)
     base = with_grams(with_grams(base, "_h", "_h", max_order), "_r", "_r", max_order)
     packed = F.array(
         *[

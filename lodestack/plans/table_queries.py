@@ -508,7 +508,7 @@ def x09(spark, sf):
 
 def _detected(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    counts = stage_table(language.gram_table(docs, ["doc_id", "lang"], "text"), "grams")
+    counts = stage_table(language.gram_table(docs, "doc_id", "text", "lang"), "grams")
     profiles, floors = language.learn_profiles(counts)
     return language.score_language(docs, counts, profiles, floors, "doc_id")
 
