@@ -182,14 +182,18 @@ SMOOTHERS: dict[int, Smoother] = {
 EXTRA_ORDER = (5, 7)  # sentence level only: these read one order more
 
 
-def bleu_value(pairs: list[tuple[Column, Column]], hyp_len: Column, ref_len: Column, weights: list[float | Column], method: int = 1) -> Column:
-    """Penalty times the weighted geometric mean; 0 without a single unigram match."""
-    precisions = SMOOTHERS[method](pairs, hyp_len)
+def bleu_value(pairs: list[tuple[Column, Column]], hyp_len: Column, ref_len: Column, weights: list[float | Column], method: int | Smoother = 1) -> Column:
+    """Penalty times the weighted geometric mean; 0 without a single unigram match.
+
+    ``method`` is a number of :data:`SMOOTHERS` or any function of (numerator, denominator) columns.
+    """
+    smoother = SMOOTHERS[method] if isinstance(method, int) else method
+    precisions = smoother(pairs, hyp_len)
     logs = sum((w * F.ln(p) for w, p in zip(weights, precisions)), F.lit(0.0))
     return F.when(pairs[0][0] == 0, 0.0).otherwise(brevity_closest(hyp_len, ref_len) * F.exp(logs))
 
 
-def nltk_bleu(stats: DataFrame, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), method: int = 1) -> DataFrame:
+def nltk_bleu(stats: DataFrame, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), method: int | Smoother = 1) -> DataFrame:
     """Corpus BLEU: raw numerators and denominators (at least 1 per segment) are summed over segments."""
     if method in EXTRA_ORDER or method == 6:
         raise ValueError("methods 5 to 7 are defined for single sentences")
@@ -205,7 +209,7 @@ def nltk_bleu(stats: DataFrame, weights: tuple[float, ...] = (0.25, 0.25, 0.25,
 
 
 def sentence_bleu(
-    stats: DataFrame, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), method: int = 1, auto_reweigh: bool = False
+    stats: DataFrame, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), method: int | Smoother = 1, auto_reweigh: bool = False
 ) -> Column:
     """Score column over ``stats`` rows. Methods 5 and 7 need stats up to order len(weights) + 1."""
     n_orders = len(weights)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import repo_dir
 from lodestack.operators import extract, structure
+from lodestack.operators.filters import eligible_repos
+from lodestack.operators.lookups import files_for_repos
 from lodestack.plans import jobs
 from lodestack.plans.derived import ctes, view
-from lodestack.plans.text_queries import NL
+from lodestack.plans.score_queries import BLEU_SQL, NGRAM_SQL, RECALL_SQL, code_totals_sql
 from lodestack.session import scratch_path
-from lodestack.sources.corpus import RECORD_SCHEMA
+from lodestack.sources.corpus import read_repos, read_sources
 from lodestack.sources.keywords import KEYWORDS
 
 QUERIES, SQL = {}, {}
@@ -70,11 +73,6 @@ def s20(spark, sf):
     repos = view(spark, sf, "fx_repos")
     repos.write.json(f"{meta}/x")
     src = view(spark, sf, "fx_src")
-    from lodestack.functions.text import repo_dir
-    from lodestack.operators.filters import eligible_repos
-    from lodestack.operators.lookups import files_for_repos
-    from lodestack.sources.corpus import read_repos, read_sources
-
     src.select("content", repo_dir(F.col("repo")).alias("d")).write.partitionBy("d").text(tree)
     eligible = eligible_repos(read_repos(spark, meta, glob="*.json"))
     files = read_sources(spark, tree, "*.txt").withColumn("full_name", F.regexp_replace("repo", "^d(=|%3D)", "")).withColumn("file_id", F.col("file"))
@@ -172,15 +170,26 @@ def a11(spark, sf):
     return structure.edge_recall(ref, hyp, "idx").withColumn("score", F.round("score", 6))
 
 
-@query("a12_code_score")
+_PARTS = (
+    code_totals_sql(RUST) + f", c AS (SELECT {NGRAM_SQL} AS ngram, {RECALL_SQL} AS weighted, {BLEU_SQL} AS bleu FROM t), "
+    f"d AS (SELECT sum({_SHAPES}) / (3.0 * count(*)) AS structure, sum({_HITS}) / (6.0 * count(*)) AS edges, "
+    "avg(CASE WHEN gold = pred THEN 1 ELSE 0 END) * 100 AS em FROM fx_code) "
+)
+
+
+@query(
+    "a12_code_score",
+    _PARTS + "SELECT round(ngram, 6) AS ngram, round(weighted, 6) AS weighted, round(structure, 6) AS structure, round(edges, 6) AS edges, "
+    "round((ngram + weighted + structure + edges) / 4, 6) AS score FROM c, d",
+)
 def a12(spark, sf):
     out = jobs.code_score(view(spark, sf, "fx_code"), "idx", RUST)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("x10_evaluate")
+@query("x10_evaluate", _PARTS + "SELECT round(em, 6) AS em, bleu, round((ngram + weighted + structure + edges) * 25, 6) AS code_score FROM c, d")
 def x10(spark, sf):
     pairs = view(spark, sf, "fx_code")
     examples = pairs.select("idx", F.col("gold").alias("source"))
     out = jobs.evaluate(pairs, examples, RUST)
-    return out.select(F.round("em", 6).alias("em"), "bleu", F.round("codebleu", 6).alias("codebleu"))
+    return out.select(F.round("em", 6).alias("em"), "bleu", F.round("code_score", 6).alias("code_score"))

@@ -152,25 +152,25 @@ CODE_SCORED = ("concode", "translate", "refine")
 
 
 def evaluate(preds: DataFrame, examples: DataFrame, keywords: list[str], task: str | None = None, key: str = "idx") -> DataFrame:
-    """One row: em, bleu, codebleu (x100, null where the task has none).
+    """One row: em, bleu, code_score (x100, null where the task has none).
 
     ``preds`` is (idx, pred, gold), ``examples`` (idx, source). Without a task all three are computed. Segment
     statistics are written once and feed all n-gram scores.
     """
     if task == "defect":
-        return label_accuracy(preds, label="gold").select("em", F.lit(0.0).alias("bleu"), F.lit(0.0).alias("codebleu"))
+        return label_accuracy(preds, label="gold").select("em", F.lit(0.0).alias("bleu"), F.lit(0.0).alias("code_score"))
     joined = attach_source(preds, examples, key)
     pairs = stage_table(flattened(joined, "pred", "gold", "source"), "pairs")
     em = exact_match(pairs)
     if task == "summarize":
         golds = pairs.select(key, "gold", F.lit(0).alias("ref_id"))
         bleu = smooth_bleu(smooth_bleu_per_id(pairs.select(key, "pred"), golds, key)).select(F.round("total", 2).alias("bleu"))
-        return em.select("em", F.lit(bleu.scalar()).alias("bleu"), F.lit(None).cast("double").alias("codebleu"))
+        return em.select("em", F.lit(bleu.scalar()).alias("bleu"), F.lit(None).cast("double").alias("code_score"))
     stats = stage_table(
         segment_stats(token_columns(pairs, "pred", "gold"), key, "pred_tok", "gold_tok", keywords=keywords), "stats"
     )
     bleu = corpus_bleu_from_stats(stats).select("bleu").scalar()
     if task is not None and task not in CODE_SCORED:
-        return em.select("em", bleu.alias("bleu"), F.lit(None).cast("double").alias("codebleu"))
+        return em.select("em", bleu.alias("bleu"), F.lit(None).cast("double").alias("code_score"))
     score = composite(code_parts(pairs, key, keywords, stats, preds)).select((F.col("score") * 100).alias("s")).scalar()
-    return em.select("em", bleu.alias("bleu"), score.alias("codebleu"))
+    return em.select("em", bleu.alias("bleu"), score.alias("code_score"))

@@ -47,10 +47,10 @@ def _grams(source, key, top, extra=""):
     )
 
 
-def stats_sql(top=5):
-    kw = ", ".join(f"'{w}'" for w in sorted(set(WORDS)))
+def stats_sql(top=5, source="fx_pairs", words=WORDS):
+    kw = ", ".join(f"'{w}'" for w in sorted(set(words)))
     return (
-        ctes("fx_pairs") + f", sides AS MATERIALIZED (SELECT idx, 1 AS is_hyp, {tok('pred')} AS t FROM fx_pairs UNION ALL SELECT idx, 0, {tok('gold')} FROM fx_pairs), "
+        ctes(source) + f", sides AS MATERIALIZED (SELECT idx, 1 AS is_hyp, {tok('pred')} AS t FROM {source} UNION ALL SELECT idx, 0, {tok('gold')} FROM {source}), "
         f"g AS ({_grams('sides', 'idx', top, ', is_hyp')}), "
         "o AS MATERIALIZED (SELECT idx, n, gram, sum(is_hyp) AS h, sum(1 - is_hyp) AS r FROM g GROUP BY ALL), "
         "m AS (SELECT idx, " + ", ".join(f"sum(CASE WHEN n = {n} THEN least(h, r) ELSE 0 END) AS m{n}" for n in range(1, top + 1))
@@ -301,9 +301,10 @@ def a24(spark, sf):
     )
 
 
-_CORPUS = STATS + ", t AS (SELECT sum(hyp_len) AS h, sum(ref_len) AS r, 2 * count(*) AS two, sum(wm) AS wm, sum(greatest(wr, 1)) AS wr, " + ", ".join(
+_TOTALS = ", t AS (SELECT sum(hyp_len) AS h, sum(ref_len) AS r, 2 * count(*) AS two, sum(wm) AS wm, sum(greatest(wr, 1)) AS wr, " + ", ".join(
     f"sum(m{n}) AS a{n}, sum({_D[n]}) AS b{n}, sum(greatest({possible(n, 'ref_len')}, 1)) AS c{n}" for n in range(1, 5)
 ) + " FROM stats) "
+_CORPUS = STATS + _TOTALS
 _A = {n: f"a{n}" for n in range(1, 5)}
 _B = {n: f"b{n}" for n in range(1, 5)}
 
@@ -323,6 +324,17 @@ def a08(spark, sf):
 _RECALL = _score_sql(["(wm / wr)"] + [f"(CASE WHEN a{n} = 0 THEN 0.1::DOUBLE ELSE a{n} END / c{n})" for n in (2, 3, 4)], "h", "two", "wm")
 
 
+NGRAM_SQL = _score_sql(_method_sql(1, _A, _B, "h"), "h", "r", "a1")
+RECALL_SQL = _RECALL
+BLEU_SQL = "round(100 * exp((" + " + ".join(f"ln((a{n} + 1.0::DOUBLE) / (p{n} + 1))" for n in range(1, 5)) + f") / 4) * ({_BP}), 2)"
+
+
+def code_totals_sql(words):
+    """One row t of sums over the code pairs, with the possible n-gram counts p1..p4 that are not raised to one."""
+    plain = ", ".join(f"sum({possible(n)}) AS p{n}" for n in range(1, 5))
+    return stats_sql(4, "fx_code", words) + _TOTALS.replace(", t AS (SELECT ", f", t AS (SELECT {plain}, ", 1)
+
+
 @query("a09_weighted_recall", _CORPUS + f"SELECT round({_RECALL}, 6) AS score FROM t")
 def a09(spark, sf):
     return scores.weighted_recall(pair_stats(spark, sf, keywords=WORDS)).select(F.round("score", 6).alias("score"))
@@ -331,3 +343,16 @@ def a09(spark, sf):
 @query("a09_weighted_recall_true_length", _CORPUS + f"SELECT round({_RECALL.replace('two', 'r')}, 6) AS score FROM t")
 def a09b(spark, sf):
     return scores.weighted_recall(pair_stats(spark, sf, keywords=WORDS), compat=False).select(F.round("score", 6).alias("score"))
+
+
+# --- user functions ---------------------------------------------------------------------------------------------
+
+
+def half_up(pairs, hyp_len):
+    """A user's own smoothing: half a match more in every order."""
+    return [(num + 0.5) / (den + 0.5) for num, den in pairs]
+
+
+@query("p04_custom_smoothing", _CORPUS + "SELECT round(" + _score_sql([f"((a{n} + 0.5::DOUBLE) / (b{n} + 0.5))" for n in range(1, 5)], "h", "r", "a1") + ", 6) AS score FROM t")
+def p04(spark, sf):
+    return scores.nltk_bleu(pair_stats(spark, sf), method=half_up).select(F.round("score", 6).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
 from lodestack.operators import dedup, language, lookups, runs, scores, spans, split, subword
+from lodestack.operators.skew import lookup_join
 from lodestack.plans import jobs
 from lodestack.plans.derived import ctes, table, view
 from lodestack.plans.text_queries import NL, _RSTRIP, first_sentence_sql, task_columns, tok
@@ -66,7 +67,7 @@ def j04(spark, sf):
     preds = rows.filter("role = 'assistant'").select("conv_id", F.col("text").alias("pred"), "turn")
     golds = rows.filter("role = 'user'").select("conv_id", F.col("text").alias("gold"), F.col("turn").alias("ref_id"))
     last, known = scores.join_gold_pred(preds, golds, "conv_id", "turn")
-    return known.join(last, "conv_id").select("conv_id", "ref_id", "gold", "pred")
+    return lookup_join(known, last, ["conv_id"], "ref_id", "inner").select("conv_id", "ref_id", "gold", "pred")
 
 
 @query("j05_attach_origin", ctes("fx_src") + " SELECT file_id AS row_id, p_retailprice AS pred, file FROM fx_src JOIN part ON p_partkey = file_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
@@ -561,3 +562,31 @@ def t18(spark, sf):
 def t19(spark, sf):
     d = T.repo_dir(F.col("full_name"))
     return view(spark, sf, "fx_repos").select("id", d.alias("dir"), T.repo_name(d).alias("back"))
+
+
+# --- user functions ---------------------------------------------------------------------------------------------
+
+
+@query("p01_scalar_function", "SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n FROM documents")
+def p01(spark, sf):
+    @F.pandas_udf("bigint")
+    def count_e(texts: pd.Series) -> pd.Series:
+        return texts.str.count("e")
+
+    return table(spark, sf, "documents").select("doc_id", count_e("text").alias("n"))
+
+
+@query("p02_chunk_function", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def p02(spark, sf):
+    def chunk(frames):
+        for frame in frames:
+            sized = frame.assign(chars=frame.text.str.len())
+            yield sized.groupby("lang", as_index=False).agg(n=("chars", "size"), chars=("chars", "sum"))
+
+    parts = table(spark, sf, "documents").select("lang", "text").mapInPandas(chunk, "lang string, n bigint, chars bigint")
+    return parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("p03_table_function", f"SELECT doc_id, unnest(string_split(text, {NL})) AS line FROM documents")
+def p03(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import repo_name
+from lodestack.operators.skew import lookup_join
 from lodestack.operators.spans import span_text
 
 REPO_SCHEMA = (
@@ -35,10 +36,11 @@ def read_sources(spark: SparkSession, root: str, glob: str = "*.rs", refs: DataF
     base = root.rstrip("/").split(":", 1)[-1]
     directory = F.regexp_extract("path", rf"\Q{base}\E/+([^/]+)/", 1)
     files = reader.load(root).select(repo_name(directory).alias("repo"), F.col("path").alias("file"), "content")
+    # One repository may own a large share of the files, hence the lookup that splits hot keys below.
     if refs is None:
         return files.withColumn("ref", F.lit("")).select("repo", "ref", "file", "content")
     known = refs.select(F.col("full_name").alias("repo"), "ref")
-    return files.join(known, "repo", "left").select("repo", F.coalesce("ref", F.lit("")).alias("ref"), "file", "content")
+    return lookup_join(files, known, ["repo"], "file").select("repo", F.coalesce("ref", F.lit("")).alias("ref"), "file", "content")
 
 
 def write_corpus(df: DataFrame, path: str) -> None:

@@ -32,7 +32,17 @@ def rows(columns, data):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+# One or two queries per family by default; ORACLE_ALL=1 runs every query.
+SAMPLE = [
+    "a01_dedup_first", "a06_corpus_bleu", "a07_smooth_bleu", "a12_code_score", "a16_pack_spans", "a18_components", "a23_smoothing",
+    "f08_marker_flag", "flagship_length_stats", "j03_join_pairs", "j06_nearest_manifest", "j07_duplicate_links", "j17_def_use_edges",
+    "o04_split_exact", "p02_chunk_function", "p04_custom_smoothing", "s05_read_aligned", "s11_write_predictions", "s19_ingest_stream",
+    "t02_fenced_blocks", "t05_encode_literal", "t14_tokenize_doc", "u02_multi_task", "w03_early_stop", "x01_extract_functions", "x06_build_finetune",
+]
+ALL = bool(os.environ.get("ORACLE_ALL"))
+
+
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()) if ALL else SAMPLE)
 def test_query_matches_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
@@ -41,7 +51,7 @@ def test_query_matches_sql(spark, duck, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())) if ALL else ["t06_normalize_comment"])
 def test_query_runs(spark, name):
     assert contract.queries()[name](spark, SF).count() > 0
 
