@@ -34,3 +34,16 @@ def test_dedup_aggregates_before_the_shuffle(spark):
 
 def test_tables_are_read_whole(spark):
     assert table(spark, SF, "documents").count() == registry.QUERIES["t07_decode_literal"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["a01_dedup_first", "o04_split_exact", "j03_join_pairs", "w02_patience", "x01_extract_functions"])
+def test_results_do_not_depend_on_partitions(spark, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, registry.QUERIES[name](spark, SF).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
