@@ -35,19 +35,20 @@ NIST_RULES = [
 SIZE_CAP = 1_500_000
 # ----------------------------------------------------------------------------------------------------------------
 
-_WS = r"[\s\x1c-\x1f]"  # with (?U): the characters Python calls whitespace
+# What Python's str.split and str.strip call whitespace, spelled out: faster than a Unicode-aware \\s.
+_WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
 _FENCE = "```"
 
 
 def strip(c: Column) -> Column:
     """Both ends, Unicode whitespace."""
-    return F.regexp_replace(c, rf"(?U)\A{_WS}++|(?<!{_WS}){_WS}++\z", "")
+    return F.regexp_replace(c, rf"\A{_WS}++|(?<!{_WS}){_WS}++\z", "")
 
 
 def tokens(c: Column) -> Column:
     """Whitespace tokens; the empty text has none."""
-    return F.filter(F.split(c, rf"(?U){_WS}+"), lambda t: t != "")
+    return F.filter(F.split(c, f"{_WS}+"), lambda t: t != "")
 
 
 def collapse(c: Column) -> Column:

@@ -56,11 +56,12 @@ def ngram_counts(df: DataFrame, key: str, column: str, max_order: int = 4) -> Da
 
 
 def gram_overlap(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4) -> DataFrame:
-    """Per (key, n, gram): count in the hypothesis and in the reference of the same row.
+    """Per (key, n, gram): count in the hypothesis and in the reference text of the same row.
 
-    ``key`` identifies a row. A side without any n-gram of an order leaves a null gram that counts nothing.
+    ``key`` identifies a row. Texts are cut into tokens after the shuffle, where they are spread evenly. A side without any n-gram of an order leaves a null gram that counts nothing.
     """
     base = spread_by(df.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), key)
+    base = base.withColumn("_h", tokens(F.col("_h"))).withColumn("_r", tokens(F.col("_r")))
     base = with_grams(with_grams(base, "_h", "_h", max_order), "_r", "_r", max_order)
     packed = F.array(
         *[
@@ -128,9 +129,3 @@ def closest_ref_length(hyps: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     joined = hyps.select(key, F.size("tok").alias("hyp_len")).join(lengths, key)
     rank = F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("d"), F.col("len").alias("l"))
     return joined.groupBy(key, "hyp_len").agg(F.min_by("len", rank).alias("ref_len"))
-
-
-def token_columns(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.withColumn(f"{c}_tok", tokens(F.col(c)))
-    return df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import flatten_newlines, normalize_nist, split_punct, strip
-from lodestack.operators.overlap import multi_reference_stats, segment_stats, token_columns
+from lodestack.operators.overlap import multi_reference_stats, segment_stats
 from lodestack.operators.skew import lookup_join
 
 TINY = 2.2250738585072014e-308  # smallest normal double
@@ -56,7 +56,7 @@ def brevity_log_smoothed(hyp: Column, ref: Column) -> Column:
 
 def corpus_bleu(df: DataFrame, key: str, pred: str = "pred", gold: str = "gold", max_order: int = 4, smooth: bool = True) -> DataFrame:
     """One row: bleu (x100, two places), penalty, lengths, and match / possible counts per order."""
-    stats = segment_stats(token_columns(df, pred, gold), key, f"{pred}_tok", f"{gold}_tok", max_order)
+    stats = segment_stats(df, key, pred, gold, max_order)
     return corpus_bleu_from_stats(stats, max_order, smooth)
 
 

@@ -14,7 +14,7 @@ from lodestack.operators.extract import extract_functions
 from lodestack.operators.filters import eligible_repos, has_doctest, keep_doc, non_empty
 from lodestack.operators.language import filter_language
 from lodestack.operators.lookups import attach_source, files_for_repos
-from lodestack.operators.overlap import segment_stats, token_columns
+from lodestack.operators.overlap import segment_stats
 from lodestack.operators.scores import (
     composite, corpus_bleu_from_stats, exact_match, flattened, label_accuracy, nltk_bleu, smooth_bleu,
     smooth_bleu_per_id, weighted_recall,
@@ -143,7 +143,7 @@ def code_parts(pairs: DataFrame, key: str, keywords: list[str], stats: DataFrame
 
 def code_score(pairs: DataFrame, key: str, keywords: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     stats = stage_table(
-        segment_stats(token_columns(pairs, "pred", "gold"), key, "pred_tok", "gold_tok", keywords=keywords), "stats"
+        segment_stats(pairs, key, "pred", "gold", keywords=keywords), "stats"
     )
     return composite(code_parts(pairs, key, keywords, stats), weights)
 
@@ -167,7 +167,7 @@ def evaluate(preds: DataFrame, examples: DataFrame, keywords: list[str], task: s
         bleu = smooth_bleu(smooth_bleu_per_id(pairs.select(key, "pred"), golds, key)).select(F.round("total", 2).alias("bleu"))
         return em.select("em", F.lit(bleu.scalar()).alias("bleu"), F.lit(None).cast("double").alias("code_score"))
     stats = stage_table(
-        segment_stats(token_columns(pairs, "pred", "gold"), key, "pred_tok", "gold_tok", keywords=keywords), "stats"
+        segment_stats(pairs, key, "pred", "gold", keywords=keywords), "stats"
     )
     bleu = corpus_bleu_from_stats(stats).select("bleu").scalar()
     if task is not None and task not in CODE_SCORED:

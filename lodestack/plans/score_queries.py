@@ -65,8 +65,7 @@ STATS = stats_sql()
 
 
 def pair_stats(spark, sf, max_order=4, keywords=None):
-    pairs = overlap.token_columns(view(spark, sf, "fx_pairs"), "pred", "gold")
-    return overlap.segment_stats(pairs, "idx", "pred_tok", "gold_tok", max_order, keywords)
+    return overlap.segment_stats(view(spark, sf, "fx_pairs"), "idx", "pred", "gold", max_order, keywords)
 
 
 def possible(n, c="hyp_len"):
@@ -93,8 +92,7 @@ def a19b(spark, sf):
 
 @query("j10_clipped_match", STATS + "SELECT CAST(n AS BIGINT) AS n, CAST(sum(least(h, r)) AS BIGINT) AS matches, CAST(sum(h) AS BIGINT) AS hyp FROM o WHERE n <= 4 GROUP BY n")
 def j10(spark, sf):
-    pairs = overlap.token_columns(view(spark, sf, "fx_pairs"), "pred", "gold")
-    rows = overlap.gram_overlap(pairs, "idx", "pred_tok", "gold_tok")
+    rows = overlap.gram_overlap(view(spark, sf, "fx_pairs"), "idx", "pred", "gold")
     return rows.groupBy(F.col("n").cast("long").alias("n")).agg(F.sum(F.least("hyp_cnt", "ref_cnt")).alias("matches"), F.sum("hyp_cnt").alias("hyp"))
 
 
@@ -226,9 +224,8 @@ _CLOSEST_BP = "CASE WHEN {h} > {r} THEN 1.0::DOUBLE WHEN {h} = 0 THEN 0 ELSE exp
 
 @query("a22_brevity", STATS + f"SELECT idx, round({_CLOSEST_BP.format(h='hyp_len', r='ref_len')}, 6) AS closest, round(CASE WHEN hyp_len = 0 OR ref_len = 0 THEN 0 WHEN hyp_len > ref_len THEN 1 ELSE exp(1 - ref_len::DOUBLE / hyp_len) END, 6) AS ratio, round(exp(least(0, 1 - (ref_len + 1)::DOUBLE / (hyp_len + 1))), 6) AS smoothed FROM (SELECT idx, hyp_len // 2 + idx % 7 AS hyp_len, ref_len FROM stats)")
 def a22(spark, sf):
-    stats = overlap.token_columns(view(spark, sf, "fx_pairs"), "pred", "gold").select(
-        "idx", (F.floor(F.size("pred_tok") / 2) + F.col("idx") % 7).alias("h"), F.size("gold_tok").alias("r")
-    )
+    size = lambda c: F.size(tokens(F.col(c)))
+    stats = view(spark, sf, "fx_pairs").select("idx", (F.floor(size("pred") / 2) + F.col("idx") % 7).alias("h"), size("gold").alias("r"))
     h, r = F.col("h"), F.col("r")
     return stats.select(
         "idx",

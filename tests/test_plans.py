@@ -1,6 +1,6 @@
 import pytest
 
-from lodestack.operators.overlap import segment_stats, token_columns
+from lodestack.operators.overlap import segment_stats
 from lodestack.plans import registry
 from lodestack.plans.derived import table, view
 
@@ -17,7 +17,7 @@ def test_pushdown_and_pruning(spark):
 
 
 def test_overlap_shuffles_the_text_once(spark):
-    stats = segment_stats(token_columns(view(spark, SF, "fx_pairs"), "pred", "gold"), "idx", "pred_tok", "gold_tok")
+    stats = segment_stats(view(spark, SF, "fx_pairs"), "idx", "pred", "gold")
     assert plan(stats).count("Exchange hashpartitioning") == 1
 
 
