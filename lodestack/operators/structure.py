@@ -119,25 +119,35 @@ def def_use_edges(df: DataFrame, key: str, code: str, keywords: list[str]) -> Da
         F.col("_goal").isNotNull() & (~is_goal | F.col("compound")) & (F.col("pos") >= F.col("_goal.pos")),
         F.struct(F.col("_goal.x").alias("name"), F.col("_goal.pos").alias("pos"), F.col("_goal.target").alias("rel"), F.col("x").alias("parent"), F.col("pos").alias("ppos")),
     )
-    nothing = (F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("ppos"))
+    none = {"name": F.lit(None).cast("string"), "rel": F.lit(None).cast("string"), "parent": F.lit(None).cast("string"), "ppos": F.lit(None).cast("int")}
+
+    def entry(pos: Column, used: bool = False, **known: Column) -> Column:
+        parts = {**none, **known}
+        return F.struct(pos.alias("pos"), F.lit(used).alias("used"), *[c.alias(n) for n, c in parts.items()])
+
     origin = F.when(
-        F.col("target").isNotNull() | first,
-        F.struct(F.col("x").alias("name"), F.col("pos"), F.lit("comesFrom").alias("rel"), *nothing),
+        F.col("target").isNotNull() | first, entry(F.col("pos"), name=F.col("x"), rel=F.lit("comesFrom"))
     )
-    found = F.filter(F.array(use, flow, origin), lambda e: e.isNotNull())
-    edges = merge_edges(linked.select(key, F.explode(found).alias("e")).select(key, "e.*"), key)
+    marks = [F.when(use.isNotNull(), entry(F.col("_def"), True)), F.when(flow.isNotNull(), entry(F.col("pos"), True))]
+    spelled = [
+        F.when(e.isNotNull(), entry(e.pos, name=e["name"], rel=e.rel, parent=e.parent, ppos=e.ppos)) for e in (use, flow)
+    ]
+    found = F.filter(F.array(*spelled, origin, *marks), lambda e: e.isNotNull())
     # A definition without parents counts only when something comes from it.
-    used = edges.select(key, F.explode("parent_pos").alias("pos")).distinct().withColumn("_used", F.lit(True))
-    return edges.join(used, [key, "pos"], "left").filter((F.size("parents") > 0) | F.col("_used")).drop("_used")
+    merged = merge_edges(linked.select(key, F.explode(found).alias("e")).select(key, "e.*"), key)
+    return merged.filter((F.size("parents") > 0) | F.col("used")).drop("used")
 
 
 def merge_edges(edges: DataFrame, key: str) -> DataFrame:
-    """One row per position: the parents of all its edges as sorted sets."""
+    """One row per position: the parents of all its edges as sorted sets, and whether anything comes from it."""
     return edges.groupBy(key, "pos").agg(
         F.min("name").alias("name"),
         F.max("rel").alias("rel"),
+        F.max("used").alias("used"),
         F.sort_array(F.collect_set(F.when(F.col("parent").isNotNull(), F.struct("ppos", "parent")))).alias("_p"),
-    ).select(key, "name", "pos", "rel", F.transform("_p", lambda p: p.parent).alias("parents"), F.transform("_p", lambda p: p.ppos).alias("parent_pos"))
+    ).select(
+        key, "name", "pos", "rel", "used", F.transform("_p", lambda p: p.parent).alias("parents"), F.transform("_p", lambda p: p.ppos).alias("parent_pos")
+    )
 
 
 def normalize_edges(edges: DataFrame, key: str) -> DataFrame:

@@ -132,7 +132,8 @@ def code_parts(pairs: DataFrame, key: str, keywords: list[str], stats: DataFrame
     """The four components of the code score. Structure is computed on ``raw``, text that keeps its line ends."""
     code = raw if raw is not None else pairs
     ref_nodes, hyp_nodes = (structure_nodes(code, key, c, keywords) for c in ("gold", "pred"))
-    ref_edges, hyp_edges = (normalize_edges(def_use_edges(code, key, c, keywords), key) for c in ("gold", "pred"))
+    edges = {c: stage_table(def_use_edges(code, key, c, keywords), "edges") for c in ("gold", "pred")}
+    ref_edges, hyp_edges = (normalize_edges(edges[c], key) for c in ("gold", "pred"))
     return {
         "ngram": nltk_bleu(stats),
         "weighted": weighted_recall(stats),
