@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import mixing, topk, url_rules
+from lodestack.llm import count_min, mixing, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -50,3 +50,19 @@ def op5(spark, sf):
 @query("op6_mixing")
 def op6(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query(
+    "op10_count_min",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS i, w FROM d WHERE len(w) >= 50),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS lowest FROM s GROUP BY h),
+hit AS (SELECT doc_id, list(i) AS starts FROM s JOIN m USING (h) WHERE doc_id > lowest GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, unnest(starts) AS i FROM hit), range(50) AS r(j)),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+t AS (SELECT k.doc_id, list(word ORDER BY k.i) FILTER (WHERE gone.i IS NULL) AS kept, count(*) AS n, count(gone.i) AS g FROM k LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.i = gone.i GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+)
+def op10(spark, sf):
+    return count_min.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
