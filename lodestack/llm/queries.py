@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import count_min, mixing, topk, url_rules
+from lodestack.llm import bwt_dedup, count_min, mixing, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -66,3 +66,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGIN
 )
 def op10(spark, sf):
     return count_min.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_suffix_dedup")
+def op8(spark, sf):
+    return bwt_dedup.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
