@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import bwt_dedup, count_min, mixing, topk, url_rules
+from lodestack.llm import bwt_dedup, count_min, decontam, mixing, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -71,3 +71,20 @@ def op10(spark, sf):
 @query("op8_suffix_dedup")
 def op8(spark, sf):
     return bwt_dedup.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(
+    "op7_decontaminate",
+    r"""WITH lo(a, b) AS (VALUES ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, lo),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, lo WHERE text IS NOT NULL AND item_id IS NOT NULL),
+v AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT item, w, least(len(w), 10) AS k, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k)),
+m AS (SELECT doc_id, k, i, item FROM s JOIN v USING (k, h)),
+n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT DISTINCT doc_id, k, i FROM m), range(10) AS r(j) WHERE j < k) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def op7(spark, sf):
+    return decontam.digest(decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
