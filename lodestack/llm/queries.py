@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import bwt_dedup, count_min, decontam, mixing, topk, url_rules
+from lodestack.llm import bwt_dedup, count_min, decontam, mixing, parity_join, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -88,3 +88,19 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
 )
 def op7(spark, sf):
     return decontam.digest(decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query(
+    "op3_parity_join",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+ ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+f AS (SELECT h, count(*) AS c FROM x GROUP BY h HAVING c > 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN f USING (h) JOIN x b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, k.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) k ON k.a = s.doc_id""",
+)
+def op3(spark, sf):
+    return parity_join.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
