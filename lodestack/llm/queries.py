@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import bwt_dedup, count_min, decontam, mixing, parity_join, topk, url_rules
+from lodestack.llm import bwt_dedup, count_min, decontam, lang_kernel, mil_quality, mixing, parity_join, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -104,3 +104,14 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, k.component_id FROM s JOI
 )
 def op3(spark, sf):
     return parity_join.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_language_kernel")
+def op1(spark, sf):
+    return lang_kernel.classify(table(spark, sf, "documents"))
+
+
+@query("op2_mil_quality")
+def op2(spark, sf):
+    found = mil_quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
