@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
+from lodestack.llm.common import row_key, small_or_shuffled
 from lodestack.llm.spans import keyed
 from lodestack.session import stage_table
 
@@ -208,7 +209,7 @@ def _passes(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
 def find_contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None
 ) -> DataFrame:
-    """doc_id, n_words, items (ids of the items that occur, as sorted strings), hits (disjoint ranges of hit words).
+    """row, doc_id, n_words, items (ids of the items that occur, as sorted strings), hits (disjoint ranges of hit words).
 
     Words are runs of a-z (A-Z lower-cased), 0-9 and bytes from 0x80. A window is ``window`` consecutive words of an item; an
     item with fewer words, but not none, is one window. With ``slop`` None a window occurs where its words stand one after
@@ -223,7 +224,7 @@ def find_contamination(
         index = stage_table(build_index(docs, phrases.terms, id_col, text_col), "postings")
         answers.append(_ask(index, phrases, slop))
     if len(answers) == 1:
-        return answers[0].drop("row")
+        return answers[0]
     # Rows with one key have equal texts, so one of them speaks for all.
     found = [a.filter(F.size("items") > 0).dropDuplicates(["row"]).select("row", "items", "hits") for a in answers]
     union = found[0]
@@ -239,7 +240,14 @@ def find_contamination(
         ).otherwise(F.array_append(acc, r)),
     )
     rows = answers[0].select("row", "doc_id", "n_words").join(merged.select("row", "items", joined.alias("hits")), "row", "left")
-    return rows.select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("hits"))
+    return rows.select("row", "doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("hits"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a benchmark window occurs."""
+    bad = find_contamination(docs, items, id_col, text_col).filter(F.size("hits") > 0).select("row").distinct()
+    bad = small_or_shuffled(stage_table(bad.withColumnRenamed("row", "_bad"), "contaminated"), 200_000)
+    return docs.withColumn("_row", row_key(id_col, text_col)).join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import components
+from lodestack.llm.common import components, row_key, small_or_shuffled
 from lodestack.llm.spans import keyed, with_ranges
 from lodestack.session import stage_table
 
@@ -269,11 +269,11 @@ def _verified(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, n_shingles, component_id of every row.
+    """row, doc_id, n_shingles, component_id, component of every row.
 
     Words are runs of bytes other than space and \\t to \\r, A-Z lower-cased. A set holds the distinct 5-word shingles of a
     text, or its whole word sequence if that is shorter. Two rows link if their sets have a Jaccard similarity of 0.75 or
-    more; equal sets do. ``component_id`` is the smallest id that links reach. Null texts and texts without words have an
+    more; equal sets do. ``component_id`` is the smallest id that links reach, ``component`` a key of all that links reach. Null texts and texts without words have an
     empty set and link with nothing, so they are components of their own. Repeated rows link; null ids are never the
     smallest, and a component of null ids only is null. An empty table gives no rows.
     """
@@ -299,4 +299,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = joined.join(least, "root", "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: the one of the smallest id, ids before null. Rows without
+    words stay. Of rows that agree in id and text one stays."""
+    found = stage_table(near_duplicates(docs, id_col, text_col).filter("component is not null"), "components")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
+    gone = found.join(first, "component").filter("row <> first").select("row").distinct()
+    again = stage_table(found.groupBy("row").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("row").alias("_again")), "repeated")
+    gone = small_or_shuffled(stage_table(gone.withColumnRenamed("row", "_gone"), "gone"), 200_000)
+    rows = docs.withColumn("_row", row_key(id_col, text_col)).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    if not again.isEmpty():
+        again = small_or_shuffled(again, 200_000)
+        single, several = (rows.join(again, F.col("_row") == F.col("_again"), how) for how in ("left_anti", "left_semi"))
+        rows = single.unionAll(several.dropDuplicates(["_row"]))
+    return rows.drop("_row")
