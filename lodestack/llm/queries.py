@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import bwt_dedup, count_min, decontam, lang_kernel, mil_quality, mixing, parity_join, topk, url_rules
+from lodestack.llm import bwt_dedup, count_min, decontam, kneser_ney, lang_kernel, mil_quality, mixing, parity_join, topk, url_rules
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -115,3 +115,8 @@ def op1(spark, sf):
 def op2(spark, sf):
     found = mil_quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op9_kneser_ney")
+def op9(spark, sf):
+    return kneser_ney.score(table(spark, sf, "documents")).drop("perplexity")
