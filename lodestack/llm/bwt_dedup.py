@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import small_or_shuffled
-from lodestack.llm.spans import keyed, per_row, with_ranges
+from lodestack.llm.common import row_key, small_or_shuffled
+from lodestack.llm.spans import keyed, per_row, sliced, with_ranges
 from lodestack.session import stage_table
 
 LENGTH, GRAM = 400, 200
 #: Bytes of differing runs in one bucket. Anchors with more (very common passages in ever other surroundings) are not put
 #: into one task; their windows are grouped by hash instead.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 
 
 def _expand(lows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def _cut_out(rows: DataFrame, length: int) -> DataFrame:
     """The bytes of the ranges (anchor, run, times, start, n) of each row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text, ranges in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("ranges")):
                 data, own = (text.as_py() or "").encode(), ranges.as_py()
                 columns = [pa.array([key] * len(own), pa.int64())]
@@ -211,6 +211,20 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     return whole.unionAll(inside).unionAll(_by_hash(pieces.join(crowded, "anchor", "left_semi"), length))
 
 
+def _kept(data: bytes, ranges: pa.Scalar) -> tuple[bytes, int]:
+    """What the ranges leave, and the number of maximal runs they remove. Ranges that touch are one run."""
+    if not ranges.is_valid:
+        return data, 0
+    kept, spans, end = [], 0, None
+    for a, b in sorted((r["start"], r["end"]) for r in ranges.as_py()):
+        if end is None or a > end:
+            kept.append(data[end or 0:a])
+            spans, end = spans + 1, b
+        else:
+            end = max(end, b)
+    return b"".join([*kept, data[end or 0:]]), spans
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of every row.
 
@@ -222,25 +236,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, ranges in zip(batch.column("text"), batch.column("ranges")):
-                data, spans, gone = (text.as_py() or "").encode(), 0, 0
-                n, kept, last = len(data), [], 0
-                if ranges.is_valid:
-                    end = None
-                    for a, b in sorted((r["start"], r["end"]) for r in ranges.as_py()):
-                        if end is None or a > end:
-                            spans += 1
-                            kept.append(data[last:a])
-                            end = b
-                        else:
-                            end = max(end, b)
-                        last = end
-                kept.append(data[last:])
-                kept = b"".join(kept)
-                gone = n - len(kept)
-                out.append((n, gone, spans, kept, hashlib.sha256(kept).hexdigest()))
+                data = (text.as_py() or "").encode()
+                kept, spans = _kept(data, ranges)
+                out.append((len(data), len(data) - len(kept), spans, kept, hashlib.sha256(kept).hexdigest()))
             n, gone, spans, kept, digest = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())],
@@ -249,3 +250,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cut = with_ranges(rows, per_row(repeated_ranges(rows, length), "start", "end"), "left")
     return cut.select("doc_id", "text", "ranges").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text_col``; bytes of a character that was cut in two go with it. Null
+    stays null, and rows whose text is used up stay with an empty one."""
+    names = docs.columns
+    ranges = repeated_ranges(keyed(docs, id_col, text_col), length)
+    rows = docs.withColumn("row", row_key(id_col, text_col)) if "row" not in names else docs.withColumnRenamed("row", "_own").withColumn("row", row_key(id_col, text_col))
+    joined = with_ranges(rows, per_row(ranges, "start", "end"), "left").drop("row")
+    joined = joined.withColumnRenamed("_own", "row") if "row" in names else joined
+    joined = joined.select(*names, "ranges")
+    at = names.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = []
+            for text, ranges in zip(batch.column(at), batch.column(len(names))):
+                own = text.as_py()
+                texts.append(own if own is None or not ranges.is_valid else _kept(own.encode(), ranges)[0].decode("utf-8", "ignore"))
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(cut, docs.schema)

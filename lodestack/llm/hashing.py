@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in portions of about so many bytes, one text at least, which bounds a task's memory.
-PORTION = 1 << 20
+PORTION = 1 << 19
 U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import row_key, small_or_shuffled
+from lodestack.llm.common import row_key
 from lodestack.session import stage_table
 
+RANGES = 4_000_000
+
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, text: the columns that are needed and a key that joins results back to their rows."""
@@ -20,7 +25,15 @@ def per_row(ranges: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """Rows of ``keyed`` with the ranges of ``per_row``. The ranges are staged; they go to every executor if they are few,
-    otherwise both sides are shuffled by key."""
-    staged = small_or_shuffled(stage_table(ranges, "ranges"), 200_000)
-    return rows.join(staged, "row", how)
+    """Rows of ``keyed`` with the ranges of ``per_row`` or with single ranges. They are staged and counted, arrays by their
+    elements: up to RANGES (about 150 MB) they go to every executor, otherwise both sides are shuffled by key."""
+    staged = stage_table(ranges, "ranges")
+    size = F.coalesce(F.sum(F.size("ranges") + 1), F.lit(0)) if "ranges" in ranges.columns else F.count(F.lit(1))
+    return rows.join(F.broadcast(staged) if staged.agg(size).first()[0] <= RANGES else staged, "row", how)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that what is built from one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
