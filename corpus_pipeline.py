@@ -1,10 +1,55 @@
-"""Corpus pipeline; its stages are added with their operators."""
-STAGES = []
+"""Corpus pipeline: quality classifier, near duplicates, repeated strings, benchmark decontamination, mixture.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
+``docs``; the last returns what the mix takes of each document. Null and empty texts pass through: they are scored as empty,
+are nobody's duplicate, hold no repeat and no benchmark, and have size 0. Columns beyond those of ``documents`` are kept up to
+the last stage. No documents give no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.llm import bwt_dedup, decontam, mil_quality, mixing, parity_join
+from lodestack.session import stage_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = mil_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    return parity_join.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that occur more than once; ``n_chars`` follows."""
+    cut = bwt_dedup.cut_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: the mix of all that is left."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("benchmark", benchmark), ("mixture", mixture)]
+#: The classifier and the random rounding have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
     return docs
