@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import row_key, small_or_shuffled
-from lodestack.llm.spans import keyed, per_row, sliced, with_ranges
+from lodestack.llm.common import small_or_shuffled
+from lodestack.llm.spans import keyed, packed, per_row, sliced, with_ranges
 from lodestack.session import stage_table
 
 LENGTH, GRAM = 400, 200
@@ -257,19 +257,15 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     stays null, and rows whose text is used up stay with an empty one."""
     names = docs.columns
     ranges = repeated_ranges(keyed(docs, id_col, text_col), length)
-    rows = docs.withColumn("row", row_key(id_col, text_col)) if "row" not in names else docs.withColumnRenamed("row", "_own").withColumn("row", row_key(id_col, text_col))
-    joined = with_ranges(rows, per_row(ranges, "start", "end"), "left").drop("row")
-    joined = joined.withColumnRenamed("_own", "row") if "row" in names else joined
-    joined = joined.select(*names, "ranges")
+    joined = with_ranges(packed(docs, id_col, text_col), per_row(ranges, "start", "end"), "left").select("all", "ranges")
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = []
-            for text, ranges in zip(batch.column(at), batch.column(len(names))):
+            columns, texts = batch.column("all").flatten(), []
+            for text, ranges in zip(columns[at], batch.column("ranges")):
                 own = text.as_py()
                 texts.append(own if own is None or not ranges.is_valid else _kept(own.encode(), ranges)[0].decode("utf-8", "ignore"))
-            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestack.session import cut_lineage
 
 #: Tables with at most this many rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import row_key, small_or_shuffled
-from lodestack.llm.spans import keyed
+from lodestack.llm.common import small_or_shuffled
+from lodestack.llm.spans import keyed, packed
 from lodestack.session import stage_table
 
 WINDOW = 10
@@ -246,8 +246,8 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     bad = find_contamination(docs, items, id_col, text_col).filter(F.size("hits") > 0).select("row").distinct()
-    bad = small_or_shuffled(stage_table(bad.withColumnRenamed("row", "_bad"), "contaminated"), 200_000)
-    return docs.withColumn("_row", row_key(id_col, text_col)).join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    bad = small_or_shuffled(stage_table(bad, "contaminated"))
+    return packed(docs, id_col, text_col).join(bad, "row", "left_anti").select("all.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, all: whole rows as one struct beside their key, so that no column of theirs can clash with one of a join."""
+    return docs.select(row_key(id_col, text_col).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+
+
 def per_row(ranges: DataFrame, *columns: str) -> DataFrame:
     """One row per key with its ranges as an array of structs; their number is bounded by the length of the text."""
     return ranges.groupBy("row").agg(F.collect_set(F.struct(*columns)).alias("ranges"))
