@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.spans import keyed, per_row, with_ranges
+from lodestack.llm.spans import keyed, per_row, sliced, with_ranges
 from lodestack.session import stage_table
 
 WINDOW, GRAM = 50, 25
@@ -30,8 +30,8 @@ DEPTH, BITS, BLOCK = 3, 24, 1 << 16
 _LAST = 2**63 - 1
 
 
-def _cells(anchors: np.ndarray) -> list[np.ndarray]:
-    return [(H.mix(anchors ^ np.uint64(0xA24BAED4963EE407 * (d + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int64) for d in range(DEPTH)]
+def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(H.mix(anchors ^ np.uint64(0xA24BAED4963EE407 * (d + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)).astype(np.int64) for d in range(DEPTH)]
 
 
 def _runs(column: pa.Array, window: int) -> Iterator[tuple]:
@@ -41,14 +41,14 @@ def _runs(column: pa.Array, window: int) -> Iterator[tuple]:
         yield lo, first, *H.anchored_runs(H.word_sums(hashes), first, window, max(1, window // 2))
 
 
-def sketch(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """depth, block, cells: which cells of the merged sketch count two or more, as packed bits. At most DEPTH * 2**BITS / BLOCK rows."""
+def sketch(docs: DataFrame, text_col: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """depth, block, cells: which cells of the merged sketch count two or more, as packed bits. At most DEPTH * 2**bits / BLOCK rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((DEPTH, 1 << BITS), np.uint8)
+        cells = np.zeros((DEPTH, 1 << bits), np.uint8)
         for batch in batches:
             for *_, anchors, _ in _runs(batch.column(0), window):
-                for row, at in zip(cells, _cells(anchors)):
+                for row, at in zip(cells, _cells(anchors, bits)):
                     at, n = np.unique(at, return_counts=True)
                     row[at] = np.minimum(row[at] + n, 255)
         blocks = cells.reshape(DEPTH, -1, BLOCK)
@@ -70,7 +70,7 @@ def sketch(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Dat
     return docs.select(text_col).mapInArrow(count, kind).groupBy("depth", "block").applyInPandas(merge, kind)
 
 
-def _suspects(rows: DataFrame, repeated: np.ndarray, window: int) -> DataFrame:
+def _suspects(rows: DataFrame, repeated: np.ndarray, window: int, bits: int) -> DataFrame:
     """Runs (row, doc_id, start, n, anchor, run) whose anchor is estimated to occur more than once."""
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
 
@@ -79,7 +79,7 @@ def _suspects(rows: DataFrame, repeated: np.ndarray, window: int) -> DataFrame:
             key, ids = batch.column("row").to_numpy(), batch.column("doc_id").to_numpy()
             for lo, first, start, count, anchors, runs in _runs(batch.column("text"), window):
                 keep = np.ones(len(anchors), bool)
-                for row, at in zip(shared.value, _cells(anchors)):
+                for row, at in zip(shared.value, _cells(anchors, bits)):
                     keep &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 start, count = start[keep], count[keep]
                 own = np.searchsorted(first, start, "right") - 1
@@ -110,7 +110,7 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(emit, "h long, row long, doc_id long, start long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text), kept_sha256 of every row.
 
     A word goes if a window of ``window`` words of one text covers it whose word sequence also starts in a row with a
@@ -120,23 +120,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     ranked = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
-    repeated = np.zeros((DEPTH, (1 << BITS) // 8), np.uint8)
-    for block in sketch(docs, text_col, window).collect():  # at most 6 MB
+    repeated = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
+    for block in sketch(docs, text_col, window, bits).collect():  # at most 6 MB
         at = block["block"] * BLOCK // 8
         repeated[block["depth"], at:at + BLOCK // 8] = np.frombuffer(block["cells"], np.uint8)
-    runs = stage_table(_suspects(ranked, repeated, window), "runs")
+    runs = stage_table(_suspects(ranked, repeated, window, bits), "runs")
     exact = stage_table(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("least")), "groups")
-    mixed = exact.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
-    owned = runs.join(exact, ["anchor", "run"])
+    mixed = exact.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    # One join brings to each run what its group says; a run that holds most rows is split by the skew join.
+    groups = stage_table(exact.join(mixed, "anchor", "left"), "kinds")
+    owned = runs.join(groups, ["anchor", "run"])
     whole = owned.filter("doc_id > least").select("row", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     # Where runs with one anchor differ, a window may still be in both: look at the first holders of each run.
-    first = owned.filter("doc_id = least").join(mixed, "anchor", "left_semi")
+    first = owned.filter("doc_id = least and kinds is not null")
     windows = stage_table(_window_hashes(with_ranges(ranked, per_row(first, "start", "n"), "inner"), window), "windows")
     least = windows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("h", "least")
     single = windows.join(least, "h").filter("doc_id > least").select("row", "start", (F.col("start") + window).alias("end"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, ranges in zip(batch.column("text"), batch.column("ranges")):
                 word = (text.as_py() or "").encode().split()
