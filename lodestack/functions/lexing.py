@@ -1,7 +1,8 @@
 """Lexemes of Rust-like source text, by one regular expression and array functions. No parser.
 
 Groups are possessive, so the Java matcher neither backtracks nor recurses on long comments and literals.
-Block comments nest; the expression follows them to a depth of ``COMMENT_DEPTH``.
+Block comments and brackets nest; the expression, which grows by one short step a level, follows them to a depth of
+``COMMENT_DEPTH`` and ``BRACKET_DEPTH``.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import encode_literal, strip
 
-COMMENT_DEPTH = 4
-BRACKET_DEPTH = 4
+COMMENT_DEPTH = 64
+BRACKET_DEPTH = 16
 
 
 def _nested_comment(depth: int) -> str:

@@ -239,9 +239,9 @@ def repo_name(directory: Column) -> Column:
     return F.replace(directory, F.lit("+"), F.lit("/"))
 
 
-def guard_size(c: Column, cap: int = SIZE_CAP) -> Column:
-    """Texts over the cap become '', which the non-empty filter then drops."""
-    return F.when(F.length(c) > cap, F.lit("")).otherwise(c)
+def guard_size(c: Column, cap: int | None = SIZE_CAP) -> Column:
+    """Texts over the cap become '', which the non-empty filter then drops. Without a cap every text stays."""
+    return c if cap is None else F.when(F.length(c) > cap, F.lit("")).otherwise(c)
 
 
 def marker_flag(c: Column) -> Column:

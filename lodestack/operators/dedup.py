@@ -19,14 +19,13 @@ def digest(*columns: str) -> Column:
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the row with the smallest ``order`` (unique) per key, as a partial aggregate.
+    """Keep the row with the smallest ``order`` (unique) per key: a hash aggregate of digests, then a semi join by ``order``.
 
-    A key that holds a third of all rows is reduced to one row per map task before the shuffle; a window would
-    send all of them to one task.
+    A key that holds a third of all rows is reduced to one short row per map task before the shuffle; a window would
+    send all of them to one task. Of the rows only the columns that are asked for move.
     """
-    row = F.struct(*df.columns)
-    kept = df.groupBy(digest(*keys).alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row"))
-    return kept.select("_row.*")
+    first = df.groupBy(digest(*keys).alias("_key")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def audit_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:

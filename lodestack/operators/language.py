@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.overlap import spread_by
-from lodestack.operators.skew import lookup_join
 
 GRAM = 3
 UNKNOWN = "unk"
 KEPT_LANGUAGES = ["unk", "en", "ca", "nl"]
-# A profile table of at most this many rows (about 100 MB) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def char_grams(text: Column, n: int = GRAM) -> Column:
@@ -42,17 +39,14 @@ def score_language(df: DataFrame, counts: DataFrame, profiles: DataFrame, floors
 
     ``counts`` is the gram table of ``df`` by key. A known gram adds its gain over the floor, so unseen grams need
     no profile row: score = floor * grams + sum of gains. Profiles have one column per language (there is one row
-    per language in ``floors``) and are broadcast only when their size allows it.
+    per language in ``floors``); how they are joined is the optimiser's choice.
     """
     known = sorted((r.lang, r.floor) for r in floors.collect())
     columns = [f"_g{i}" for i in range(len(known))]
     by_gram = profiles.groupBy("gram").agg(
         *[F.sum(F.when(F.col("lang") == lang, F.col("logp") - floor)).alias(c) for c, (lang, floor) in zip(columns, known)]
     )
-    if by_gram.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = counts.join(F.broadcast(by_gram), "gram", "left")
-    else:
-        hits = lookup_join(counts, by_gram, ["gram"], key, "left")
+    hits = counts.join(by_gram, "gram", "left")
     sums = hits.groupBy(key).agg(
         F.sum("cnt").alias("grams"), *[F.sum(F.col("cnt") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
     )

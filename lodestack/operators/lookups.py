@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.skew import lookup_join
+from lodestack.operators.skew import hot_pieces, lookup_join
 
 
 def files_for_repos(files: DataFrame, repos: DataFrame, unique: str) -> DataFrame:
@@ -29,7 +29,9 @@ def join_pairs(index: DataFrame, data: DataFrame, order: str, unique: str) -> Da
     last = data.groupBy("url").agg(F.max_by("text", order).alias("text"))
     one = last.select(F.col("url").alias("url1"), F.col("text").alias("source"))
     two = last.select(F.col("url").alias("url2"), F.col("text").alias("target"))
-    both = lookup_join(lookup_join(index, one, ["url1"], unique, "inner"), two, ["url2"], unique, "inner")
+    # The frequent keys of both sides come from the index itself, not from a join.
+    second = hot_pieces(index.select("url2"), ["url2"])
+    both = lookup_join(lookup_join(index, one, ["url1"], unique, "inner"), two, ["url2"], unique, "inner", second)
     return both.withColumn("label", F.when(F.col("label") == "0", 0).otherwise(1))
 
 
@@ -47,7 +49,7 @@ def nearest_manifest(files: DataFrame, manifests: DataFrame, base: str, file_id:
     base = base.rstrip("/")
     parent = F.regexp_replace("path", r"/[^/]*\z", "")
     placed = files.withColumn("dir", parent)
-    steps = F.split(F.substring("dir", len(base) + 2, 1_000_000), "/")
+    steps = F.split(F.substr("dir", F.lit(len(base) + 2)), "/")
     dirs = placed.select("dir").distinct().withColumn("_steps", steps)
     below = F.transform(
         F.sequence(F.lit(1), F.size("_steps")),

@@ -5,36 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 256
-# Number of pieces a hot key is cut into.
-SALTS = 32
+from lodestack.session import stage_table
+
+# Rows that one piece of a frequent key should hold, and the least number of pieces that a table is thought of as.
+PIECE_ROWS, PIECES = 1_000_000, 256
 # Bits of an order value that fall into one block of a prefix scan.
 BLOCK_BITS = 16
 
 
-def hot_keys(df: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least 1/share of the rows: at most ``share`` rows, hence safe to broadcast."""
+def hot_keys(df: DataFrame, on: list[str], share: int | None = None) -> DataFrame:
+    """Keys that hold more than a piece, with their number of pieces.
+
+    A table has at least PIECES pieces and otherwise pieces of PIECE_ROWS rows (``share`` fixes their number); a key with
+    at least one piece's rows is hot. So there are no more hot keys than pieces, one short row for a million rows.
+    """
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_n"))
-    return sizes.filter(F.col("_n") * share >= total.scalar()).select(*on, F.lit(True).alias("_hot"))
+    total = sizes.agg(F.sum("_n").alias("_n")).scalar()
+    number = F.lit(share) if share else F.greatest(F.lit(PIECES), F.ceil(total / PIECE_ROWS))
+    return sizes.filter(F.col("_n") * number >= total).select(*on, F.ceil(F.col("_n") * number / total).alias("_pieces"))
+
+
+def hot_pieces(df: DataFrame, on: list[str]) -> DataFrame:
+    """``hot_keys`` counted once and kept, for the two sides of a join."""
+    return stage_table(hot_keys(df, on), "hot-keys")
 
 
 def lookup_join(
-    big: DataFrame, dim: DataFrame, on: list[str], unique: str, how: str = "left", salts: int = SALTS
+    big: DataFrame, dim: DataFrame, on: list[str], unique: str, how: str = "left", hot: DataFrame | None = None
 ) -> DataFrame:
     """Equi-join ``big``, whose keys may be skewed, with ``dim``, which has at most one row per key.
 
-    Rows of a hot key are spread over ``salts`` pieces by the unique column, and only the matching rows of
-    ``dim`` (at most HOT_SHARE of them) are repeated. All other keys join once.
+    Rows of a hot key are spread over its pieces by the unique column, and only the matching rows of ``dim`` are repeated.
+    All other keys join once. ``hot`` (of ``hot_pieces``) saves the pass over ``big`` that finds the hot keys.
     """
-    hot = F.broadcast(hot_keys(big.select(*on), on))
-    piece = F.when(F.col("_hot"), F.pmod(F.xxhash64(unique), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(
-        F.array(F.lit(0).cast("long"))
-    )
-    left = big.join(hot, on, "left").withColumn("_salt", piece).drop("_hot")
-    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    hot = F.broadcast(hot_pieces(big.select(*on), on) if hot is None else hot)
+    piece = F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(unique), F.col("_pieces"))).otherwise(F.lit(0).cast("long"))
+    spread = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_pieces") - 1, F.lit(0)).cast("long"))
+    left = big.join(hot, on, "left").withColumn("_salt", piece).drop("_pieces")
+    right = dim.join(hot, on, "left").withColumn("_salt", F.explode(spread)).drop("_pieces")
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 

@@ -44,7 +44,7 @@ VIEWS = {
         "documents",
         f"SELECT doc_id AS row_id, text, source AS repo, concat('/// ', replace(text, {_N}, concat({_N}, '/// '))) AS raw_doc, "
         f"concat('Intro.', {_N}, '```', CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'rust' WHEN 2 THEN 'text' ELSE 'rust,ignore' END, "
-        f"{_N}, text, {_N}, '```', {_N}, 'mid', {_N}, '```', {_N}, substring(text, 1, 40), "
+        f"{_N}, text, {_N}, '```', {_N}, 'mid', {_N}, '```', {_N}, replace(text, ' ', ''), "
         f"CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat({_N}, '```') END) AS fenced FROM {{t}}",
     ),
     # code-doc corpus: the code carries the whole text in a literal

@@ -41,17 +41,18 @@ def extract_corpus(spark: SparkSession, metadata: str, root: str, refs: DataFram
 
 def clean_corpus(
     df: DataFrame, row_id: str = "row_id", strings: str = "none", numbers: str = "none", comments: str = "drop",
-    languages: DataFrame | None = None,
+    languages: DataFrame | None = None, size_cap: int | None = None,
 ) -> DataFrame:
     """Dedup by code, strip markers, keep languages, cut out the doctest, summarise the doc, mask, dedup again.
 
     The doctest is taken before the doc is cut. ``languages`` is (row_id, detected); without it all rows stay.
+    ``size_cap`` (characters, none by default) drops rows whose code is longer and empties longer doctests.
     """
     rows = dedup_first(df, ["code"], row_id)
     rows = rows.withColumn("doc", strip_markers(F.col("doc")))
     if languages is not None:
         rows = filter_language(rows, languages, row_id)
-    mask = lambda c: mask_code(guard_size(c), strings, numbers, comments)
+    mask = lambda c: mask_code(guard_size(c, size_cap), strings, numbers, comments)
     rows = rows.withColumn("doctest", mask(longest_block(F.col("doc")))).withColumn("code", mask(F.col("code")))
     rows = non_empty(first_sentence(rows, "doc"), "code")
     return dedup_first(rows, ["code"], row_id)

@@ -198,9 +198,9 @@ def a18b(spark, sf):
 _STATS = "count(*) AS n, CAST(floor(avg(len({s}))) AS BIGINT) AS avg_src, CAST(max(len({s})) AS BIGINT) AS max_src, CAST(floor(avg(len({t}))) AS BIGINT) AS avg_trg, CAST(max(len({t})) AS BIGINT) AS max_trg"
 
 
-@query("a03_length_stats", "SELECT " + _STATS.format(s=tok("text"), t=tok("substring(text, 1, 100)")) + " FROM documents")
+@query("a03_length_stats", "SELECT " + _STATS.format(s=tok("text"), t=tok("lang || ' ' || text")) + " FROM documents")
 def a03(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("text").alias("source"), F.substring("text", 1, 100).alias("target"))
+    rows = table(spark, sf, "documents").select(F.col("text").alias("source"), F.concat("lang", F.lit(" "), "text").alias("target"))
     return jobs.length_stats(rows)
 
 
@@ -237,20 +237,20 @@ _LOG = ctes("fx_runs") + ", l AS (SELECT run_id, epoch, ppl, CASE run_id % 3 WHE
 
 @query("w01_best_so_far", _LOG + " SELECT run_id, epoch, pi AS ppl_improved, si AS score_improved, round(min(ppl) OVER w, 6) AS best_ppl, round(max(score) OVER w, 6) AS best_score FROM b WINDOW w AS (PARTITION BY run_id ORDER BY epoch)")
 def w01(spark, sf):
-    out = runs.best_so_far(_run_log(spark, sf), bits=10)
+    out = runs.best_so_far(_run_log(spark, sf))
     return out.select("run_id", "epoch", "ppl_improved", "score_improved", F.round("best_ppl", 6).alias("best_ppl"), F.round("best_score", 6).alias("best_score"))
 
 
 @query("w02_patience", _LOG + " SELECT run_id, epoch, ps AS ppl_stall, ss AS score_stall FROM c")
 def w02(spark, sf):
-    flagged = runs.best_so_far(_run_log(spark, sf), bits=10)
-    return runs.patience(flagged, bits=10).select("run_id", "epoch", "ppl_stall", "score_stall")
+    flagged = runs.best_so_far(_run_log(spark, sf))
+    return runs.patience(flagged).select("run_id", "epoch", "ppl_stall", "score_stall")
 
 
 @query("w03_early_stop", _LOG + " SELECT run_id, min(epoch) AS stop_epoch FROM d WHERE (NOT pi AND s0 > 5 AND ps > 5) OR (NOT si AND ss > 5 AND ps > 5) GROUP BY run_id")
 def w03(spark, sf):
-    flagged = runs.best_so_far(_run_log(spark, sf), bits=10)
-    return runs.early_stop(runs.patience(flagged, bits=10))
+    flagged = runs.best_so_far(_run_log(spark, sf))
+    return runs.early_stop(runs.patience(flagged))
 
 
 @query("w04_selection_score", _LOG + " SELECT run_id, epoch, round(score, 6) AS score FROM l")
@@ -265,7 +265,7 @@ def w04(spark, sf):
 )
 def w05(spark, sf):
     steps = view(spark, sf, "fx_runs").select("run_id", F.col("epoch").alias("step"), F.col("ppl").cast("decimal(18,4)").alias("loss"))
-    return runs.running_loss(steps, ["run_id"], accumulate=2, bits=10).select("run_id", "step", "train_loss")
+    return runs.running_loss(steps, ["run_id"], accumulate=2).select("run_id", "step", "train_loss")
 
 
 # --- spans ------------------------------------------------------------------------------------------------------

@@ -153,15 +153,21 @@ def s11(spark, sf):
     return L.read_indexed(spark, f"{folder}/output", f"{folder}/gold", f"{folder}/src")
 
 
+_ALL_CODE = f"concat(f_code, CASE WHEN more THEN concat({NL}, g_code, {NL}, inner_code) ELSE '' END)"
+
+
 @query(
     "s12_text_corpus",
-    ctes("fx_src") + f", r AS (SELECT f_code AS code, f_doc AS doc, '' AS doctest FROM fx_src) "
+    ctes("fx_src") + f", r AS (SELECT {_ALL_CODE} AS code, f_doc AS doc, concat('// ', p_type, {NL}, f_code) AS doctest FROM fx_src) "
     f"SELECT 'code' AS kind, replace(code, {NL}, ' ') AS value FROM r UNION ALL SELECT 'doc', replace(doc, {NL}, ' ') FROM r "
-    "UNION ALL SELECT 'doctest', doctest FROM r",
+    f"UNION ALL SELECT 'doctest', replace(doctest, {NL}, ' ') FROM r",
 )
 def s12(spark, sf):
     path = scratch_path(spark, "lines")
-    rows = view(spark, sf, "fx_src").select(F.col("f_code").alias("code"), F.col("f_doc").alias("doc"), F.lit("").alias("doctest"))
+    more = F.when(F.col("more"), F.concat(F.lit("\n"), "g_code", F.lit("\n"), "inner_code")).otherwise(F.lit(""))
+    rows = view(spark, sf, "fx_src").select(
+        F.concat("f_code", more).alias("code"), F.col("f_doc").alias("doc"), F.concat(F.lit("// "), "p_type", F.lit("\n"), "f_code").alias("doctest")
+    )
     L.write_text_corpus(rows, path)
     return spark.read.text(path).select("kind", "value")
 
@@ -422,10 +428,9 @@ _BARE = f"concat(f_doc_kept, f_code, ' ', {NL}, CASE WHEN more THEN concat({NL},
 _DROPPED = ctes("fx_src") + f" SELECT file_id, replace({_BARE}, '\"' || chr(0) || '\"', '') AS code FROM (SELECT *, repeat({NL}, 4) AS f_doc_kept FROM fx_src)"
 
 
-@query("t08_mask_code", ctes("fx_src") + f" SELECT file_id, concat(repeat({NL}, 4), '#[inline]', {NL}, 'pub fn f', CAST(file_id AS VARCHAR), '(a: u32) -> u32 {{ let s = <STR>; a + <NUM> }} ', {NL}) AS code FROM fx_src WHERE NOT more".replace("{{", "{").replace("}}", "}"))
+@query("t08_mask_code", ctes("fx_src") + f" SELECT file_id, concat(repeat({NL}, 4), '#[inline]', {NL}, 'pub fn f', CAST(file_id AS VARCHAR), '(a: u32) -> u32 {{ let s = <STR>; a + <NUM> }} ', {NL}, CASE WHEN more THEN concat({NL}, 'trait T {{ fn sig(&self); }}', {NL}, replace(g_code, '\"fn b() {{\"', '<STR>'), {NL}) ELSE '' END) AS code FROM fx_src".replace("{{", "{").replace("}}", "}"))
 def t08(spark, sf):
-    src = view(spark, sf, "fx_src").filter("NOT more")
-    return src.select("file_id", mask_code(F.col("content"), "mask", "mask").alias("code"))
+    return view(spark, sf, "fx_src").select("file_id", mask_code(F.col("content"), "mask", "mask").alias("code"))
 
 
 @query("t09_drop_comments", _DROPPED)
@@ -433,16 +438,15 @@ def t09(spark, sf):
     return view(spark, sf, "fx_src").select("file_id", drop_comments(F.col("content")).alias("code"))
 
 
-@query("t10_lex", ctes("fx_src") + " SELECT file_id, CAST(4 + 1 + 2 + 22 + 1 AS BIGINT) AS n_tokens, concat('f', CAST(file_id AS VARCHAR)) AS name FROM fx_src WHERE NOT more")
+@query("t10_lex", ctes("fx_src") + " SELECT file_id, CAST(4 + 1 + 2 + 22 + 1 + CASE WHEN more THEN 1 + 11 + 42 ELSE 0 END AS BIGINT) AS n_tokens, concat('f', CAST(file_id AS VARCHAR)) AS name FROM fx_src")
 def t10(spark, sf):
-    src = view(spark, sf, "fx_src").filter("NOT more").select("file_id", lex(F.col("content")).alias("t"))
+    src = view(spark, sf, "fx_src").select("file_id", lex(F.col("content")).alias("t"))
     return src.select("file_id", F.size("t").cast("long").alias("n_tokens"), F.get("t", F.lit(10)).alias("name"))
 
 
-@query("t11_strip_c_comments", ctes("fx_src") + f" SELECT file_id, concat(f_code, '  ', CASE WHEN more THEN concat({NL}, 'trait T {{ fn sig(&self); }}', {NL}, g_code) ELSE '' END) AS code FROM fx_src WHERE NOT more".replace("{{", "{").replace("}}", "}"))
+@query("t11_strip_c_comments", ctes("fx_src") + f" SELECT file_id, concat(f_code, '  ', CASE WHEN more THEN concat({NL}, 'trait T {{ fn sig(&self); }}', {NL}, g_code) ELSE '' END) AS code FROM fx_src".replace("{{", "{").replace("}}", "}"))
 def t11(spark, sf):
-    src = view(spark, sf, "fx_src").filter("NOT more")
-    return src.select("file_id", strip_c_comments(F.col("content")).alias("code"))
+    return view(spark, sf, "fx_src").select("file_id", strip_c_comments(F.col("content")).alias("code"))
 
 
 _WORDS = f"(SELECT DISTINCT unnest({tok('text')}) AS w FROM documents)"
@@ -503,11 +507,11 @@ def n02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.split_punct(F.col("text")).alias("tokens"))
 
 
-@query("n03_prediction_line", f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN substring(source, 1, 2) ELSE source END AS pred FROM documents")
+@query("n03_prediction_line", f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN lang ELSE source END AS pred FROM documents")
 def n03(spark, sf):
     k = F.col("doc_id") % 4
     ident = F.concat(F.lit(" "), F.col("doc_id").cast("string"))
-    line = F.when(k == 0, ident).when(k == 1, F.concat_ws("\t", ident, F.substring("source", 1, 2), "lang")).otherwise(F.concat_ws("\t", ident, "source"))
+    line = F.when(k == 0, ident).when(k == 1, F.concat_ws("\t", ident, "lang", "source")).otherwise(F.concat_ws("\t", ident, "source"))
     return L.parse_prediction_line(table(spark, sf, "documents").select(line.alias("value"))).select("id", "pred")
 
 

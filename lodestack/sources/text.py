@@ -91,10 +91,10 @@ def read_pairs(spark: SparkSession, index: str, data: str, data_num: int = -1) -
 
 
 def read_indexed(spark: SparkSession, output: str, gold: str, src: str) -> DataFrame:
-    """Three ``idx<TAB>text`` files joined by index: (idx, src, output, gold). Text after a second tab is cut."""
+    """Three ``idx<TAB>text`` files joined by index: (idx, src, output, gold). A tab in the text belongs to it."""
 
     def part(path: str, name: str) -> DataFrame:
-        cols = F.split("value", "\t", 3)
+        cols = F.split("value", "\t", 2)
         return spark.read.text(path).select(F.get(cols, F.lit(0)).cast("bigint").alias("idx"), F.get(cols, F.lit(1)).alias(name))
 
     return part(src, "src").join(part(output, "output"), "idx").join(part(gold, "gold"), "idx")

@@ -37,7 +37,7 @@ def landed_counts(spark: SparkSession, target: str) -> DataFrame:
 
 
 def latest_per_repo(landed: DataFrame) -> DataFrame:
-    """One row per repository: the one of the last batch, by a partial aggregate."""
+    """One row per repository: the one of the last batch and file, on ties the greatest; by a partial aggregate."""
     row = F.struct(*[c for c in landed.columns if c != "batch"])
-    order = F.struct(F.col("batch").cast("long"), F.col("landed_file"))
+    order = F.struct(F.col("batch").cast("long"), F.col("landed_file"), row)
     return landed.groupBy("full_name").agg(F.max_by(row, order).alias("_row")).select("_row.*")

@@ -66,3 +66,9 @@ def test_nearest_manifest(spark):
 def test_token_helper(spark):
     row = spark.createDataFrame([("  a\tb c\n",), ("",)], "t string").select(tokens(F.col("t")).alias("v")).collect()
     assert [r.v for r in row] == [["a", "b", "c"], []]
+
+
+def test_pieces_follow_the_count_of_a_key(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, "warm").otherwise(F.col("id").cast("string")).alias("t"))
+    pieces = {r.t: r._pieces for r in hot_keys(rows, ["t"]).collect()}
+    assert set(pieces) == {"hot", "warm"} and pieces["hot"] == 86 and pieces["warm"] == 2

@@ -29,7 +29,7 @@ def test_no_nested_loops(spark, name):
 
 def test_dedup_aggregates_before_the_shuffle(spark):
     text = plan(registry.QUERIES["a01_dedup_first"](spark, SF))
-    assert "partial_min_by" in text and "Window" not in text
+    assert "partial_min" in text and "HashAggregate" in text and "SortAggregate" not in text and "Window" not in text
 
 
 def test_tables_are_read_whole(spark):

@@ -77,3 +77,10 @@ def test_spans_round_trip(spark, tmp_path):
     corpus.write_spans(rows, str(tmp_path / "s"))
     assert spark.read.text(str(tmp_path / "s")).first().value == "2020-01-01T00:00:00Z 2020-01-02T12:00:01Z None"
     assert corpus.read_spans(spark, str(tmp_path / "s")).first() == rows.first()
+
+
+def test_a_tab_in_an_indexed_text_stays(spark, tmp_path):
+    for name in ("output", "gold", "src"):
+        (tmp_path / name).write_text(f"1\t{name}\tmore\n")
+    row = text.read_indexed(spark, *(str(tmp_path / n) for n in ("output", "gold", "src"))).first()
+    assert (row.idx, row.src, row.output, row.gold) == (1, "src\tmore", "output\tmore", "gold\tmore")

@@ -144,3 +144,9 @@ def test_long_comments_and_literals_do_not_recurse(spark):
 )
 def test_strip_c_comments(spark, code, expected):
     assert one(spark, lexing.strip_c_comments(F.lit(code))) == expected
+
+
+@pytest.mark.parametrize("depth", [1, 5, 20, 50])
+def test_comments_nest(spark, depth):
+    text = "a " + "/* x " * depth + " */" * depth + " b"
+    assert spark.range(1).select(lexing.drop_comments(F.lit(text)).alias("t")).first().t == "a  b"
