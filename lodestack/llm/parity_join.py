@@ -6,7 +6,7 @@ the number of parts that differ is a lower bound of the symmetric difference, as
 
 Sets with a Jaccard similarity of p / q or more differ in at most (q - p) / (q + p) of their summed sizes: D. By the
 pigeonhole principle they agree in all but D parts, so in any one order of part keys each has a common key among its first
-D + 1. The order puts keys that the corpus has rarely first (estimated by a merged count sketch; any estimate gives right
+D + 1. The order puts keys that the corpus repeats last (estimated by a merged map of hash cells; any estimate gives right
 results), so passages that many texts share produce no candidates. Sizes fall into bands of one level each; a set also joins
 the next band if a partner may lie there.
 
@@ -16,7 +16,6 @@ out most pairs, exact intersections decide, and pairs that are already connected
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import components, row_key, small_or_shuffled
-from lodestack.llm.spans import keyed, with_ranges
+from lodestack.llm.common import components, small_or_shuffled
+from lodestack.llm.spans import keyed, packed, with_ranges
 from lodestack.session import stage_table
 
 SHINGLE, P, Q = 5, 3, 4
-#: Smallest level; bits of the count sketch's index; entries sorted at once and per bucket; sets of a cluster compared at once.
-LEVEL, BITS, FLUSH, BUCKET, CLUSTER = 6, 18, 1_000_000, 2_000_000, 2_048
+#: Smallest level; entries sorted at once and per bucket; sets of a cluster compared at once.
+LEVEL, FLUSH, BUCKET, CLUSTER = 6, 1_000_000, 2_000_000, 2_048
 #: Bits of the dense sketches.
 DENSE = 2048
+#: The map of repeated cells has at most 2**MAP bits (16 MB), which go to every executor.
+MAP = 27
 U = np.uint64
-_BLOCK = 1 << 14
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,43 +87,66 @@ def part_keys(s: np.ndarray, level: int, need: int) -> np.ndarray:
     return keys
 
 
-def _measure(rows: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, n, node, keys: how many part keys it emits), and per task the counts of part keys as (block, cells)."""
+def _gaps(keys: np.ndarray, bits: int, shard_bits: int) -> list[tuple[int, bytes]]:
+    """(shard, cells) of part keys: the upper ``bits`` of each, ascending, as distances in as few bytes as they need."""
+    cell = np.sort(keys >> U(64 - bits)).astype(np.int64)
+    shard = cell >> (bits - shard_bits)
+    cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(cell)]
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        gap = np.diff(cell[a:b], prepend=int(shard[a]) << (bits - shard_bits))
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if gap.max() <= np.iinfo(k).max)
+        out.append((int(shard[a]), bytes([np.dtype(kind).itemsize]) + gap.astype(kind).tobytes()))
+    return out
+
+
+def _measure(rows: DataFrame, bits: int, shard_bits: int) -> DataFrame:
+    """Rows (row, doc_id, n, node, emits: how many part keys), and the cells of all part keys as (shard, cells)."""
+    names = ["row", "doc_id", "n", "node", "emits", "shard", "cells"]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+
+    def told(keys: list) -> pa.RecordBatch:
+        shards, cells = zip(*_gaps(np.concatenate(keys), bits, shard_bits))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*[[None] * len(shards)] * 5, shards, cells), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << BITS, np.int64)
-        names = ["row", "doc_id", "n", "node", "emits", "block", "cells"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        held, n = [], 0
         for batch in batches:
             sizes, nodes, emits = [], [], []
             for _, s in shingle_sets(batch.column("text")):
                 bands = _bands(len(s)) if len(s) else []
                 for level, need in bands:
-                    np.add.at(cells, (part_keys(s, level, need) >> U(64 - BITS)).astype(np.int64), 1)
+                    held.append(part_keys(s, level, need))
+                    n += len(held[-1])
                 sizes.append(len(s))
                 nodes.append(set_key(s))
                 emits.append(sum(need for _, need in bands))
+                if n >= FLUSH:
+                    yield told(held)
+                    held, n = [], 0
             none = [None] * len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((batch.column("row"), batch.column("doc_id"), sizes, nodes, emits, none, none), kinds)], names)
-        for block, part in enumerate(cells.reshape(-1, _BLOCK)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, None, block, zlib.compress(part.tobytes(), 1)), kinds)], names)
+        if n:
+            yield told(held)
+
+    return rows.mapInArrow(run, "row long, doc_id long, n long, node long, emits long, shard long, cells binary")
 
-    return rows.mapInArrow(run, "row long, doc_id long, n long, node long, emits long, block long, cells binary")
 
+def _repeated(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
+    """Packed bits: which cells hold two or more part keys. Beyond 2**MAP cells neighbours share a bit. The map has a fixed
+    size; a corpus that fills it only makes the order of keys, and so the candidates, less selective."""
+    width, fold = 1 << (bits - shard_bits), max(0, bits - MAP)
 
-def _merged_counts(measured: DataFrame) -> np.ndarray:
     def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_BLOCK, np.int64)
-        for cells in df["cells"]:
-            total += np.frombuffer(zlib.decompress(cells), np.int64)
-        return pd.DataFrame([(key[0], total.tobytes())], columns=["block", "cells"])
+        cells = [np.cumsum(np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)) for x in df["cells"]]
+        often = np.bincount(np.concatenate(cells), minlength=width) > 1
+        return pd.DataFrame([(key[0], np.packbits(often.reshape(-1, 1 << fold).any(axis=1)).tobytes())], columns=["shard", "cells"])
 
-    counts = np.zeros(1 << BITS, np.int64)
-    blocks = measured.filter("cells is not null").select("block", "cells").groupBy("block").applyInPandas(merge, "block long, cells binary")
-    for block in blocks.collect():  # 2 MB in all
-        counts[block["block"] * _BLOCK:(block["block"] + 1) * _BLOCK] = np.frombuffer(block["cells"], np.int64)
-    return counts
+    kind = "shard long, cells binary"
+    out = np.zeros((1 << shard_bits, (width >> fold) // 8), np.uint8)
+    for r in measured.filter("cells is not null").select("shard", "cells").groupBy("shard").applyInPandas(merge, kind).collect():
+        out[r["shard"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.ravel()
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +160,9 @@ def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _candidates(rows: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int) -> DataFrame:
     """Edges (a, b) between nodes such that nodes with a common prefix key are connected."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1))
+    shared = rows.sparkSession.sparkContext.broadcast(repeated)
     blob = "bucket long, nodes binary, sizes binary, keys binary, edges binary"
 
     def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
@@ -167,7 +190,7 @@ def _candidates(rows: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "nodes", "sizes", "keys", "edges"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, keys, nodes, held = shared.value, set(), [], [], 0
+        repeated, seen, keys, nodes, held = shared.value, set(), [], [], 0
         for batch in batches:
             for _, s in shingle_sets(batch.column("text")):
                 node = set_key(s)
@@ -177,8 +200,10 @@ def _candidates(rows: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
                 for level, need in _bands(len(s)):
                     own = part_keys(s, level, need)
                     if len(own) > need:
-                        rare = counts[(own >> U(64 - BITS)).astype(np.int64)].astype(U) << U(44) | own >> U(20)
-                        own = own[np.argpartition(rare, need - 1)[:need]]
+                        cell = (own >> U(64 - min(bits, MAP))).astype(np.int64)
+                        often = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+                        rank = own >> U(1) | often.astype(U) << U(63)
+                        own = own[np.argpartition(rank, need - 1)[:need]]
                     keys.append(own)
                     nodes.append(node)
                     held += len(own)
@@ -278,10 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest, and a component of null ids only is null. An empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
-    measured = stage_table(_measure(rows), "sets")
+    # Some ten cells for each key, and a shard for each two million cells; a shard has at least a byte of the map.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(16, int(2 * size).bit_length())
+    shard_bits = min(max(0, bits - 21), MAP - 3)
+    measured = stage_table(_measure(rows, bits, shard_bits), "sets")
     sets = measured.filter("cells is null").select("row", "doc_id", "n", "node")
     total = measured.agg(F.sum("emits")).first()[0] or 0
-    edges = _candidates(rows, _merged_counts(measured), max(1, -(-total // BUCKET)))
+    edges = _candidates(rows, _repeated(measured, bits, shard_bits), bits, max(1, -(-total // BUCKET)))
     clusters = components(edges).withColumnRenamed("id", "node")
     holders = sets.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
     members = stage_table(clusters.join(holders, "node"), "members")
@@ -307,12 +336,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words stay. Of rows that agree in id and text one stays."""
     found = stage_table(near_duplicates(docs, id_col, text_col).filter("component is not null"), "components")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
-    gone = found.join(first, "component").filter("row <> first").select("row").distinct()
-    again = stage_table(found.groupBy("row").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("row").alias("_again")), "repeated")
-    gone = small_or_shuffled(stage_table(gone.withColumnRenamed("row", "_gone"), "gone"), 200_000)
-    rows = docs.withColumn("_row", row_key(id_col, text_col)).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    gone = small_or_shuffled(stage_table(found.join(first, "component").filter("row <> first").select("row").distinct(), "gone"))
+    again = stage_table(found.groupBy("row").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("row"), "repeated")
+    rows = packed(docs, id_col, text_col).join(gone, "row", "left_anti")
     if not again.isEmpty():
-        again = small_or_shuffled(again, 200_000)
-        single, several = (rows.join(again, F.col("_row") == F.col("_again"), how) for how in ("left_anti", "left_semi"))
-        rows = single.unionAll(several.dropDuplicates(["_row"]))
-    return rows.drop("_row")
+        again = small_or_shuffled(again)
+        rows = rows.join(again, "row", "left_anti").unionAll(rows.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return rows.select("all.*")

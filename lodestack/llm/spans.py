@@ -31,9 +31,10 @@ def per_row(ranges: DataFrame, *columns: str) -> DataFrame:
 
 def with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """Rows of ``keyed`` with the ranges of ``per_row`` or with single ranges. They are staged and counted, arrays by their
-    elements: up to RANGES (about 150 MB) they go to every executor, otherwise both sides are shuffled by key."""
+    elements: up to RANGES (about 150 MB), or a tenth as many single rows, they go to every executor; beyond that both sides
+    are shuffled by key."""
     staged = stage_table(ranges, "ranges")
-    size = F.coalesce(F.sum(F.size("ranges") + 1), F.lit(0)) if "ranges" in ranges.columns else F.count(F.lit(1))
+    size = F.coalesce(F.sum(F.size("ranges") + 1), F.lit(0)) if "ranges" in ranges.columns else F.count(F.lit(1)) * 10
     return rows.join(F.broadcast(staged) if staged.agg(size).first()[0] <= RANGES else staged, "row", how)
 
 
