@@ -39,24 +39,48 @@ MAP = 27
 U = np.uint64
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every text; a text with fewer words is one shingle, one without words none."""
+def shingle_portions(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sets, sizes) of some texts at a time: their sorted distinct shingle hashes one after the other, and how many
+    each text has. A text with fewer words than a shingle is one shingle, one without words none."""
     for lo, _, data, offsets in H.portions(column):
         _, _, hashes, first = H.words(data, offsets, H.SPACED)
         sums = H.word_sums(hashes)
-        every = sums.windows(k)
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            if b - a >= k:
-                yield lo + i, np.unique(every[a:b - k + 1])
-            else:
-                yield lo + i, sums.runs(np.array([a]), np.array([b])) if b > a else np.empty(0, U)
+        n = np.diff(first)
+        size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        end = np.cumsum(size)
+        own = np.repeat(np.arange(len(n)), size)
+        out = np.empty(len(own), U)
+        out[n[own] >= k] = sums.windows(k)[H.fitting(first, k)]
+        short = np.flatnonzero((n > 0) & (n < k))
+        out[end[short] - 1] = sums.runs(first[short], first[short] + n[short])
+        for a, b in zip((end - size).tolist(), end.tolist()):
+            out[a:b].sort()
+        keep = np.ones(len(out), bool)
+        keep[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
+        yield lo, out[keep], np.bincount(own[keep], minlength=len(n))
+
+
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of every text."""
+    for lo, flat, sizes in shingle_portions(column, k):
+        for i, s in enumerate(_split(flat, sizes)):
+            yield lo + i, s
+
 
+def _split(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    end = np.cumsum(sizes)
+    return [flat[a:b] for a, b in zip((end - sizes).tolist(), end.tolist())]
 
-def set_key(s: np.ndarray) -> int:
-    """64-bit key of a set, as a signed integer: equal sets have equal keys."""
-    spread = H.mix(s + U(0x632BE59BD9B4E019))
-    both = np.array([np.add.reduce(spread)]) ^ np.array([np.bitwise_xor.reduce(spread)]) * U(0x9FB21C651E98DF25) ^ U(len(s))
-    return int(H.mix(both).view(np.int64)[0])
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit keys of sets, as signed integers: equal sets have equal keys, an empty one 0."""
+    out, some = np.zeros(len(sizes), np.int64), sizes > 0
+    if some.any():
+        at = (np.cumsum(sizes) - sizes)[some]
+        spread = H.mix(flat + U(0x632BE59BD9B4E019))
+        both = np.add.reduceat(spread, at) ^ np.bitwise_xor.reduceat(spread, at) * U(0x9FB21C651E98DF25) ^ sizes[some].astype(U)
+        out[some] = H.mix(both).view(np.int64)
+    return out
 
 
 def differing(a: int, b: int, p: int = P, q: int = Q) -> int:
@@ -73,18 +97,42 @@ def _bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def part_key_lists(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, needs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many each set has) of sets that are not empty: keys of the parts that are not empty; of empty ones too, if
+    those are fewer than needed."""
+    if not len(sizes):
+        return np.empty(0, U), np.empty(0, np.int64)
+    own, level = np.repeat(np.arange(len(sizes)), sizes), levels.astype(U)
+    part = flat >> (U(64) - level)[own]
+    cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (own[1:] != own[:-1])])
+    toggled, part, own = np.bitwise_xor.reduceat(H.mix(flat), cut), part[cut], own[cut]
+    keys = H.mix(toggled ^ H.mix((part << U(8)) + level[own]))
+    counts = np.bincount(own, minlength=len(sizes))
+    few = np.flatnonzero(counts < needs)
+    if len(few):
+        lists, parts = _split(keys, counts), _split(part, counts)
+        for i in few.tolist():
+            empty = np.setdiff1d(np.arange(1 << int(levels[i])).astype(U), parts[i])
+            more = H.mix(H.mix((empty << U(8)) + level[i]) ^ U(0xE7037ED1A0B428DB))
+            lists[i] = np.concatenate([lists[i], np.sort(more)[: needs[i] - counts[i]]])
+        keys, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+    return keys, counts
+
+
 def part_keys(s: np.ndarray, level: int, need: int) -> np.ndarray:
-    """Keys of the parts that are not empty; of empty ones too, if those are fewer than ``need``."""
-    part = s >> U(64 - level)
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    toggled = np.bitwise_xor.reduceat(H.mix(s), cut)
-    salt = H.mix((part[cut] << U(8)) + U(level))
-    keys = H.mix(toggled ^ salt)
-    if len(keys) < need:
-        empty = np.setdiff1d(np.arange(1 << level).astype(U), part[cut])
-        more = H.mix(H.mix((empty << U(8)) + U(level)) ^ U(0xE7037ED1A0B428DB))
-        keys = np.concatenate([keys, np.sort(more)[: need - len(keys)]])
-    return keys
+    """The part keys of one set."""
+    return part_key_lists(s, np.array([len(s)]), np.array([level]), np.array([need]))[0]
+
+
+def banded_keys(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sets, needed, keys, how many each has) of the first and of the second bands of sets."""
+    bands = [_bands(n) if n else [] for n in sizes.tolist()]
+    for turn in (0, 1):
+        here = np.array([len(b) > turn for b in bands], bool)
+        which = np.flatnonzero(here)
+        if len(which):
+            levels, needs = np.array([bands[i][turn] for i in which.tolist()]).T
+            yield which, needs, *part_key_lists(flat[np.repeat(here, sizes)], sizes[which], levels, needs)
 
 
 def _gaps(keys: np.ndarray, bits: int, shard_bits: int) -> list[tuple[int, bytes]]:
@@ -113,17 +161,19 @@ def _measure(rows: DataFrame, bits: int, shard_bits: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             sizes, nodes, emits = [], [], []
-            for _, s in shingle_sets(batch.column("text")):
-                bands = _bands(len(s)) if len(s) else []
-                for level, need in bands:
-                    held.append(part_keys(s, level, need))
-                    n += len(held[-1])
-                sizes.append(len(s))
-                nodes.append(set_key(s))
-                emits.append(sum(need for _, need in bands))
+            for _, flat, size in shingle_portions(batch.column("text")):
+                emit = np.zeros(len(size), np.int64)
+                for which, needs, keys, _ in banded_keys(flat, size):
+                    held.append(keys)
+                    n += len(keys)
+                    emit[which] += needs
+                sizes.append(size)
+                nodes.append(set_keys(flat, size))
+                emits.append(emit)
                 if n >= FLUSH:
                     yield told(held)
                     held, n = [], 0
+            sizes, nodes, emits = (np.concatenate([np.empty(0, np.int64), *x]) for x in (sizes, nodes, emits))
             none = [None] * len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((batch.column("row"), batch.column("doc_id"), sizes, nodes, emits, none, none), kinds)], names)
         if n:
@@ -192,21 +242,21 @@ def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int)
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, seen, keys, nodes, held = shared.value, set(), [], [], 0
         for batch in batches:
-            for _, s in shingle_sets(batch.column("text")):
-                node = set_key(s)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                for level, need in _bands(len(s)):
-                    own = part_keys(s, level, need)
-                    if len(own) > need:
-                        cell = (own >> U(64 - min(bits, MAP))).astype(np.int64)
-                        often = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
-                        rank = own >> U(1) | often.astype(U) << U(63)
-                        own = own[np.argpartition(rank, need - 1)[:need]]
-                    keys.append(own)
-                    nodes.append(node)
-                    held += len(own)
+            for _, flat, sizes in shingle_portions(batch.column("text")):
+                ids, fresh = set_keys(flat, sizes), np.zeros(len(sizes), bool)
+                for i, (node, n) in enumerate(zip(ids.tolist(), sizes.tolist())):
+                    if n and node not in seen:
+                        seen.add(node)
+                        fresh[i] = True
+                flat, sizes, ids = flat[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
+                for which, needs, every, counts in banded_keys(flat, sizes):
+                    cell = (every >> U(64 - min(bits, MAP))).astype(np.int64)
+                    often = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+                    rank = every >> U(1) | often.astype(U) << U(63)
+                    for own, order, need in zip(_split(every, counts), _split(rank, counts), needs.tolist()):
+                        keys.append(own[np.argpartition(order, need - 1)[:need]] if len(own) > need else own)
+                    nodes += ids[which].tolist()
+                    held += int(np.minimum(counts, needs).sum())
                 if held >= FLUSH:
                     yield from flush(keys, nodes)
                     seen, keys, nodes, held = set(), [], [], 0
@@ -251,10 +301,10 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     codes = [code[e - n:e] for e, n in zip(ends, sizes)]
-    dense = np.zeros((len(sets), DENSE), bool)
-    for row, s in zip(dense, sets):
-        at, n = np.unique((H.mix(s) >> U(32)).astype(np.int64) % DENSE, return_counts=True)
-        row[at] = n & 1
+    dense = np.zeros((len(sets), DENSE), np.uint8)
+    bit = ((H.mix(tokens) >> U(32)).astype(np.int64) % DENSE)[code]
+    np.add.at(dense.reshape(-1), np.repeat(np.arange(len(sets)), sizes) * DENSE + bit, np.uint8(1))  # a byte keeps the parity
+    dense &= 1
     dense = np.packbits(dense, axis=1).view(U)
     forest, mark, found = _Forest(len(sets)), np.zeros(len(tokens), bool), []
     ranked, packed = sizes[order], dense[order]
@@ -282,12 +332,14 @@ def _verified(members: DataFrame) -> DataFrame:
     """Edges (a, b) that connect, within each cluster of ``members`` (root, node, i, j, half, task, text), what is linked."""
 
     def verify(df: pd.DataFrame) -> pd.DataFrame:
+        # Repeated rows bring their text more than once.
+        df = df.drop_duplicates(["root", "i", "j", "node"]).sort_values(["root", "i", "j"], kind="stable")
+        sets = [s for _, s in shingle_sets(pa.array(df["text"], pa.large_string()))]
+        root, i, j, nodes, side = (df[c].to_numpy() for c in ("root", "i", "j", "node", "half"))
+        cut = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         out = []
-        for (_, i, j), part in df.groupby(["root", "i", "j"]):
-            part = part.drop_duplicates("node")  # repeated rows bring their text more than once
-            sets = [s for _, s in shingle_sets(pa.array(part["text"], pa.large_string()))]
-            nodes, side = part["node"].to_numpy(), part["half"].to_numpy()
-            out += [(nodes[a], nodes[b]) for a, b in linked(sets, None if i == j else side)]
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(df)]):
+            out += [(nodes[lo + a], nodes[lo + b]) for a, b in linked(sets[lo:hi], None if i[lo] == j[lo] else side[lo:hi])]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return members.groupBy("task").applyInPandas(verify, "a long, b long")
