@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.llm import bwt_dedup, count_min, decontam, kneser_ney, lang_kernel, mil_quality, mixing, parity_join, topk, url_rules
+from lodestack.llm import (
+    bwt_dedup, count_min, decontam, fill_middle, hard_negatives, kneser_ney, lang_kernel, mil_quality, mixing, parity_join, quality_rules, topk, url_rules,
+)
 from lodestack.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -120,3 +122,60 @@ def op2(spark, sf):
 @query("op9_kneser_ney")
 def op9(spark, sf):
     return kneser_ney.score(table(spark, sf, "documents")).drop("perplexity")
+
+
+@query(
+    "op11_fill_middle",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, w, len(w) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:n], ''), '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+)
+def op11(spark, sf):
+    return fill_middle.fill_in_middle(table(spark, sf, "documents")).drop("output")
+
+
+@query(
+    "op12_hard_negatives",
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+ CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+)
+def op12(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.vectors(table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label")))
+    return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query(
+    "op13_quality_rules",
+    r"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+x AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 7], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
+y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM x) WHERE c > 1),
+z AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, i + j AS i FROM y, range(8) AS g(j)) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+ len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM w LEFT JOIN z USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+v AS (SELECT doc_id, lang, source, unnest([{'m': 'a', 'v': word_chars * 1000 // n_words, 'g': 250}, {'m': 'b', 'v': n_symbols * 1000000 // word_chars, 'g': 10000},
+ {'m': 'c', 'v': n_dup_lines * 1000000 // n_lines, 'g': 110000}, {'m': 'd', 'v': n_repeat_words * 1000000 // n_words, 'g': 100000}], recursive := true) FROM f WHERE NOT base_failed),
+k AS (SELECT lang, source, m, v - v % (CAST(1 AS BIGINT) << greatest(length(bin(v)) - 8, 0)) AS e, CAST(count(*) AS BIGINT) AS c FROM v GROUP BY ALL),
+s AS (SELECT 0 AS lvl, lang, source, m, e, c FROM k UNION ALL SELECT 1, lang, NULL, m, e, sum(c) FROM k GROUP BY lang, m, e UNION ALL SELECT 2, NULL, NULL, m, e, sum(c) FROM k GROUP BY m, e),
+u AS (SELECT *, sum(c) OVER (PARTITION BY lvl, lang, source, m ORDER BY e ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY lvl, lang, source, m) AS total FROM s),
+q AS (SELECT lvl, lang, source, m, max(total) AS total, min(e) FILTER (WHERE 4 * upto >= total) AS low, min(e) FILTER (WHERE 4 * upto >= 3 * total) AS high FROM u GROUP BY lvl, lang, source, m),
+o AS (SELECT v.doc_id, v.m, v.v, v.g, arg_min(struct_pack(low := q.low, high := q.high), q.lvl) AS t FROM v JOIN q ON v.m = q.m AND (q.total >= 100 OR q.lvl = 2)
+ AND (q.lvl = 2 OR v.lang IS NOT DISTINCT FROM q.lang) AND (q.lvl > 0 OR v.source IS NOT DISTINCT FROM q.source) GROUP BY v.doc_id, v.m, v.v, v.g),
+j AS (SELECT doc_id, bool_or(v > t.high + 3 * greatest(t.high - t.low, g) OR (m = 'a' AND v < t.low - 3 * greatest(t.high - t.low, g))) AS bad FROM o GROUP BY doc_id)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+ base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept FROM f LEFT JOIN j USING (doc_id)""",
+)
+def op13(spark, sf):
+    return quality_rules.judge(table(spark, sf, "documents")).drop("failed")
