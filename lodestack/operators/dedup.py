@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
-from lodestack.operators.skew import lookup_join
-from lodestack.session import cut_lineage
+from lodestack.operators.skew import PIECE_ROWS, PIECES, lookup_join
+from lodestack.session import cut_lineage, stage_table
 
 
 def digest(*columns: str) -> Column:
@@ -19,13 +17,13 @@ def digest(*columns: str) -> Column:
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the row with the smallest ``order`` (unique) per key: a hash aggregate of digests, then a semi join by ``order``.
+    """Keep the row with the smallest ``order`` (unique) per key: one aggregate over digests that carries the row along.
 
-    A key that holds a third of all rows is reduced to one short row per map task before the shuffle; a window would
-    send all of them to one task. Of the rows only the columns that are asked for move.
+    The input is evaluated once. A key that holds a third of all rows is reduced to one row per map task before the shuffle;
+    a window would send all of them to one task. Select the columns that are needed before: whole rows move.
     """
-    first = df.groupBy(digest(*keys).alias("_key")).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(digest(*keys).alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def audit_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -90,7 +88,8 @@ def components(links: DataFrame, left: str = "id", right: str = "keeper") -> Dat
 
 # --- near duplicates --------------------------------------------------------------------------------------------
 
-BANDS, ROWS = 12, 4
+# Rows of one piece of a posting list.
+PIECE = 4096
 
 
 def shingle_hashes(text: Column, width: int = 3) -> Column:
@@ -104,40 +103,64 @@ def shingle_hashes(text: Column, width: int = 3) -> Column:
     return F.array_distinct(F.transform(F.array(words), runs)[0])
 
 
-def _bands(shingles: Column, bands: int, rows: int) -> Column:
-    def smallest(seed: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(seed))))
+def _by_rarity(sets: DataFrame) -> DataFrame:
+    """id, n, r: the size of every set and those of its shingles that another set has too, the rarest first.
 
-    minima = [smallest(seed) for seed in range(bands * rows)]
-    return F.array(*[F.xxhash64(F.lit(b), *minima[b * rows:(b + 1) * rows]) for b in range(bands)])
+    Shingles are counted map-side; those that occur once, most of them, move no further. A shingle that a large share of all
+    sets has is joined in pieces. An array is bounded by its text.
+    """
+    single = stage_table(sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("h")), "shingle-rows")
+    counts = stage_table(single.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shingle-counts")
+    total = single.count()
+    pieces = max(PIECES, -(-total // PIECE_ROWS))
+    hot = counts.filter(F.col("c") * pieces >= total).select("h", F.ceil(F.col("c") * pieces / total).alias("_pieces"))
+    shared = lookup_join(single, counts, ["h"], "id", "inner", hot)
+    return shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("r"))
+
+
+def similar_pairs(sets: DataFrame, permille: int, piece: int = PIECE) -> DataFrame:
+    """(a, b), a < b: all pairs of ``sets`` (id, sh) with a Jaccard similarity above ``permille`` / 1000.
+
+    Prefix filter: with shingles in one global order, by rarity, two similar sets share one of their first n - floor(t n).
+    Shingles of a single set come first and cannot be the shared one, so a set with that many of them has no partner at all.
+    Length filter: the smaller set has more than t times the size of the larger. Positional filter: what follows a shared
+    shingle on both sides must still suffice; the first shared one of a similar pair always passes. A posting list of more
+    than ``piece`` rows is cut into pieces that meet two by two, so no task holds one list. One round: each candidate is
+    looked at once, by the exact intersection.
+    """
+    ordered = stage_table(_by_rarity(sets), "ordered-sets")
+    alone = F.col("n") - F.size("r")
+    length = F.greatest(F.size("r") - F.expr(f"(n * {permille}) div 1000"), F.lit(0)).cast("int")
+    postings = ordered.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("r", F.lit(1), length)).alias("at", "s"))
+    postings = stage_table(postings.select("id", "n", (F.col("alone") + F.col("at")).alias("pos"), F.col("s.h").alias("h")), "postings")
+    long_lists = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > piece)
+    cut = lookup_join(postings, long_lists.select("h", F.ceil(F.col("c") / piece).cast("int").alias("k")), ["h"], "id")
+    own = F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int")
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    cut = cut.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "pos")
+    left = cut.filter("own = lo").select("h", "lo", "hi", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos")])
+    right = cut.filter("own = hi").select("h", "lo", "hi", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos")])
+    fits = (
+        "(lo < hi or a_id < b_id) and 1000 * least(a_n, b_n) > %d * greatest(a_n, b_n) "
+        "and 1 + least(a_n - a_pos, b_n - b_pos) - 1 > (%d * (a_n + b_n)) div %d" % (permille, permille, 1000 + permille)
+    )
+    asked = left.join(right, ["h", "lo", "hi"]).filter(fits).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    member = lambda k, s, m: ordered.select(F.col("id").alias(k), F.transform("r", lambda e: e.h).alias(s), F.col("n").alias(m))
+    both = asked.join(member("a", "x", "nx"), "a").join(member("b", "y", "ny"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(1000 * common > permille * (F.col("nx") + F.col("ny") - common)).select("a", "b")
 
 
-def near_duplicate_links(df: DataFrame, key: str, id_col: str, threshold: float = 0.85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Links (id, leader) between texts whose shingle sets have a Jaccard similarity above ``threshold``.
+def near_duplicate_links(df: DataFrame, key: str, id_col: str, threshold: float = 0.85, width: int = 3, piece: int = PIECE) -> DataFrame:
+    """Links (id, other) of all texts whose shingle sets have a Jaccard similarity above ``threshold`` (to a thousandth).
 
-    Equal texts are linked first and take part once. Texts that share a MinHash band are compared with the leader
-    (smallest id) of the band only, by exact Jaccard; members that are not similar to it elect the next leader, and
-    so on until every member is a leader or linked. Nothing is capped and no band emits its pairs.
+    Texts with equal sets form a class, represented by its largest id: the members link to it (``other``), which is linear in
+    the copies. Between representatives every similar pair is a link, the smaller id first. None is lost, so chains are whole.
     """
-    exact = duplicate_links(df, key, id_col).withColumnRenamed("keeper", "leader")
-    distinct = df.groupBy(digest(key).alias("_key")).agg(F.max(id_col).alias("id"), F.max(key).alias("_text"))
-    sets = cut_lineage(distinct.select("id", shingle_hashes(F.col("_text")).alias("sh")))
-    members = cut_lineage(sets.select("id", F.explode(_bands(F.col("sh"), bands, rows)).alias("band")))
-    found = []
-    while True:
-        crowds = members.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        open_pairs = lookup_join(members, crowds.select("band", "leader"), ["band"], "id", "inner").filter("id <> leader")
-        asked = open_pairs.select("id", "leader").distinct()
-        left = asked.join(sets, "id")
-        leaders = sets.select(F.col("id").alias("leader"), F.col("sh").alias("lsh"))
-        both = lookup_join(left, leaders, ["leader"], "id", "inner")
-        common = F.size(F.array_intersect("sh", "lsh"))
-        similar = both.filter(common / (F.size("sh") + F.size("lsh") - common) > threshold).select("id", "leader")
-        hits = cut_lineage(similar)
-        found.append(hits)
-        members = cut_lineage(
-            open_pairs.join(hits, ["id", "leader"], "left_anti").select("id", "band")
-        )
-        if members.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found, exact).distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.sort_array(shingle_hashes(F.col(key), width)).alias("sh"))
+    keyed = stage_table(rows.withColumn("_key", F.sha2(F.array_join(F.transform("sh", lambda h: h.cast("string")), ","), 256)), "shingles")
+    classes = stage_table(keyed.groupBy("_key").agg(F.max("id").alias("other"), F.count(F.lit(1)).alias("size")), "classes")
+    copies = lookup_join(keyed.select("id", "_key"), classes.filter("size > 1").select("_key", "other"), ["_key"], "id", "inner")
+    sets = keyed.join(classes.select(F.col("other").alias("id")), "id", "left_semi").select("id", "sh")
+    pairs = similar_pairs(sets, round(1000 * threshold), piece)
+    return copies.filter("id <> other").select("id", "other").unionAll(pairs.select(F.col("a").alias("id"), F.col("b").alias("other")))

@@ -115,11 +115,31 @@ def j07b(spark, sf):
     return dedup.duplicate_groups(table(spark, sf, "documents"), "text", "doc_id").select("keeper", "n_pairs")
 
 
-@query("j08_near_duplicate_links")
+_SHINGLES = (
+    f"WITH w AS (SELECT doc_id, {tok('text')} AS w FROM documents), "
+    "s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')] "
+    "ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM w), "
+    "c AS (SELECT s, max(doc_id) AS rep FROM s GROUP BY s), x AS (SELECT rep, len(s) AS n, unnest(s) AS h FROM c), "
+    "p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM x a JOIN x b USING (h) WHERE a.rep < b.rep GROUP BY a.rep, b.rep), "
+    "links AS (SELECT doc_id AS id, rep AS other FROM s JOIN c USING (s) WHERE doc_id <> rep UNION ALL SELECT a, b FROM p WHERE 1000 * c > 850 * (n - c))"
+)
+
+
+@query("j08_near_duplicate_links", _SHINGLES + " SELECT id, other FROM links")
 def j08(spark, sf):
     return dedup.near_duplicate_links(table(spark, sf, "documents"), "text", "doc_id")
 
 
+@query(
+    "j08_near_duplicate_groups",
+    _SHINGLES.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT id, other FROM links UNION ALL SELECT other, id FROM links), "
+    "r AS (SELECT id, id AS root FROM e UNION SELECT e.id, r.root FROM r JOIN e ON e.other = r.id) SELECT id, max(root) AS root FROM r GROUP BY id",
+)
+def j08b(spark, sf):
+    links = stage_table(dedup.near_duplicate_links(table(spark, sf, "documents"), "text", "doc_id"), "links")
+    return dedup.components(links, "id", "other")
+
+
 @query("j09_zip_references", ctes("fx_pairs") + " SELECT idx AS seg_id, length(pred) AS n_hyp, length(gold) AS n_a, length(source) AS n_b FROM fx_pairs JOIN documents ON doc_id = idx")
 def j09(spark, sf):
     pairs = view(spark, sf, "fx_pairs").withColumnRenamed("idx", "seg_id")

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
@@ -13,6 +16,11 @@ def test_dedup_first_is_idempotent_and_keeps_the_first(spark):
     assert once.exceptAll(dedup.dedup_first(once, ["k"], "i")).count() == 0
 
 
+def test_dedup_first_keeps_one_row_of_equal_order(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", None)], "i long, k string, `v.w` string")
+    assert sorted(map(tuple, dedup.dedup_first(rows, ["k"], "i").collect()), key=repr) == [(1, "a", "x"), (1, "b", None)]
+
+
 def test_hot_group(spark):
     """A third of all rows are copies of one text."""
     rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("t"))
@@ -34,26 +42,46 @@ def test_components(spark):
     assert sizes == {60: 42, 102: 3}
 
 
-def test_near_duplicates_brute_force(spark):
-    base = [f"w{i} w{i + 1} w{i * 7 % 13} w{i * 3} z{i} y{i} x{i} v{i} u{i} t{i} s{i} r{i}" for i in range(0, 600, 20)]
-    texts = []
-    for b in base:
-        words = (b + " " + " ".join(f"{b[1:3]}q{k}" for k in range(60))).split()
-        texts += [" ".join(words), " ".join(words[:-1]), " ".join(words[1:])]
-    texts += [texts[0]] * 50  # a group of exact copies
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    links = dedup.near_duplicate_links(df, "t", "id")
-
-    def shingles(t):
-        w = t.split()
-        return {" ".join(w[i:i + 3]) for i in range(len(w) - 2)}
-
-    for r in links.collect():
-        a, b = shingles(texts[r.id]), shingles(texts[r.leader])
-        assert len(a & b) / len(a | b) > 0.85
-    roots = dedup.components(links, "id", "leader")
-    assert roots.select("root").distinct().count() == len(base)
-    assert roots.count() == len(texts)
+def _shingles(text):
+    w = text.split()
+    return frozenset(" ".join(w[i:i + 3]) for i in range(max(len(w) - 2, 1)))
+
+
+def _links(texts, threshold):
+    """All links of the contract, by comparing every pair."""
+    classes = {}
+    for i, t in enumerate(texts):
+        classes.setdefault(_shingles(t), []).append(i)
+    out = {(i, max(ids)) for ids in classes.values() for i in ids if i != max(ids)}
+    reps = [(max(ids), s) for s, ids in classes.items()]
+    return out | {(a, b) for a, x in reps for b, y in reps if a < b and 1000 * len(x & y) > round(1000 * threshold) * len(x | y)}
+
+
+@pytest.mark.parametrize("threshold,piece", [(0.85, 4096), (0.85, 3), (0.5, 7), (0.2, 2)])
+def test_near_duplicates_lose_no_link(spark, threshold, piece):
+    rnd = random.Random(piece)
+    texts = ["", " ", "a", "a b", "A b", "a b c", "a b c d", "a b c a b c a b c", "x " * 500]
+    common = " ".join(f"c{k}" for k in range(40))
+    for b in range(12):
+        words = [f"{rnd.choice('pqrs')}{rnd.randrange(40)}" for _ in range(rnd.randint(30, 90))]
+        texts.append(" ".join(words))
+        # A chain: each text is like the one before, the ends need not be alike.
+        for step in range(8):
+            at = rnd.randrange(len(words))
+            words = words[:at] + [f"new{b}-{step}"] + words[at + 1:]
+            texts.append(" ".join(words))
+        texts += [texts[-1], "  " + texts[-1], f"{common} t{b}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(5)
+    found = dedup.near_duplicate_links(df, "t", "id", threshold, piece=piece).collect()
+    assert len(found) == len({(r.id, r.other) for r in found})
+    assert {(r.id, r.other) for r in found} == _links(texts, threshold)
+
+
+def test_similar_sets_without_candidates(spark):
+    empty = spark.createDataFrame([], "id long, t string")
+    assert dedup.near_duplicate_links(empty, "t", "id").collect() == []
+    one = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "id long, t string")
+    assert dedup.near_duplicate_links(one, "t", "id").collect() == []
 
 
 def test_nearest_manifest(spark):

@@ -29,7 +29,13 @@ def test_no_nested_loops(spark, name):
 
 def test_dedup_aggregates_before_the_shuffle(spark):
     text = plan(registry.QUERIES["a01_dedup_first"](spark, SF))
-    assert "partial_min" in text and "HashAggregate" in text and "SortAggregate" not in text and "Window" not in text
+    assert "partial_min_by" in text and text.count("Exchange") == 1 and text.count("Scan parquet") == 1 and "Window" not in text
+
+
+@pytest.mark.parametrize("name", ["x02_clean_corpus", "a01_dedup_first_two_keys"])
+def test_dedup_evaluates_its_input_once(spark, name):
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert text.count("Scan parquet") == 1 and "Join" not in text
 
 
 def test_tables_are_read_whole(spark):
