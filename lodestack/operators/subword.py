@@ -1,23 +1,42 @@
-"""Subword vocabulary by byte-pair merges, and encoding to fixed-length id arrays."""
+"""Subword vocabulary by byte-pair merges, and encoding to fixed-length id arrays.
+
+Learning takes many merges in a round. Let lo be the count of some pair in the ranking. A merge changes only counts of pairs
+beside it, and a new pair is at most as frequent as the one it replaces, so pairs with a count of at most lo cannot rise above
+it. All words can therefore be cut at such pairs; what lies between, the segments, are few and short, and merging one pair at
+a time within them is merging one pair at a time in the corpus, down to lo. One task does that for the segments of a round,
+whose number is bounded, with an inverted index from pairs to segments and count changes; all words are then rewritten in
+parallel. The driver sees the head of the ranking and the merges.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import SPACE_MARK, tokens
-from lodestack.session import cut_lineage
+from lodestack.operators.skew import lookup_join
+from lodestack.session import stage_table
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<s>", "</s>", "<unk>"]
 VOCAB_SIZE = 50_000
-MAX_BATCH = 64
-CHECKPOINT_EVERY = 4
-# Every symbol is kept between its own pair of marks, so replacing text can only hit whole symbols.
-_L, _R = "\u0002", "\u0003"
+# Pairs of the ranking that reach the driver in a round, and segments that one task works on.
+RANKED, SEGMENTS = 100_000, 250_000
+_JOIN = "\u0002"
+
+
+class Model(NamedTuple):
+    """Piece to id, and the merges in order. Both are bounded by the vocabulary size."""
+
+    vocab: dict[str, int]
+    merges: list[tuple[str, str]]
 
 
 def word_counts(df: DataFrame, column: str) -> DataFrame:
@@ -26,61 +45,205 @@ def word_counts(df: DataFrame, column: str) -> DataFrame:
     return words.select(F.concat(F.lit(SPACE_MARK), "w").alias("word"), "freq")
 
 
-def _pairs(words: DataFrame) -> DataFrame:
-    """Weighted counts of neighbouring symbols; the pair is one string, split only for the few rows that are used."""
-    pairs = F.regexp_extract_all("symbols", F.lit(f"(?={_L}([^{_R}]*+{_R}{_L}[^{_R}]*+){_R})"), F.lit(1))
-    return words.select("freq", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("freq").alias("n"))
+# --- learning ---------------------------------------------------------------------------------------------------
 
 
-def independent_prefix(ranked: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
-    """Longest head of the ranking that one-at-a-time merging would take in the same order.
-
-    Merging (a, b) uses up an ``a`` in front of ``b`` and a ``b`` behind ``a``. So it only touches pairs that end in
-    ``a`` or begin with ``b``, and the new pairs are at most as frequent as those. The head may be merged in one go up
-    to the first pair that is touched by one before it, less those that only tie with that pair.
-    """
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    head: list[tuple[str, str, int]] = []
-    blocked = ranked[-1][2] if len(ranked) >= MAX_BATCH else 0
-    for a, b, n in ranked:
-        if head and (a == b or a in rights or b in lefts):
-            blocked = n
-            break
-        head.append((a, b, n))
-        lefts.add(a)
-        rights.add(b)
-        if a == b:
-            blocked = n
-            break
-    strict = [h for h in head if h[2] > blocked]
-    return [(a, b) for a, b, _ in (strict or head[:1])]
+def _in_order(merges: list[tuple[str, str]]) -> dict[tuple[str, str], list[int]]:
+    ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, pair in enumerate(merges):
+        ranks[pair].append(i)
+    return dict(ranks)
 
 
-def learn_merges(words: DataFrame, n_merges: int) -> list[tuple[str, str]]:
-    """Merge list in order, most frequent pair first, ties by text. Equal to merging one pair at a time.
+def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+    """What the merges make of a word when each is applied to all of it, from left to right, in their order.
 
-    Only the head of the pair ranking (at most MAX_BATCH rows) reaches the driver; words stay distributed.
+    A heap of (rank, position) over a linked list: n log n in the symbols.
+    """
+    n = len(symbols)
+    symbols, right, left = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, str, str]] = []
+
+    def push(i: int, after: int) -> None:
+        if i >= 0 and right[i] < n:
+            for rank in ranks.get((symbols[i], symbols[right[i]]), ()):
+                if rank > after:
+                    heapq.heappush(heap, (rank, i, symbols[i], symbols[right[i]]))
+                    break
+
+    for i in range(n - 1):
+        push(i, -1)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = right[i]
+        if symbols[i] != a or j >= n or symbols[j] != b:
+            continue
+        symbols[i], symbols[j], right[i] = a + b, None, right[j]
+        if right[j] < n:
+            left[right[j]] = i
+        push(left[i], rank)
+        push(i, rank)
+    return [s for s in symbols if s is not None]
+
+
+def merge_down(segments: list[list[str]], freqs: list[int], lo: int, limit: int, known: set[str], below: dict[tuple[str, str], int], last: int) -> list[tuple[str, str, int]]:
+    """Merges (left, right, count) of these segments one at a time, most frequent first and ties by text, while counts exceed
+    ``lo``. Pairs lead to their segments, and a merge changes the counts of the pairs in those only.
+
+    A merge may make a piece that some words hold already (``known``) at places that were cut off. Pairs with it may be more
+    frequent than the segments show, by what ``below`` says (or ``last``); the round ends where such a pair could be next.
+    """
+    counts: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for k, symbols in enumerate(segments):
+        for pair in zip(symbols, symbols[1:]):
+            counts[pair] += freqs[k]
+            where[pair].add(k)
+    inside = set(counts)
+    most = lambda p: counts[p] + (min(lo, below.get(p, last)) if p[0] in known and p[1] in known and p not in inside else 0)
+    heap = [(-n, p) for p, n in counts.items()]
+    heapq.heapify(heap)
+    out: list[tuple[str, str, int]] = []
+    while heap and len(out) < limit:
+        n, pair = heapq.heappop(heap)
+        if not counts.get(pair) or -n != most(pair):
+            if counts.get(pair) and most(pair) > lo:
+                heapq.heappush(heap, (-most(pair), pair))
+            continue
+        if -n <= lo or -n != counts[pair]:
+            break
+        out.append((*pair, -n))
+        piece = pair[0] + pair[1]
+        changes: dict[tuple[str, str], int] = defaultdict(int)
+        for k in where.pop(pair):
+            old, freq = segments[k], freqs[k]
+            new, i, end = [], 0, len(old) - 1
+            while i <= end:
+                if i < end and old[i] == pair[0] and old[i + 1] == pair[1]:
+                    new.append(piece)
+                    i += 2
+                else:
+                    new.append(old[i])
+                    i += 1
+            if len(new) > end:
+                continue
+            for p in zip(old, old[1:]):
+                changes[p] -= freq
+            for p in zip(new, new[1:]):
+                changes[p] += freq
+                if p[0] == piece or p[1] == piece:
+                    where[p].add(k)
+            segments[k] = new
+        for p, change in changes.items():
+            counts[p] += change
+            if change > 0 and most(p) > lo:  # what fell is found out when it comes up
+                heapq.heappush(heap, (-most(p), p))
+        counts.pop(pair, None)
+    return out
+
+
+def _ranking(state: DataFrame, ranked: int) -> list[tuple[str, str, int]]:
+    """Head of the ranking of neighbouring symbols, by count and text."""
+    at = F.sequence(F.lit(1), F.size("symbols") - 1)
+    pairs = state.select("freq", F.explode(F.transform(at, lambda i: F.struct(F.get("symbols", i - 1).alias("a"), F.get("symbols", i).alias("b")))).alias("p"))
+    counted = pairs.groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
+    return [tuple(r) for r in counted.orderBy(F.desc("n"), "a", "b").limit(ranked).select("a", "b", "n").collect()]
+
+
+def _cut(state: DataFrame, kept: set[tuple[str, str]]) -> DataFrame:
+    """segment, freq: the distinct runs of symbols whose neighbours are all ``kept`` pairs, with their counts."""
+    shared = state.sparkSession.sparkContext.broadcast(kept)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = shared.value
+        for df in frames:
+            sums: dict[str, int] = defaultdict(int)
+            for symbols, freq in zip(df["symbols"], df["freq"]):
+                run = [symbols[0]]
+                for a, b in zip(symbols, symbols[1:]):
+                    if (a, b) not in pairs:
+                        if len(run) > 1:
+                            sums[_JOIN.join(run)] += freq
+                        run = []
+                    run.append(b)
+                if len(run) > 1:
+                    sums[_JOIN.join(run)] += freq
+            yield pd.DataFrame({"segment": list(sums), "freq": list(sums.values())}, columns=["segment", "freq"])
+
+    return state.mapInPandas(cut, "segment string, freq long").groupBy("segment").agg(F.sum("freq").alias("freq"))
+
+
+def _rewritten(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Words after the merges; those that are one symbol now have no pair and go."""
+    shared = state.sparkSession.sparkContext.broadcast(_in_order(merges))
+
+    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            symbols = [apply_merges(list(s), shared.value) for s in df["symbols"]]
+            yield pd.DataFrame({"freq": df["freq"], "symbols": symbols}, columns=["freq", "symbols"])
+
+    return state.mapInPandas(rewrite, "freq long, symbols array<string>").filter(F.size("symbols") > 1)
+
+
+def learn(words: DataFrame, n_merges: int, ranked: int = RANKED, segments: int = SEGMENTS) -> DataFrame:
+    """rank, left, right, freq, round: the merges in order, equal to merging one pair at a time (ties by text).
+
+    ``words`` is (word, freq). At most ``ranked`` pairs reach the driver in a round and at most ``segments`` segments a task;
+    lo is lowered as far as that allows. Where not even the first few pairs fit, a round takes the first pair alone.
     """
-    marked = F.regexp_replace("word", "(?s)(.)", f"{_L}$1{_R}")
-    cores = words.sparkSession.sparkContext.defaultParallelism
-    state = cut_lineage(words.repartition(cores, "word").select("freq", marked.alias("symbols")))
-    merges: list[tuple[str, str]] = []
-    rounds = 0
-    while len(merges) < n_merges:
-        ranked = _pairs(state).orderBy(F.desc("n"), "pair").limit(MAX_BATCH).collect()
-        if not ranked:
+    spark = words.sparkSession
+    kind = "rank int, left string, right string, freq long, round int"
+    symbols = F.filter(F.split("word", ""), lambda c: c != "")
+    state = stage_table(words.select("freq", symbols.alias("symbols")).filter(F.size("symbols") > 1), "words")
+    known = {r.c for r in words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()}
+    tables, done, step, tries = [], 0, 0, 4096
+    while done < n_merges:
+        top = _ranking(state, ranked)
+        if not top:
             break
-        batch = independent_prefix([(*r.pair.split(_R + _L), r.n) for r in ranked])[: n_merges - len(merges)]
-        merges += batch
-        symbols = F.col("symbols")
-        for a, b in batch:
-            symbols = F.replace(symbols, F.lit(f"{_L}{a}{_R}{_L}{b}{_R}"), F.lit(f"{_L}{a}{b}{_R}"))
-        state = state.withColumn("symbols", symbols)
-        rounds += 1
-        if rounds % CHECKPOINT_EVERY == 0:
-            state = cut_lineage(state)
-    return merges
+        whole = len(top) < ranked
+        tries = min(tries, len(top))
+        while True:
+            # All pairs above the count of the first one that is left out.
+            lo = top[tries][2] if tries < len(top) else (0 if whole else top[-1][2])
+            kept = {(a, b) for a, b, n in top if n > lo}
+            if not kept and tries < len(top) and tries < 64:
+                tries = min(2 * tries, len(top))
+                continue
+            found = stage_table(_cut(state, kept), "segments") if kept else None
+            size = found.count() if kept else 0
+            if size <= segments or tries == 1:
+                break
+            tries = max(1, tries // 2)
+        if kept and size <= segments:
+            below = {(a, b): n for a, b, n in top if n <= lo}
+            at = (lo, n_merges - done, frozenset(known), below, 0 if whole else top[-1][2])
+            shared = spark.sparkContext.broadcast(at)
+
+            def merged(df: pd.DataFrame) -> pd.DataFrame:
+                out = merge_down([s.split(_JOIN) for s in df["segment"]], df["freq"].tolist(), *shared.value)
+                return pd.DataFrame([(i, *m, 0) for i, m in enumerate(out)], columns=["rank", "left", "right", "freq", "round"])
+
+            made = found.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda df: merged(df), kind)
+        else:
+            made = spark.createDataFrame([(0, *top[0], 0)], kind)
+        made = stage_table(made.withColumn("rank", (F.col("rank") + done).cast("int")).withColumn("round", F.lit(step)), "merges")
+        new = [(r.left, r.right) for r in made.orderBy("rank").collect()]
+        if not new:  # an uncertain pair came first: take the first of the exact ranking alone
+            made = stage_table(spark.createDataFrame([(done, *top[0], step)], kind), "merges")
+            new = [top[0][:2]]
+        tables.append(made)
+        done, step = done + len(new), step + 1
+        known |= {a + b for a, b in new}
+        tries *= 2
+        if done < n_merges:
+            state = stage_table(_rewritten(state, new), "words")
+    return reduce(DataFrame.unionAll, tables) if tables else spark.createDataFrame([], kind)
+
+
+def learn_merges(words: DataFrame, n_merges: int, ranked: int = RANKED, segments: int = SEGMENTS) -> list[tuple[str, str]]:
+    """Merge list in order; bounded by the vocabulary size."""
+    return [(r.left, r.right) for r in learn(words, n_merges, ranked, segments).orderBy("rank").collect()]
 
 
 def vocabulary(words: DataFrame, merges: list[tuple[str, str]]) -> dict[str, int]:
@@ -93,60 +256,63 @@ def vocabulary(words: DataFrame, merges: list[tuple[str, str]]) -> dict[str, int
     return {p: i for i, p in enumerate(pieces)}
 
 
-def learn_bpe(df: DataFrame, column: str, vocab_size: int = VOCAB_SIZE) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    words = cut_lineage(word_counts(df, column))
+def learn_bpe(df: DataFrame, column: str, vocab_size: int = VOCAB_SIZE) -> Model:
+    words = stage_table(word_counts(df, column), "word-counts")
     n_chars = words.select(F.explode(F.split("word", "")).alias("c")).filter("c <> ''").distinct().count()
     merges = learn_merges(words, max(vocab_size - len(SPECIALS) - n_chars, 0))
-    return vocabulary(words, merges), merges
+    return Model(vocabulary(words, merges), merges)
 
 
-def _segment(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    symbols = list(word)
-    while len(symbols) > 1:
-        best = min(range(len(symbols) - 1), key=lambda i: ranks.get((symbols[i], symbols[i + 1]), len(ranks)))
-        pair = (symbols[best], symbols[best + 1])
-        if pair not in ranks:
-            break
-        merged, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                merged.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                merged.append(symbols[i])
-                i += 1
-        symbols = merged
-    return symbols
-
-
-def piece_ids(df: DataFrame, vocab: dict[str, int], merges: list[tuple[str, str]]):
-    """Arrow-batched column function text -> ids without markers.
-
-    Merging by rank has no built-in expression. The vocabulary (bounded by its size) is broadcast once; every task
-    segments a word only once, so the work per row is a lookup per word.
+# --- encoding ---------------------------------------------------------------------------------------------------
+
+
+def word_table(words: DataFrame, model: Model) -> DataFrame:
+    """w, ids of distinct words ``w`` (without the mark). Every word is segmented once; the model is broadcast, being bounded."""
+    shared = words.sparkSession.sparkContext.broadcast((model.vocab, _in_order(model.merges)))
+
+    def segment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, ranks = shared.value
+        for df in frames:
+            ids = [[vocab.get(p, UNK) for p in apply_merges(list(SPACE_MARK + w), ranks)] for w in df["w"]]
+            yield pd.DataFrame({"w": df["w"], "ids": ids}, columns=["w", "ids"])
+
+    return words.select("w").mapInPandas(segment, "w string, ids array<int>")
+
+
+def _placed(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | None]], model: Model) -> DataFrame:
+    """_key, slot, pos, ids: one row for each word of each text, with the ids that the word table holds for it.
+
+    A text that is cut to max_len ids needs its first max_len - 1 words only, since a word has at least one id.
     """
-    shared = df.sparkSession.sparkContext.broadcast((vocab, {pair: i for i, pair in enumerate(merges)}))
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, ranks = shared.value
-        cache: dict[str, list[int]] = {}
-
-        def of(text: str) -> list[int]:
-            out: list[int] = []
-            for word in text.split():
-                known = cache.get(word)
-                if known is None:
-                    known = [ids.get(p, UNK) for p in _segment(SPACE_MARK + word, ranks)]
-                    if len(cache) < 1_000_000:
-                        cache[word] = known
-                out += known
-            return out
-
-        for batch in batches:
-            yield batch.map(of)
-
-    return encode
+    texts = [tokens(c) if most is None else F.slice(tokens(c), F.lit(1), F.lit(max(most - 1, 1))) for c, most in columns.values()]
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), words.alias("words")) for i, words in enumerate(texts)])
+    spread = df.select(F.col(key).alias("_key"), F.inline(slots)).select("_key", "slot", F.posexplode("words").alias("pos", "w"))
+    rows = stage_table(spread.withColumn("_at", F.xxhash64("_key", "slot", "pos")), "text-words")
+    table = stage_table(word_table(rows.select("w").distinct(), model), "word-ids")
+    return lookup_join(rows, table, ["w"], "_at", "inner").select("_key", "slot", "pos", "ids")
+
+
+def with_ids(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | None]], model: Model, pad: bool = True) -> DataFrame:
+    """``df`` with an id array for every entry of ``columns`` (name to text and length): see ``frame_ids``.
+
+    ``key`` is unique. Without a length (None) the ids come whole and without markers. Null and empty texts have no ids.
+    """
+    lists = _placed(df, key, columns, model).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("slot", "pos", "ids"))).alias("_ids"))
+
+    def of(i: int, most: int | None) -> Column:
+        ids = F.coalesce(F.flatten(F.transform(F.filter("_ids", lambda e: e.slot == i), lambda e: e.ids)), F.array().cast("array<int>"))
+        return ids if most is None else frame_ids(ids, most, pad)
+
+    rows = df.join(lists, df[key] == F.col("_key"), "left")
+    return rows.select(*df.columns, *[of(i, most).alias(name) for i, (name, (_, most)) in enumerate(columns.items())])
+
+
+def with_lengths(df: DataFrame, key: str, columns: dict[str, Column], model: Model) -> DataFrame:
+    """``df`` with the number of ids of every text, without markers."""
+    placed = _placed(df, key, {name: (c, None) for name, c in columns.items()}, model)
+    sums = [F.sum(F.when(F.col("slot") == i, F.size("ids"))).alias(f"_n{i}") for i in range(len(columns))]
+    rows = df.join(placed.groupBy("_key").agg(*sums), df[key] == F.col("_key"), "left")
+    return rows.select(*df.columns, *[F.coalesce(f"_n{i}", F.lit(0)).alias(name) for i, name in enumerate(columns)])
 
 
 def frame_ids(ids: Column, max_len: int, pad: bool = True) -> Column:

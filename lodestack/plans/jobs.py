@@ -23,7 +23,7 @@ from lodestack.operators.split import split_exact
 from lodestack.operators.structure import (
     def_use_edges, edge_recall, normalize_edges, structure_nodes, structure_recall,
 )
-from lodestack.operators.subword import EOS, frame_ids
+from lodestack.operators.subword import EOS, Model, with_ids, with_lengths
 from lodestack.session import stage_table
 from lodestack.sources.corpus import read_repos, read_sources
 
@@ -72,57 +72,57 @@ def to_examples(df: DataFrame, mode: str, row_id: str = "row_id") -> DataFrame:
     return df.select(F.col(row_id).alias("idx"), source.alias("source"), F.col("doc" if mode == "pretrain" else "doctest").alias("target"))
 
 
-def build_pretrain(df: DataFrame, encode=None, row_id: str = "row_id", seed: int = 42) -> DataFrame:
+def build_pretrain(df: DataFrame, model: Model | None = None, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Pre-training set with ids (64 / 32) and an exact 80/10/10 split. The rows are written once before the split."""
     rows = stage_table(pretrain_rows(df, row_id), "pretrain")
-    if encode is not None:
-        rows = rows.withColumn("code_tokens", frame_ids(encode("code"), PRETRAIN_LENGTHS[0]))
-        rows = rows.withColumn("doc_tokens", frame_ids(encode("doc"), PRETRAIN_LENGTHS[1]))
+    if model is not None:
+        code, doc = PRETRAIN_LENGTHS
+        rows = stage_table(with_ids(rows, row_id, {"code_tokens": (F.col("code"), code), "doc_tokens": (F.col("doc"), doc)}, model), "pretrain-ids")
     return split_exact(rows, row_id, seed)
 
 
-def build_finetune(df: DataFrame, encode=None, row_id: str = "row_id", seed: int = 42) -> DataFrame:
+def build_finetune(df: DataFrame, model: Model | None = None, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Fine-tuning set: code (256) and doc (32) side by side, doctest (256)."""
     rows = stage_table(finetune_rows(df, row_id), "finetune")
-    if encode is not None:
+    if model is not None:
         code, doc, test = FINETUNE_LENGTHS
-        joined = F.concat(frame_ids(encode("code"), code), frame_ids(encode("doc"), doc))
-        rows = rows.withColumn("code_doc_tokens", joined).withColumn("doctest_tokens", frame_ids(encode("doctest"), test))
+        texts = {"_code": (F.col("code"), code), "_doc": (F.col("doc"), doc), "doctest_tokens": (F.col("doctest"), test)}
+        ids = with_ids(rows, row_id, texts, model)
+        rows = stage_table(ids.select(*rows.columns, F.concat("_code", "_doc").alias("code_doc_tokens"), "doctest_tokens"), "finetune-ids")
     return split_exact(rows, row_id, seed)
 
 
-def build_features(df: DataFrame, kind: str, encode, max_source: int, max_target: int = 0, stage: str = "train", lang_ids: bool = False) -> DataFrame:
-    """Feature rows of (idx, source, target, label, task, sub_task) examples: generation, clone or defect."""
+def build_features(df: DataFrame, kind: str, model: Model, max_source: int, max_target: int = 0, stage: str = "train", lang_ids: bool = False) -> DataFrame:
+    """Feature rows of (idx, source, target, label, task, sub_task) examples: generation, clone or defect. ``idx`` is unique."""
     task, sub_task = F.col("task"), F.col("sub_task")
     if kind == "clone":
         prefix = F.concat(task, F.lit(": "))
-        sides = df.withColumn("_a", F.concat(prefix, "source")).withColumn("_b", F.concat(prefix, "target"))
-        ids = F.concat(frame_ids(encode("_a"), max_source), frame_ids(encode("_b"), max_source))
-        return sides.select(F.col("idx").alias("example_id"), ids.alias("source_ids"), "label", "url1", "url2")
+        rows = with_ids(df, "idx", {"_a": (F.concat(prefix, "source"), max_source), "_b": (F.concat(prefix, "target"), max_source)}, model)
+        return rows.select(F.col("idx").alias("example_id"), F.concat("_a", "_b").alias("source_ids"), "label", "url1", "url2")
     if kind == "defect":
-        texts = df.withColumn("_a", F.concat(task, F.lit(": "), "source"))
-        return texts.select(F.col("idx").alias("example_id"), frame_ids(encode("_a"), max_source).alias("source_ids"), "label")
-    texts = df.withColumn("_a", to_model_text(F.col("source"), task, sub_task))
+        rows = with_ids(df, "idx", {"_a": (F.concat(task, F.lit(": "), "source"), max_source)}, model)
+        return rows.select(F.col("idx").alias("example_id"), F.col("_a").alias("source_ids"), "label")
     target = F.when(task.isin("defect", "clone"), label_text(F.coalesce("label", F.lit(0)))).otherwise(
         lang_tag(F.col("target"), task, sub_task) if lang_ids else F.col("target")
     )
-    texts = texts.withColumn("_b", F.replace(target, F.lit("</s>"), F.lit("<unk>")))
-    target_ids = F.array().cast("array<int>") if stage == "test" else frame_ids(encode("_b"), max_target)
-    rows = texts.select(F.col("idx").alias("example_id"), frame_ids(encode("_a"), max_source).alias("source_ids"), target_ids.alias("target_ids"))
+    texts = {"_a": (to_model_text(F.col("source"), task, sub_task), max_source)}
+    if stage != "test":
+        texts["_b"] = (F.replace(target, F.lit("</s>"), F.lit("<unk>")), max_target)
+    rows = with_ids(df, "idx", texts, model)
+    target_ids = F.array().cast("array<int>") if stage == "test" else F.col("_b")
     one = lambda c: F.size(F.filter(c, lambda i: i == EOS)) == 1
-    checked = F.when(one(F.col("source_ids")), F.col("source_ids")).otherwise(
+    checked = F.when(one(F.col("_a")), F.col("_a")).otherwise(
         F.raise_error(F.lit("an example must have exactly one end marker")).cast("array<int>")
     )
-    return rows.withColumn("source_ids", checked)
+    return rows.select(F.col("idx").alias("example_id"), checked.alias("source_ids"), target_ids.alias("target_ids"))
 
 
-def length_stats(df: DataFrame, encode=None) -> DataFrame:
-    """Count, mean and maximum of token lengths, cut to whole numbers; subword lengths when ``encode`` is given."""
-    sized = df.select(F.size(tokens(F.col("source"))).alias("s"), F.size(tokens(F.col("target"))).alias("t"), "source", "target")
-    measures = {"src": F.col("s"), "trg": F.col("t")}
-    if encode is not None:
-        sized = sized.withColumn("ss", F.size(encode("source"))).withColumn("ts", F.size(encode("target")))
-        measures.update({"src_sub": F.col("ss"), "trg_sub": F.col("ts")})
+def length_stats(df: DataFrame, model: Model | None = None, key: str = "idx") -> DataFrame:
+    """Count, mean and maximum of token lengths, cut to whole numbers; subword lengths when a ``model`` is given."""
+    sized = df if model is None else with_lengths(df, key, {"ss": F.col("source"), "ts": F.col("target")}, model)
+    measures = {"src": F.size(tokens(F.col("source"))), "trg": F.size(tokens(F.col("target")))}
+    if model is not None:
+        measures |= {"src_sub": F.col("ss"), "trg_sub": F.col("ts")}
     aggs = [F.count(F.lit(1)).alias("n")]
     for name, c in measures.items():
         aggs += [F.floor(F.avg(c)).alias(f"avg_{name}"), F.max(c).cast("long").alias(f"max_{name}")]

@@ -9,7 +9,7 @@ from lodestack.operators import dedup, language, lookups, runs, scores, spans, s
 from lodestack.operators.skew import lookup_join
 from lodestack.plans import jobs
 from lodestack.plans.derived import ctes, table, view
-from lodestack.plans.text_queries import NL, _RSTRIP, first_sentence_sql, task_columns, tok
+from lodestack.plans.text_queries import _SUB, _TASK, NL, _RSTRIP, first_sentence_sql, task_columns, tok
 from lodestack.session import scratch_path, stage_table
 from lodestack.sources import corpus, tasks
 from lodestack.sources import text as L
@@ -480,11 +480,46 @@ def s13(spark, sf):
     return corpus.read_splits(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bpe(spark, sf, merges=40):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    words = stage_table(subword.word_counts(docs, "text"), "words")
-    learnt = subword.learn_merges(words, merges)
-    return docs, words, learnt, subword.vocabulary(words, learnt)
+# Merges that the SQL can follow, one at a time over all words; the vocabulary proper has 50,000 pieces.
+_FEW = 100
+
+
+def _few(spark, sf):
+    words = stage_table(subword.word_counts(table(spark, sf, "documents"), "text"), "word-counts")
+    merges = subword.learn_merges(words, _FEW)
+    return subword.Model(subword.vocabulary(words, merges), merges)
+
+
+def _full(spark, sf):
+    return subword.learn_bpe(table(spark, sf, "documents"), "text")
+
+
+def _bpe_sql(texts="SELECT text AS t FROM documents WHERE false"):
+    """Merges m, vocabulary v (piece, id) and word ids wid (word, ids), of the words of all documents and of ``texts``."""
+    mark = "chr(2) || {0} || chr(3)"
+    return (
+        f"WITH RECURSIVE w AS (SELECT '▁' || w AS word, sum(n) AS freq FROM (SELECT unnest({tok('text')}) AS w, 1 AS n FROM documents UNION ALL SELECT unnest({tok('t')}), 0 FROM ({texts})) GROUP BY w), "
+        f"s AS (SELECT 0 AS step, word, freq, regexp_replace(word, '(.)', chr(2) || '\\1' || chr(3), 'g') AS sym, '' AS a, '' AS b FROM w "
+        f"UNION ALL SELECT s.step + 1, word, freq, replace(sym, {mark.format('p.a')} || {mark.format('p.b')}, {mark.format('p.a || p.b')}), p.a, p.b "
+        "FROM s, (SELECT l[i] AS a, l[i + 1] AS b FROM (SELECT l, freq, unnest(generate_series(1, len(l) - 1)) AS i FROM (SELECT string_split(sym[2:-2], chr(3) || chr(2)) AS l, freq FROM s)) "
+        f"GROUP BY 1, 2 ORDER BY sum(freq) DESC, a, b LIMIT 1) p WHERE s.step < {_FEW}), "
+        "m AS (SELECT step - 1 AS rank, min(a) AS a, min(b) AS b FROM s WHERE step > 0 GROUP BY step), "
+        "c AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM w WHERE freq > 0), "
+        "u AS (SELECT piece, min(o) AS o FROM (SELECT a || b AS piece, rank AS o FROM m UNION ALL SELECT c, 1000000 FROM c WHERE c <> '') GROUP BY piece), "
+        "v AS (SELECT piece, 3 + row_number() OVER (ORDER BY o, piece) AS id FROM u), "
+        "wid AS (SELECT word, list(coalesce(id, 3) ORDER BY i) AS ids FROM (SELECT word, unnest(l) AS piece, generate_subscripts(l, 1) AS i "
+        f"FROM (SELECT word, string_split(sym[2:-2], chr(3) || chr(2)) AS l FROM s WHERE step = {_FEW})) LEFT JOIN v USING (piece) GROUP BY word)"
+    )
+
+
+def _ids_sql(name, rows):
+    """CTE ``name`` (k, ids) of the texts of ``rows`` (k, t)."""
+    words = f"SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT k, {tok('t')} AS w FROM ({rows}))"
+    return f"{name} AS (SELECT r.k, coalesce(ids, []) AS ids FROM ({rows}) r LEFT JOIN (SELECT k, flatten(list(ids ORDER BY i)) AS ids FROM ({words}) JOIN wid ON word = '▁' || w GROUP BY k) USING (k))"
+
+
+def _framed_sql(ids, most):
+    return f"array_to_string(CASE WHEN len({ids}) + 2 > {most} THEN [1] || {ids}[1:{most - 2}] || [2] ELSE [1] || {ids} || [2] || list_transform(range({most} - 2 - len({ids})), lambda x: 0) END, ' ')"
 
 
 @query("x07_word_counts", f"WITH w AS (SELECT unnest({tok('text')}) AS w FROM documents) SELECT '▁' || w AS word, count(*) AS freq FROM w GROUP BY w")
@@ -492,36 +527,83 @@ def x07a(spark, sf):
     return subword.word_counts(table(spark, sf, "documents"), "text")
 
 
+@query("x07_first_merges", _bpe_sql() + ' SELECT CAST(rank AS INTEGER) AS rank, a AS "left", b AS "right" FROM m')
+def x07b(spark, sf):
+    words = stage_table(subword.word_counts(table(spark, sf, "documents"), "text"), "word-counts")
+    return subword.learn(words, _FEW).select("rank", "left", "right")
+
+
 @query("x07_learn_bpe")
 def x07(spark, sf):
-    _, _, learnt, _ = _bpe(spark, sf)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(learnt)], "rank int, left string, right string")
+    words = stage_table(subword.word_counts(table(spark, sf, "documents"), "text"), "word-counts")
+    return subword.learn(words, subword.VOCAB_SIZE)
 
 
-@query("x08_encode_ids")
+@query("x08_encode_ids", _bpe_sql() + ", " + _ids_sql("e", "SELECT doc_id AS k, text AS t FROM documents") + f" SELECT k AS doc_id, {_framed_sql('ids', 64)} AS ids FROM e")
 def x08(spark, sf):
-    docs, _, learnt, vocab = _bpe(spark, sf)
-    encode = subword.piece_ids(docs, vocab, learnt)
-    return docs.select("doc_id", F.array_join(subword.frame_ids(encode("text"), 64), " ").alias("ids"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = subword.with_ids(docs, "doc_id", {"ids": (F.col("text"), 64)}, _few(spark, sf))
+    return rows.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("x08_decode_ids", f"SELECT doc_id, array_to_string({tok('text')}, ' ') AS text FROM documents")
 def x08b(spark, sf):
-    docs, _, learnt, vocab = _bpe(spark, sf)
-    ids = docs.select("doc_id", subword.piece_ids(docs, vocab, learnt)("text").alias("ids"))
-    return subword.decode_ids(ids, "doc_id", "ids", vocab)
+    model = _full(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = stage_table(subword.with_ids(docs, "doc_id", {"ids": (F.col("text"), None)}, model).select("doc_id", "ids"), "ids")
+    return subword.decode_ids(ids, "doc_id", "ids", model.vocab)
+
+
+@query(
+    "a03_subword_lengths",
+    _bpe_sql("SELECT lang AS t FROM documents") + ", " + _ids_sql("e", "SELECT doc_id AS k, text AS t FROM documents") + ", " + _ids_sql("g", "SELECT doc_id AS k, lang AS t FROM documents")
+    + " SELECT count(*) AS n, CAST(floor(avg(len(e.ids))) AS BIGINT) AS avg_src_sub, CAST(max(len(e.ids)) AS BIGINT) AS max_src_sub, CAST(floor(avg(len(g.ids))) AS BIGINT) AS avg_trg_sub, "
+    "CAST(max(len(g.ids)) AS BIGINT) AS max_trg_sub FROM e JOIN g USING (k)",
+)
+def a03b(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("source"), F.col("lang").alias("target"))
+    stats = jobs.length_stats(rows, _few(spark, sf))
+    return stats.select("n", "avg_src_sub", "max_src_sub", "avg_trg_sub", "max_trg_sub")
+
+
+_FEATURE_SOURCE = f"SELECT doc_id AS k, replace({_TASK} || CASE WHEN {_SUB} <> 'none' THEN ' ' || {_SUB} ELSE '' END || ': ' || text, '</s>', '<unk>') AS t FROM documents"
+_FEATURE_TARGET = (
+    "SELECT doc_id AS k, CASE WHEN doc_id % 4 = 3 THEN 'false' ELSE CASE doc_id % 8 WHEN 0 THEN '<en> ' WHEN 4 THEN '<en> ' WHEN 1 THEN '<c_sharp> ' "
+    "WHEN 5 THEN '<java> ' ELSE '<java> ' END || source END AS t FROM documents"
+)
 
 
-@query("x09_build_features")
+@query(
+    "x09_build_features",
+    _bpe_sql(f"SELECT t FROM ({_FEATURE_SOURCE}) UNION ALL SELECT t FROM ({_FEATURE_TARGET})") + ", " + _ids_sql("e", _FEATURE_SOURCE) + ", " + _ids_sql("g", _FEATURE_TARGET)
+    + f" SELECT k AS example_id, {_framed_sql('e.ids', 64)} AS source_ids, {_framed_sql('g.ids', 16)} AS target_ids FROM e JOIN g USING (k)",
+)
 def x09(spark, sf):
-    docs, _, learnt, vocab = _bpe(spark, sf)
     task, sub = task_columns()
     examples = table(spark, sf, "documents").select(
         F.col("doc_id").alias("idx"), F.col("text").alias("source"), F.col("source").alias("target"), F.lit(0).alias("label"), task.alias("task"), sub.alias("sub_task")
     )
-    encode = subword.piece_ids(docs, vocab, learnt)
-    rows = jobs.build_features(examples, "generation", encode, 64, 16, lang_ids=True)
-    return rows.select("example_id", F.size("source_ids").alias("n_source"), F.array_join("target_ids", " ").alias("target_ids"))
+    rows = jobs.build_features(examples, "generation", _few(spark, sf), 64, 16, lang_ids=True)
+    return rows.select("example_id", F.array_join("source_ids", " ").alias("source_ids"), F.array_join("target_ids", " ").alias("target_ids"))
+
+
+def _ids_of(df, *columns):
+    return df.select("row_id", "split", *[F.array_join(c, " ").alias(c) for c in columns])
+
+
+@query("x05_pretrain_ids")
+def x05b(spark, sf):
+    """Learnt on the cleaned code and docs themselves, with the vocabulary proper."""
+    rows = stage_table(_cleaned(spark, sf), "cleaned")
+    model = subword.learn_bpe(rows.select(F.concat_ws(" ", "code", "doc", "doctest").alias("t")), "t")
+    return _ids_of(jobs.build_pretrain(rows, model), "code_tokens", "doc_tokens")
+
+
+@query("x06_finetune_ids")
+def x06b(spark, sf):
+    rows = stage_table(_cleaned(spark, sf), "cleaned")
+    model = subword.learn_bpe(rows.select(F.concat_ws(" ", "code", "doc", "doctest").alias("t")), "t")
+    return _ids_of(jobs.build_finetune(rows, model), "code_doc_tokens", "doctest_tokens")
 
 
 # --- language ---------------------------------------------------------------------------------------------------

@@ -47,8 +47,7 @@ def test_edges_of_a_hand_made_sample(spark):
 def test_features(spark):
     rows = [(1, "let a", "ok", 1, "u", "v", "defect", "none"), (2, "let b", "fine", 0, "u", "v", "summarize", "go")]
     ex = spark.createDataFrame(rows, "idx long, source string, target string, label int, url1 string, url2 string, task string, sub_task string")
-    vocab, merges = subword.learn_bpe(ex, "source", 40)
-    encode = subword.piece_ids(ex, vocab, merges)
+    encode = subword.learn_bpe(ex, "source", 40)
     made = jobs.build_features(ex, "generation", encode, 16, 8).collect()
     assert all(len(r.source_ids) == 16 and len(r.target_ids) == 8 for r in made)
     assert all(len(r.target_ids) == 0 for r in jobs.build_features(ex, "generation", encode, 16, 8, stage="test").collect())
@@ -62,3 +61,24 @@ def test_cleaning_takes_the_doctest_before_the_summary(spark):
     df = spark.createDataFrame(rows, "row_id long, repo string, ref string, file string, doc string, code string")
     got = [(r.row_id, r.doc, r.doctest, r.code) for r in jobs.clean_corpus(df).collect()]
     assert got == [(1, "Sum.", "f(1); \n", "fn f() {} ")]
+
+
+def test_datasets_with_ids(spark):
+    """Ids of code, doc and doctest against segmenting every text by hand."""
+    rows = [(i, f"fn f{i}() {{ let abc = {i * 7}; }} " * (1 + i % 9), f"Doc number {i} of all. " * (1 + i % 4), f"f{i}(); abc {i}" if i % 3 else "") for i in range(60)]
+    df = spark.createDataFrame(rows + [(60, *rows[1][1:])], "row_id long, code string, doc string, doctest string")
+    model = subword.learn_bpe(df.selectExpr("concat_ws(' ', code, doc, doctest) t"), "t", 90)
+    ranks = subword._in_order(model.merges)
+
+    def framed(text, most):
+        ids = [model.vocab[p] for w in text.split() for p in subword.apply_merges(list(subword.SPACE_MARK + w), ranks)]
+        full = [subword.BOS, *ids, subword.EOS]
+        return (full[:most - 1] + [subword.EOS]) if len(full) > most else full + [subword.PAD] * (most - len(full))
+
+    made = {r.row_id: r for r in jobs.build_pretrain(df, model).collect()}
+    assert made.keys() == set(range(60))
+    assert all(list(made[i].code_tokens) == framed(code, 64) and list(made[i].doc_tokens) == framed(doc, 32) for i, code, doc, _ in rows)
+    tuned = {r.row_id: r for r in jobs.build_finetune(df, model).collect()}
+    assert tuned.keys() == {i for i in range(60) if i % 3}
+    assert all(list(tuned[i].code_doc_tokens) == framed(c, 256) + framed(d, 32) and list(tuned[i].doctest_tokens) == framed(t, 256) for i, c, d, t in rows if i % 3)
+    assert {r.split for r in made.values()} == {"train", "valid", "test"}
