@@ -61,12 +61,40 @@ def brute_pack(counts, cap):
     return out
 
 
-def test_pack_spans(spark):
-    rng = random.Random(1)
-    counts = [rng.randint(0, 400) for _ in range(60)]
-    rows = [(1, datetime(2020, 1, 1) + timedelta(days=i), datetime(2020, 1, 1) + timedelta(days=i), c) for i, c in enumerate(counts)]
-    packed = spans.pack_spans(spark.createDataFrame(rows, "k long, start timestamp, end timestamp, cnt long"), ["k"]).orderBy("start").collect()
-    assert [r.cnt for r in packed] == brute_pack(counts, 1000)
+@pytest.mark.parametrize("seed,top", [(1, 400), (2, 30), (3, 1500)])
+def test_pack_spans(spark, seed, top):
+    rng = random.Random(seed)
+    keys = {k: [rng.choice([0, rng.randint(0, top), 1000, 1001]) for _ in range(n)] for k, n in enumerate((60, 1, 200, 3))}
+    day = lambda i: datetime(2020, 1, 1) + timedelta(days=i)
+    rows = [(k, day(i), day(i), c) for k, counts in keys.items() for i, c in enumerate(counts)]
+    packed = spans.pack_spans(spark.createDataFrame(rows, "k long, start timestamp, end timestamp, cnt long"), ["k"]).orderBy("k", "start").collect()
+    for k, counts in keys.items():
+        mine = [r for r in packed if r.k == k]
+        assert [r.cnt for r in mine] == brute_pack(counts, 1000)
+        assert [r.start for r in mine[1:]] == [r.end + timedelta(days=1) for r in mine[:-1]]
+    assert spans.pack_spans(spark.createDataFrame([], "k long, start timestamp, end timestamp, cnt long"), ["k"]).collect() == []
+
+
+def test_counts_of_spans_at_all_edges(spark):
+    rng = random.Random(5)
+    base = datetime(2024, 2, 1)
+    times = [base + timedelta(seconds=rng.randint(0, 86400 * 9)) for _ in range(300)] + [base, base + timedelta(days=3)] * 4 + [None]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp")
+    edges = [base + timedelta(days=d) for d in range(-2, 12)] + [t + timedelta(seconds=x) for t in times[:20] for x in (-1, 0, 1)]
+    asked = [(a, b) for a, b in (sorted(rng.sample(edges, 2)) for _ in range(80))] + [(base, base), (times[0], times[0])]
+    got = {(r.start, r.end): r.cnt for r in spans.count_spans(df, "ts", spark.createDataFrame(list(set(asked)), "start timestamp, end timestamp")).collect()}
+    assert got.keys() == set(asked)
+    for (a, b), n in got.items():
+        last = b + timedelta(seconds=86399) if (a.hour, a.minute, a.second, b.hour, b.minute, b.second) == (0,) * 6 else b
+        assert n == sum(t is not None and a <= t <= last for t in times)
+
+
+def test_a_second_at_midnight_is_not_a_day(spark):
+    times = [datetime(2024, 1, 1)] * 9 + [datetime(2024, 1, 1, 0, 0, 1)] * 9 + [datetime(2024, 1, 1, 5)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp")
+    whole = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1))], "start timestamp, end timestamp")
+    out = spans.split_spans(df, "ts", whole, cap=5).collect()
+    assert sum(r.cnt for r in out) == 19 and sorted(r.cnt for r in out if r.cnt) == [1, 9, 9]
 
 
 def test_split_spans_covers_everything_once(spark):
