@@ -1,8 +1,9 @@
 """Lexemes of Rust-like source text, by one regular expression and array functions. No parser.
 
 Groups are possessive, so the Java matcher neither backtracks nor recurses on long comments and literals.
-Block comments and brackets nest; the expression, which grows by one short step a level, follows them to a depth of
-``COMMENT_DEPTH`` and ``BRACKET_DEPTH``.
+Block comments nest without a limit: the expression follows COMMENT_DEPTH levels, and in the rare text that may go deeper a
+fold first rewrites the delimiters of inner comments, innermost first, to marks that are no delimiters (and back in what is
+kept). Brackets of attributes nest to BRACKET_DEPTH.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import encode_literal, strip
 
-COMMENT_DEPTH = 64
+COMMENT_DEPTH = 8
 BRACKET_DEPTH = 16
 
 
@@ -53,9 +54,43 @@ _C_LITERAL = r"""'(?:[^\\']++|\\.)*+'|"(?:[^\\"]++|\\.)*+\""""
 _C_COMMENT = rf"(?s)\G((?:{_C_LITERAL}|[^/]|/(?!/|\*.*?\*/))*+)(?://[^\n]*+|/\*.*?\*/)"
 
 
+# Noncharacters that stand for the delimiters of inner comments.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_INSIDE = r"(?:[^*/]++|\*(?!/)|/(?!\*))*+"
+# From the start over code, literals and shallow comments to the first deeper comment, and in it to the innermost opener.
+_INNERMOST = (
+    rf"(?s)\A((?:{RAW_STRING.replace(chr(92) + '1', chr(92) + '2')}|{STRING}|{CHAR}|{LINE_COMMENT}|{BLOCK_COMMENT}|[^/]|/(?!\*))*+)"
+    rf"((?:/\*{_INSIDE}(?=/\*))++)/\*({_INSIDE})\*/"
+)
+
+
+def _may_be_deep(c: Column) -> Column:
+    """Whether comments may nest deeper than the expression follows: a running depth over all delimiters, literals included,
+    which is never below the true one (where an opener overlaps a closer, it counts as an opener)."""
+    marks = F.regexp_extract_all(c, F.lit(r"\*/\*|/\*|\*/"), F.lit(0))
+
+    def step(acc: Column, m: Column) -> Column:
+        depth = F.greatest(acc.depth + F.when(m == "*/", -1).otherwise(1), F.lit(0))
+        return F.struct(depth.alias("depth"), F.greatest(acc.most, depth).alias("most"))
+
+    deepest = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")), step, lambda acc: acc.most)
+    return (F.size(F.split(c, r"/\*")) > COMMENT_DEPTH + 1) & (deepest > COMMENT_DEPTH)
+
+
+def _folded(c: Column) -> Column:
+    """Text whose comments nest no deeper than the expression follows; one inner comment is rewritten per step."""
+    steps = F.sequence(F.lit(1), F.size(F.split(c, r"/\*")))
+    return F.aggregate(steps, c, lambda text, _: F.regexp_replace(text, _INNERMOST, f"$1$3{_OPEN}$4{_CLOSE}"))
+
+
+def _unfolded(x: Column) -> Column:
+    return F.replace(F.replace(x, F.lit(_OPEN), F.lit("/*")), F.lit(_CLOSE), F.lit("*/"))
+
+
 def lexemes(c: Column, pattern: str = LEXEME) -> Column:
     """All lexemes; joined together they give the text back."""
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    split = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(_may_be_deep(c), F.transform(split(_folded(c)), _unfolded)).otherwise(split(c))
 
 
 def is_comment(x: Column) -> Column:
@@ -76,7 +111,7 @@ def is_space(x: Column) -> Column:
 
 def drop_comments(c: Column) -> Column:
     """Source text without its comments: a single replacement that steps over literals."""
-    return F.regexp_replace(c, _KEEP_OR_COMMENT, "$1")
+    return F.regexp_replace(F.when(_may_be_deep(c), _folded(c)).otherwise(c), _KEEP_OR_COMMENT, "$1")
 
 
 def mask_code(c: Column, strings: str = "none", numbers: str = "none", comments: str = "drop") -> Column:

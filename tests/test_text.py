@@ -150,3 +150,24 @@ def test_strip_c_comments(spark, code, expected):
 def test_comments_nest(spark, depth):
     text = "a " + "/* x " * depth + " */" * depth + " b"
     assert spark.range(1).select(lexing.drop_comments(F.lit(text)).alias("t")).first().t == "a  b"
+
+
+@pytest.mark.parametrize("depth", [1, 8, 9, 64, 65, 1000])
+def test_comments_nest_without_a_limit(spark, depth):
+    deep = "/* a \" it's " * depth + "*/ // x \n" * depth
+    code = f'let a = "/* /* no"; {deep}let b = r#"*/ /* "#; /* ok */ a */* c */ b; // {"/*" * 20}\nend'
+    bare = 'let a = "/* /* no"; ' + ' // x \n'.join([""] + [""])[:0] + "{}" + 'let b = r#"*/ /* "#;  a * b; \nend'
+    df = spark.createDataFrame([(code,)], "c string")
+    row = df.select(lexing.drop_comments(F.col("c")).alias("d"), lexing.lexemes(F.col("c")).alias("l"), lexing.lexemes(F.col("c"), lexing.OUTLINE).alias("o")).first()
+    # After the outermost comment closes, what follows the last closer is a line comment.
+    assert row.d == bare.format(" \n")
+    whole = deep[: deep.rindex("*/") + 2]
+    assert "".join(row.l) == code and "".join(row.o) == code
+    assert whole in row.l and whole in row.o
+
+
+def test_unbalanced_openers_stay(spark):
+    for text in ("/*" * 40 + " x", "*/" * 40, "a /* " * 12 + "*/ b", '"' + "/*" * 30 + '" c'):
+        row = spark.createDataFrame([(text,)], "c string").select(lexing.lexemes(F.col("c")).alias("l"), lexing.drop_comments(F.col("c")).alias("d")).first()
+        assert "".join(row.l) == text
+        assert row.d == text if text[0] in '"*' else row.d.startswith(text[:2])
