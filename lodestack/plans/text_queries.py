@@ -81,6 +81,37 @@ def s05(spark, sf):
     return L.read_aligned(spark, a, b).select("source", "target")
 
 
+# Four part files that hold the rows in the order of doc_id, read with a limit that ends inside one of them.
+_IN_ORDER = "(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents)"
+
+
+def _part_files(df):
+    return df.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+
+
+@query(
+    "o02_limit_over_files",
+    f"SELECT 'nl' AS reader, CAST(line AS BIGINT) AS idx, {trim('text')} AS source, source AS target FROM {_IN_ORDER} WHERE line < 130 "
+    f"UNION ALL SELECT 'tokens', CAST(line AS BIGINT), array_to_string({tok('text')}, ' '), lang FROM {_IN_ORDER} WHERE line < 70 "
+    f"UNION ALL SELECT 'aligned', CAST(line AS BIGINT), CAST(doc_id AS VARCHAR), lang FROM {_IN_ORDER} WHERE line < 150 "
+    f"UNION ALL SELECT 'labelled', doc_id, array_to_string({tok('text')}, ' '), CAST(n_chars AS VARCHAR) FROM {_IN_ORDER} WHERE line < 90",
+)
+def o02b(spark, sf):
+    docs = _part_files(table(spark, sf, "documents"))
+    nl, tokens_at, src, trg, labelled = (scratch_path(spark, n) for n in ("nl", "tokens", "src", "trg", "labelled"))
+    docs.select(F.col("text").alias("nl"), F.col("source").alias("code")).write.json(nl)
+    docs.select(F.split("text", " ").alias("code_tokens"), F.array("lang").alias("docstring_tokens")).write.json(tokens_at)
+    docs.select(F.col("doc_id").cast("string")).write.text(src)
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("lang").write.text(trg)
+    docs.select(F.col("text").alias("func"), F.col("n_chars").alias("target"), F.col("doc_id").alias("idx")).write.json(labelled)
+    name = lambda df, r: df.select(F.lit(r).alias("reader"), "idx", "source", "target")
+    rows = L.read_labelled(spark, labelled, 90).withColumn("target", F.col("label").cast("string"))
+    return (
+        name(L.read_nl_code(spark, nl, 130), "nl").unionAll(name(L.read_token_arrays(spark, tokens_at, 70), "tokens"))
+        .unionAll(name(L.read_aligned(spark, src, trg, 150), "aligned")).unionAll(name(rows, "labelled"))
+    )
+
+
 @query("s06_read_nl_code", f"SELECT {trim('text')} AS source, source AS target FROM documents")
 def s06(spark, sf):
     path = scratch_path(spark, "nl")

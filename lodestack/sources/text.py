@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import collapse, flatten_newlines, strip
 from lodestack.operators.lookups import join_pairs
 from lodestack.operators.split import limit_rows
+from lodestack.session import stage_table
 
-_LOW = (1 << 33) - 1
+# Splits whose offsets are sent to all executors (some 100 bytes each); more are joined by a shuffle.
+SPLITS = 200_000
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value), line numbers from 0 per file, without moving a line.
+def read_lines(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
+    """(file, line_no, value), line numbers from 0 over all files of the path, in the order of their names.
 
-    A text split knows where it starts in its file; rows are counted per split, and the counts of the earlier
-    splits of the same file are added. The table of splits is the only thing that is joined.
+    A text split knows where it starts in its file; rows are counted per split, and the counts of all earlier splits are
+    added. The table of splits, one short row for each, is all that is joined: it goes to the lines, up to SPLITS of them,
+    and no line moves. A positive ``limit`` keeps the first lines; splits beyond it are dropped from the table.
     """
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -24,51 +27,46 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
         "value",
     )
-    splits = scan.groupBy("file", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = stage_table(scan.groupBy("file", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")), "splits")
+    before = Window.partitionBy(F.lit(0)).orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = scan.join(offsets, ["file", "_start"])
-    return joined.select("file", (F.col("_mid") - F.col("_first") + F.col("_base")).alias("line_no"), "value")
+    offsets = offsets if limit <= 0 else offsets.filter(F.col("_base") < limit)
+    sized = F.broadcast(offsets) if splits.limit(SPLITS + 1).count() <= SPLITS else offsets
+    lines = scan.join(sized, ["file", "_start"]).select("file", (F.col("_mid") - F.col("_first") + F.col("_base")).alias("line_no"), "value")
+    return limit_rows(lines, limit)
 
 
 def read_aligned(spark: SparkSession, source: str, target: str, data_num: int = -1) -> DataFrame:
-    """Two files line by line, up to the shorter one: (idx, source, target).
-
-    Folders of part files are aligned part by part; the limit then counts within a part.
-    """
-    part = F.regexp_extract("file", r"part-(\d+)[^/]*\z", 1).alias("part")
-    left = read_lines(spark, source).select(part, "line_no", strip(F.col("value")).alias("source"))
-    right = read_lines(spark, target).select(part, "line_no", strip(F.col("value")).alias("target"))
-    rows = limit_rows(left, data_num).join(limit_rows(right, data_num), ["part", "line_no"])
-    return rows.withColumnRenamed("line_no", "idx").drop("part")
+    """Two files (or folders of part files, however they are cut) line by line, up to the shorter one: (idx, source, target)."""
+    left = read_lines(spark, source, data_num).select(F.col("line_no").alias("idx"), strip(F.col("value")).alias("source"))
+    right = read_lines(spark, target, data_num).select(F.col("line_no").alias("idx"), strip(F.col("value")).alias("target"))
+    return left.join(right, "idx")
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("word"))
 
 
-def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = read_lines(spark, path)
+def _json_lines(spark: SparkSession, path: str, schema: str, limit: int = -1) -> DataFrame:
+    rows = read_lines(spark, path, limit)
     return rows.withColumn("_j", F.from_json("value", schema)).select("line_no", "_j.*")
 
 
 def read_nl_code(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
-    rows = _json_lines(spark, path, "nl string, code string")
-    out = rows.select(F.col("line_no").alias("idx"), strip(F.col("nl")).alias("source"), strip(F.col("code")).alias("target"))
-    return limit_rows(out, data_num, "idx")
+    rows = _json_lines(spark, path, "nl string, code string", data_num)
+    return rows.select(F.col("line_no").alias("idx"), strip(F.col("nl")).alias("source"), strip(F.col("code")).alias("target"))
 
 
 def read_token_arrays(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
     """Token lists joined by blanks; the index is the line number, whatever the record says."""
-    rows = _json_lines(spark, path, "code_tokens array<string>, docstring_tokens array<string>")
+    rows = _json_lines(spark, path, "code_tokens array<string>, docstring_tokens array<string>", data_num)
     code = collapse(flatten_newlines(F.array_join("code_tokens", " ")))
     doc = collapse(F.replace(F.array_join("docstring_tokens", " "), F.lit("\n"), F.lit("")))
-    out = rows.select(F.col("line_no").alias("idx"), code.alias("source"), doc.alias("target"))
-    return limit_rows(out, data_num, "idx")
+    return rows.select(F.col("line_no").alias("idx"), code.alias("source"), doc.alias("target"))
 
 
 def read_labelled(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
-    rows = limit_rows(_json_lines(spark, path, "func string, target int, idx bigint"), data_num)
+    rows = _json_lines(spark, path, "func string, target int, idx bigint", data_num)
     return rows.select("idx", collapse(F.col("func")).alias("source"), F.col("target").alias("label"))
 
 

@@ -22,6 +22,28 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_line_numbers_and_limits_over_a_folder(spark, tmp_path, monkeypatch):
+    lines = [f"row {i}" for i in range(900)]
+    for name, cuts in (("a", (0, 250, 250, 600, 900)), ("b", (0, 10, 899, 900))):
+        (tmp_path / name).mkdir()
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / name / f"part-{k:05}.txt").write_text("".join(f"{x}\n" for x in lines[lo:hi]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for most in (10**6, 2):
+            monkeypatch.setattr(text, "SPLITS", most)
+            rows = text.read_lines(spark, str(tmp_path / "a")).collect()
+            assert sorted((r.line_no, r.value) for r in rows) == list(enumerate(lines))
+            for n in (1, 10, 260, 5000):
+                assert sorted(r.value for r in text.read_lines(spark, str(tmp_path / "a"), n).collect()) == sorted(lines[:n])
+        both = text.read_aligned(spark, str(tmp_path / "a"), str(tmp_path / "b"), 700).collect()
+        assert sorted(both) == [(i, x, x) for i, x in enumerate(lines[:700])]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_task_readers(spark, tmp_path):
     (tmp_path / "a").write_text(" x \ny\nz\n")
     (tmp_path / "b").write_text("1\n2 \n")
