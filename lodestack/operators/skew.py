@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +62,37 @@ def prefix_scan(
 ) -> DataFrame:
     """Running min / max / sum per key in ``order`` (an integer column, unique per key).
 
-    ``specs`` maps an output name to (kind, value, inclusive). A key is cut into blocks of 2**bits consecutive
-    order values: one window runs inside the blocks, a second one over the block totals, so a key that holds a
-    third of all rows is still spread over many tasks.
+    ``specs`` maps an output name to (kind, value, inclusive). A key is cut into blocks of 2**bits consecutive order values.
+    One window runs inside the blocks; what precedes a block is the running total of block totals, found in the same way, so
+    no window holds more than 2**bits rows of a key however long it is. The input is read once: the totals of a block are the
+    values of its last row, and only the totals are written.
     """
     marked = df.withColumn("_block", F.shiftright(F.col(order).cast("long"), bits))
-    for name, (_, value, _) in specs.items():
-        marked = marked.withColumn(f"_v_{name}", value)
     part = Window.partitionBy(*keys, "_block").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    totals = marked.groupBy(*keys, "_block").agg(
-        *[_COMBINE[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _, _) in specs.items()]
-    )
-    before = totals.select(
-        *keys, "_block", *[_COMBINE[kind](f"_t_{name}").over(across).alias(f"_b_{name}") for name, (kind, _, _) in specs.items()]
-    )
+    rows = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     scanned = marked
-    for name, (kind, _, inclusive) in specs.items():
-        frame = part.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-        scanned = scanned.withColumn(f"_r_{name}", _COMBINE[kind](f"_v_{name}").over(frame))
-    out = scanned.join(before, keys + ["_block"])
+    for name, (kind, value, inclusive) in specs.items():
+        frame = rows if inclusive else part.rowsBetween(Window.unboundedPreceding, -1)
+        scanned = scanned.withColumn(f"_v_{name}", value).withColumn(f"_r_{name}", _COMBINE[kind](f"_v_{name}").over(frame))
+        scanned = scanned.withColumn(f"_t_{name}", _COMBINE[kind](f"_v_{name}").over(whole))
+    scanned = stage_table(scanned.withColumn("_first", F.row_number().over(part) == 1).drop(*[f"_v_{n}" for n in specs]), "blocks")
+    totals = scanned.filter("_first").select(*keys, "_block", *[f"_t_{n}" for n in specs])
+    # Blocks beside one another form larger blocks; a single one has nothing before it.
+    widest = totals.agg(F.max("_block").alias("hi"), F.min("_block").alias("lo")).first()
+    before = None
+    if widest.hi is not None and widest.hi > widest.lo:
+        exclusive = {f"_b_{n}": (kind, F.col(f"_t_{n}"), False) for n, (kind, _, _) in specs.items()}
+        if (widest.hi >> bits) > (widest.lo >> bits):
+            before = prefix_scan(totals.withColumnRenamed("_block", "_order"), keys, "_order", exclusive, bits).withColumnRenamed("_order", "_block")
+        else:
+            across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+            before = totals.select(*keys, "_block", *[_COMBINE[kind](value).over(across).alias(n) for n, (kind, value, _) in exclusive.items()])
+        before = before.select(*keys, "_block", *exclusive)
+    out = scanned if before is None else scanned.join(before, keys + ["_block"])
     for name, (kind, _, _) in specs.items():
-        out = out.withColumn(name, _merge(kind, F.col(f"_b_{name}"), F.col(f"_r_{name}")))
+        earlier = F.col(f"_r_{name}") if before is None else _merge(kind, F.col(f"_b_{name}"), F.col(f"_r_{name}"))
+        out = out.withColumn(name, F.coalesce(earlier, F.lit(0)) if kind == "sum" else earlier)
     return out.select(*df.columns, *specs)
 
 
@@ -91,25 +101,40 @@ def ordered_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def rank_cut(hashed: DataFrame, column: str, ranks: list[Column], total: DataFrame | None = None) -> list[Column]:
-    """Values of ``column`` (hex digests, unique) at the given 1-based ranks, as scalar subqueries.
+def rank_cut(hashed: DataFrame, column: str, ranks: Callable[[int], list[int]]) -> list[Column]:
+    """Values of ``column`` (hex digests, unique) at 1-based ranks, which may depend on the number of rows; null where there is
+    no such rank.
 
-    No global sort: rows are counted per four-digit prefix (65,536 at most), and only rows of the prefix that
-    contains the wanted rank are numbered. ``ranks`` may refer to the row count as ``F.col("n")``.
+    Radix selection: one pass counts rows per four digits (65,536 counters), a second one keeps the rows whose first four
+    digits are those of a wanted rank, one in 65,536 for each; further digits are counted among those. All cuts go together,
+    nothing is sorted or numbered.
     """
-    prefix = F.substring(column, 1, 4)
-    counts = hashed.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.orderBy("_p")
-    ladder = counts.select(
-        "_p",
-        (F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_below"),
-        "_c",
-        F.sum("_c").over(Window.partitionBy()).alias("n"),
-    )
-    cuts = []
-    for rank in ranks:
-        home = ladder.withColumn("_k", rank).filter((F.col("_below") < F.col("_k")) & (F.col("_k") <= F.col("_below") + F.col("_c")))
-        inside = hashed.withColumn("_p", prefix).join(F.broadcast(home), "_p")
-        numbered = inside.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-        cuts.append(numbered.filter(F.col("_below") + F.col("_rn") == F.col("_k")).agg(F.max(column).alias("cut")).scalar())
-    return cuts
+
+    def counted(df: DataFrame, level: int) -> dict[str, list[tuple[str, int]]]:
+        """Counts of the next four digits below each prefix, in order."""
+        digits = F.substring(column, 1, 4 * (level + 1)).alias("p")
+        found: dict[str, list[tuple[str, int]]] = {}
+        for row in df.groupBy(digits).agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect():
+            found.setdefault(row.p[: 4 * level], []).append((row.p, row.c))
+        return found
+
+    counts = counted(hashed, 0)
+    total = sum(c for _, c in counts.get("", []))
+    places = [("", k) if 1 <= k <= total else None for k in ranks(total)]
+    rows = hashed
+    for level in range(8):
+        for i, place in enumerate(places):
+            if place is not None:
+                prefix, left = place
+                for p, c in counts[prefix]:
+                    if left <= c:
+                        places[i] = (p, left)
+                        break
+                    left -= c
+        wanted = sorted({p[0] for p in places if p is not None})
+        if level == 7 or not wanted:
+            break
+        kept = rows.filter(F.substring(column, 1, 4 * (level + 1)).isin(wanted)).select(column)
+        rows = stage_table(kept, "rank") if level == 0 else kept
+        counts = counted(rows, level + 1)
+    return [F.lit(None).cast("string") if p is None else F.lit(p[0]) for p in places]

@@ -80,10 +80,10 @@ def upto(cumulative: DataFrame, points: DataFrame) -> DataFrame:
 
 def _counted(cumulative: DataFrame, spans: DataFrame) -> DataFrame:
     """``spans`` (start, end, last and others) with ``cnt``, the rows from start to last."""
-    edges = spans.withColumn("_from", _shift(F.col("start"), -1))
-    at = upto(cumulative, edges.select(F.explode(F.array("_from", "last")).alias("at")))
-    low, high = (at.select(F.col("at").alias(c), F.col("upto").alias(f"_u{c}")) for c in ("_from", "last"))
-    return edges.join(low, "_from").join(high, "last").select(*spans.columns, (F.col("_ulast") - F.col("_u_from")).alias("cnt"))
+    ends = F.array(F.struct(_shift(F.col("start"), -1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("last").alias("at"), F.lit(1).alias("sign")))
+    edges = spans.select(*spans.columns, F.inline(ends))
+    at = upto(cumulative, edges.select("at"))
+    return edges.join(at, "at").groupBy(*spans.columns).agg(F.sum(F.col("sign") * F.col("upto")).alias("cnt"))
 
 
 def count_spans(df: DataFrame, ts: str, spans: DataFrame) -> DataFrame:

@@ -27,19 +27,15 @@ def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 def sample_exact(df: DataFrame, id_col: str, n: int | None = None, share: float | None = None, seed: int = SEED) -> DataFrame:
     """Exactly min(n, rows) rows, or int(share * rows), without replacement; reproducible for any partitioning."""
-    size = F.col("n")
-    rank = F.least(F.lit(n), size) if share is None else F.floor(size * F.lit(share))
     hashed = _hashed(df, id_col, seed)
-    (cut,) = rank_cut(hashed.select("_h"), "_h", [rank.cast("long")])
+    (cut,) = rank_cut(hashed.select("_h"), "_h", lambda size: [min(n, size) if share is None else int(size * share)])
     return hashed.filter(F.col("_h") <= cut).drop("_h")
 
 
 def split_exact(df: DataFrame, id_col: str, seed: int = SEED, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Column ``split`` with exactly int(train*n), int(valid*n) and the remaining rows. Splits by row."""
-    first = F.floor(F.col("n") * F.lit(train)).cast("long")
-    second = first + F.floor(F.col("n") * F.lit(valid)).cast("long")
     hashed = _hashed(df, id_col, seed)
-    a, b = rank_cut(hashed.select("_h"), "_h", [first, second])
+    a, b = rank_cut(hashed.select("_h"), "_h", lambda n: [int(n * train), int(n * train) + int(n * valid)])
     # With too few rows a part is empty and its cut is null.
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, a, F.lit(""))
     name = F.when(F.col("_h") <= a, "train").when(F.col("_h") <= b, "valid").otherwise("test")
@@ -48,5 +44,6 @@ def split_exact(df: DataFrame, id_col: str, seed: int = SEED, train: float = 0.8
 
 def split_by_group(df: DataFrame, group: str, seed: int = SEED, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Whole groups (for instance repositories) go to one split; sizes are only approximately as asked."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(1000)) / 1000.0
-    return df.withColumn("split", F.when(place < train, "train").when(place < train + valid, "valid").otherwise("test"))
+    place = F.conv(F.substring(ordered_key(seed, group), 1, 8), 16, 10).cast("long") % 1000
+    name = F.when(place < round(1000 * train), "train").when(place < round(1000 * (train + valid)), "valid").otherwise("test")
+    return df.withColumn("split", name)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import runs, spans, split
+from lodestack.operators.skew import rank_cut
 
 
 def replay(rows, limit=5, evaluated=True):
@@ -121,3 +122,23 @@ def test_exact_split_and_sample(spark):
     assert split.sample_exact(spark.range(30), "id", n=5000).count() == 30
     tiny = {r.split: r["count"] for r in split.split_exact(spark.range(5), "id").groupBy("split").count().collect()}
     assert tiny == {"train": 4, "test": 1}
+
+
+def test_radix_ranks_of_shared_prefixes(spark):
+    """Digests that agree in many digits go down several levels."""
+    rng = random.Random(3)
+    digests = sorted({"0" * rng.choice([0, 4, 9, 30, 31]) + f"{rng.getrandbits(128):032x}" for _ in range(400)}, key=lambda d: d[:32])
+    digests = sorted({d[:32] for d in digests})
+    rows = spark.createDataFrame([(d,) for d in digests], "h string").repartition(7)
+    ranks = [0, 1, 2, 150, len(digests) - 1, len(digests), len(digests) + 1]
+    cuts = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(rank_cut(rows, "h", lambda n: [r if r < 10**6 else n for r in ranks]))]).first()
+    assert list(cuts) == [digests[r - 1] if 1 <= r <= len(digests) else None for r in ranks]
+    assert split.sample_exact(spark.range(0), "id", n=3).count() == 0
+
+
+def test_groups_stay_together(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 500).cast("string").alias("g"))
+    out = split.split_by_group(rows, "g")
+    assert out.groupBy("g").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
+    sizes = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert 0.7 < sizes["train"] / 4000 < 0.9 and sizes["valid"] > 200 and sizes["test"] > 200
