@@ -120,6 +120,50 @@ def multi_reference_stats(hyps: DataFrame, refs: DataFrame, key: str, max_order:
     return base.join(matches, key, "left").select(key, "hyp_len", "ref_min", "ref_avg", "n_refs", *zero)
 
 
+def reference_stats(
+    df: DataFrame, key: str, hyp: str, refs: str, max_order: int = 4, keywords: list[str] | None = None, other: float = 0.2
+) -> DataFrame:
+    """One row per segment with any number of references (``refs`` is an array of texts; ``key`` identifies a row).
+
+    hyp_len, ref_min and ref_closest (length of the shortest reference and of the one nearest to the hypothesis, the shorter on
+    ties); m1..mN, matches clipped by the largest count of any reference; r1..rN and d1..dN, matches and possible n-grams summed
+    over the references one by one, the latter at least one each. With ``keywords`` r1 and d1 weigh unigrams: 1 for a keyword,
+    else ``other``. Texts move once, by segment; what is counted after that is clustered by it. A segment without references
+    has null lengths and no matches.
+    """
+    listed = sorted(set(keywords or []))
+    base = spread_by(df.select(key, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs")), key)
+    base = base.select(key, tokens(F.col("_hyp")).alias("_hyp"), F.transform("_refs", tokens).alias("_refs"))
+    size = F.size("_hyp")
+    lengths = F.transform("_refs", lambda r: F.size(r))
+    near = F.array_sort(F.transform(lengths, lambda n: F.struct(F.abs(n - size).alias("d"), n.alias("n"))))
+    total = lambda part: F.aggregate("_refs", F.lit(0.0), lambda acc, r: acc + F.greatest(part(r), F.lit(1)).cast("double"))
+    weight = lambda r: other * F.size(r) + (1 - other) * F.size(F.filter(r, lambda w: w.isin(listed)))
+    possible = [total(lambda r, n=n: F.size(r) - (n - 1)).alias(f"d{n}") for n in range(1, max_order + 1)]
+    if keywords is not None:
+        possible[0] = total(weight).alias("d1")
+    sizes = base.select(key, size.cast("long").alias("hyp_len"), F.array_min(lengths).cast("long").alias("ref_min"), F.get(near, F.lit(0)).n.cast("long").alias("ref_closest"), *possible)
+
+    side = F.transform("_refs", lambda r, i: F.struct((i + 1).alias("slot"), r.alias("tok")))
+    sides = base.select(key, F.inline(F.concat(F.array(F.struct(F.lit(0).alias("slot"), F.col("_hyp").alias("tok"))), side)))
+    grams = with_grams(sides, "tok", "_g", max_order)
+    packed = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_g{n}").alias("grams")) for n in range(1, max_order + 1)])
+    rows = grams.select(key, "slot", F.inline(packed)).select(key, "slot", "n", F.explode("grams").alias("gram"))
+    counts = rows.groupBy(key, "n", "gram", "slot").agg(F.count(F.lit(1)).alias("c"))
+    own = F.max(F.when(F.col("slot") == 0, F.col("c"))).alias("h")
+    each = F.collect_list(F.when(F.col("slot") > 0, F.col("c"))).alias("cs")
+    both = counts.groupBy(key, "n", "gram").agg(own, each).filter("h is not null and size(cs) > 0")
+    single = F.aggregate("cs", F.lit(0).cast("long"), lambda acc, c: acc + F.least("h", c))
+    scale = F.when((F.col("n") == 1) & ~F.col("gram").isin(listed), other).otherwise(1.0) if keywords is not None else F.lit(1.0)
+    clipped, summed = F.least("h", F.array_max("cs")), single * scale
+    sums = [F.sum(F.when(F.col("n") == n, clipped).otherwise(0)).alias(f"m{n}") for n in range(1, max_order + 1)]
+    sums += [F.sum(F.when(F.col("n") == n, summed).otherwise(0.0)).alias(f"r{n}") for n in range(1, max_order + 1)]
+    found = both.groupBy(key).agg(*sums)
+    zero = [F.coalesce(f"{x}{n}", F.lit(0)).alias(f"{x}{n}") for x in "mr" for n in range(1, max_order + 1)]
+    ends = [F.col(f"d{n}") for n in range(1, max_order + 1)]
+    return sizes.join(found, key, "left").select(key, "hyp_len", "ref_min", "ref_closest", *zero, *ends)
+
+
 def closest_ref_length(hyps: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Per key the reference length nearest to the hypothesis length; the shorter one on ties.
 

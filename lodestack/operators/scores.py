@@ -239,6 +239,26 @@ def weighted_recall(stats: DataFrame, orders: int = 4, compat: bool = True) -> D
     return sums.select(bleu_value(pairs, F.col("h"), F.col("r"), [1 / orders] * orders).alias("score"))
 
 
+def reference_scores(stats: DataFrame, orders: int = 4, compat: bool = True) -> DataFrame:
+    """One row of corpus scores over :func:`lodestack.operators.overlap.reference_stats`, several references per segment.
+
+    bleu (add-one smoothing, shortest reference, x100), ngram (clipped precision, closest reference) and weighted (recall,
+    summed reference by reference). ``compat`` takes every reference to be two long in the penalty of the last.
+    """
+    each = [f"{x}{n}" for n in range(1, orders + 1) for x in "mrd"]
+    floors = [F.sum(F.greatest(possible(F.col("hyp_len"), n), F.lit(1))).alias(f"p{n}") for n in range(1, orders + 1)]
+    counted = stats.filter("ref_min is not null")
+    sums = counted.agg(
+        F.sum("hyp_len").alias("h"), F.sum("ref_closest").alias("c"), F.sum(F.lit(2) if compat else F.col("ref_closest")).alias("two"), *[F.sum(x).alias(x) for x in each], *floors
+    )
+    equal = [1 / orders] * orders
+    pairs = lambda a, b: [(F.col(f"{a}{n}"), F.col(f"{b}{n}")) for n in range(1, orders + 1)]
+    smoothed = corpus_bleu_from_stats(counted.withColumn("ref_len", F.col("ref_min")), orders).select("bleu").scalar()
+    return sums.select(
+        smoothed.alias("bleu"), bleu_value(pairs("m", "p"), F.col("h"), F.col("c"), equal).alias("ngram"), bleu_value(pairs("r", "d"), F.col("h"), F.col("two"), equal).alias("weighted")
+    )
+
+
 # --- scalars over logs and composites ---------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from lodestack.plans.derived import ctes, table, view
 from lodestack.plans.text_queries import PUNCT_SQL, nist_sql, tok, trim
 from lodestack.sources.keywords import KEYWORDS
 from lodestack.sources.text import read_keywords
-from lodestack.session import scratch_path
+from lodestack.session import scratch_path, stage_table
 
 QUERIES, SQL = {}, {}
 
@@ -342,6 +342,47 @@ def a09b(spark, sf):
     return scores.weighted_recall(pair_stats(spark, sf, keywords=WORDS), compat=False).select(F.round("score", 6).alias("score"))
 
 
+# Two references for odd documents and three for even ones, of different lengths.
+_REF_SIDES = (
+    ctes("fx_pairs") + f", sides AS MATERIALIZED (SELECT idx, 0 AS slot, {tok('pred')} AS t FROM fx_pairs UNION ALL SELECT idx, 1, {tok('gold')} FROM fx_pairs "
+    f"UNION ALL SELECT idx, 2, {tok("replace(gold, ' ', '  x ')")} FROM fx_pairs WHERE idx % 3 = 0 UNION ALL SELECT idx, 2, {tok("replace(gold, ' of ', ' ')")} FROM fx_pairs WHERE idx % 3 <> 0 "
+    f"UNION ALL SELECT idx, 3, {tok("replace(pred, ' a ', ' the the ')")} FROM fx_pairs WHERE idx % 2 = 0), "
+    f"g AS ({_grams('sides', 'idx, slot', 4)}), c AS MATERIALIZED (SELECT idx, slot, n, gram, count(*) AS c FROM g GROUP BY ALL), "
+)
+
+
+def _refs_sql(words=WORDS):
+    kw = ", ".join(f"'{w}'" for w in sorted(set(words)))
+    weigh = f"CASE WHEN k.n = 1 AND k.gram NOT IN ({kw}) THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END"
+    pick = lambda x, name: ", ".join(f"sum(CASE WHEN n = {n} THEN {x} ELSE 0 END) AS {name}{n}" for n in range(1, 5))
+    dens = ", ".join(f"sum(greatest(len(t) - {n - 1}, 1)) AS d{n}" for n in range(2, 5))
+    number = {n: f"m{n}" for n in range(1, 5)}, {n: f"p{n}" for n in range(1, 5)}
+    recall = ["(r1 / d1)"] + [f"(CASE WHEN r{n} = 0 THEN 0.1::DOUBLE ELSE r{n} END / d{n})" for n in (2, 3, 4)]
+    return (
+        _REF_SIDES + "h AS (SELECT idx, n, gram, c FROM c WHERE slot = 0), "
+        f"e AS (SELECT k.idx, k.n, k.gram, least(h.c, max(k.c)) AS clipped, sum(least(h.c, k.c) * {weigh}) AS summed FROM c k JOIN h ON k.slot > 0 AND k.idx = h.idx AND k.n = h.n AND k.gram = h.gram GROUP BY k.idx, k.n, k.gram, h.c), "
+        f"q AS (SELECT {pick('clipped', 'm')}, {pick('summed', 'r')} FROM e), "
+        f"s AS (SELECT idx, slot, t, len(t) AS len, 0.2::DOUBLE * len(t) + 0.8::DOUBLE * len(list_filter(t, lambda w: w IN ({kw}))) AS w FROM sides), "
+        f"d AS (SELECT sum(greatest(w, 1)) AS d1, {dens} FROM s WHERE slot > 0), "
+        "l AS (SELECT r.idx, any_value(h.len) AS hyp_len, min(r.len) AS short, arg_min(r.len, abs(r.len - h.len) * 1000000 + r.len) AS near FROM s r JOIN s h ON r.idx = h.idx AND h.slot = 0 AND r.slot > 0 GROUP BY r.idx), "
+        "y AS (SELECT sum(hyp_len) AS h, sum(short) AS short, sum(near) AS near, 2 * count(*) AS two, "
+        + ", ".join(f"sum(greatest({possible(n)}, 1)) AS p{n}, sum({possible(n)}) AS o{n}" for n in range(1, 5)) + " FROM l) "
+        "SELECT round(100 * exp((" + " + ".join(f"ln((m{n} + 1.0::DOUBLE) / (o{n} + 1))" for n in range(1, 5)) + ") / 4) * CASE WHEN h > short THEN 1.0::DOUBLE ELSE exp(1 - short::DOUBLE / h) END, 2) AS bleu, "
+        f"round({_score_sql(_method_sql(1, *number, 'h'), 'h', 'near', 'm1')}, 6) AS ngram, round({_score_sql(recall, 'h', 'two', 'r1')}, 6) AS weighted FROM q, d, y"
+    )
+
+
+@query("a09_several_references", _refs_sql())
+def a09c(spark, sf):
+    pairs = view(spark, sf, "fx_pairs")
+    third, gold = F.col("idx") % 3 == 0, F.col("gold")
+    second = F.when(third, F.replace(gold, F.lit(" "), F.lit("  x "))).otherwise(F.replace(gold, F.lit(" of "), F.lit(" ")))
+    last = F.when(F.col("idx") % 2 == 0, F.replace("pred", F.lit(" a "), F.lit(" the the ")))
+    rows = pairs.select("idx", "pred", F.array_compact(F.array(gold, second, last)).alias("refs"))
+    stats = stage_table(overlap.reference_stats(rows, "idx", "pred", "refs", 4, WORDS), "stats")
+    return scores.reference_scores(stats).select("bleu", F.round("ngram", 6).alias("ngram"), F.round("weighted", 6).alias("weighted"))
+
+
 # --- user functions ---------------------------------------------------------------------------------------------
 
 

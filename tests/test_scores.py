@@ -63,3 +63,37 @@ def test_composite_and_perplexity(spark):
     assert scores.composite(parts).first().score == 0.5
     losses = spark.createDataFrame([(1, 0, 1.0), (1, 0, 3.0), (1, 1, 0.0)], "r long, batch long, loss double")
     assert scores.perplexity(losses, ["r"]).first().ppl == pytest.approx(2.71828)
+
+
+def test_several_references_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from lodestack.operators.overlap import reference_stats
+    from lodestack.operators.scores import reference_scores
+
+    rnd = random.Random(2)
+    text = lambda: " ".join(rnd.choice("the cat sat on a mat of if".split()) for _ in range(rnd.randint(0, 14)))
+    data = [(i, text(), [text() for _ in range(rnd.randint(1, 3))]) for i in range(60)] + [(60, "a", []), (61, "", ["", "the"])]
+    df = spark.createDataFrame(data, "k long, pred string, refs array<string>")
+    words = ["the", "if"]
+    got = {r.k: r for r in reference_stats(df, "k", "pred", "refs", 4, words).collect()}
+    grams = lambda t, n: Counter(zip(*[t.split()[i:] for i in range(n)]))
+    assert got.keys() == {k for k, _, _ in data} and got[60].ref_min is None
+    for k, pred, refs in data:
+        sizes = [len(r.split()) for r in refs]
+        if refs:
+            n = len(pred.split())
+            assert (got[k].hyp_len, got[k].ref_min, got[k].ref_closest) == (n, min(sizes), min(sizes, key=lambda s: (abs(s - n), s)))
+        for n in range(1, 5):
+            own, others = grams(pred, n), [grams(r, n) for r in refs]
+            best = Counter()
+            for o in others:
+                best |= o
+            scale = lambda g: 0.2 if n == 1 and g[0] not in words else 1.0
+            assert got[k][f"m{n}"] == sum((own & best).values())
+            assert abs(got[k][f"r{n}"] - sum(c * scale(g) for o in others for g, c in (own & o).items())) < 1e-9
+            assert abs(got[k][f"d{n}"] - sum(max(1, sum(c * scale(g) for g, c in o.items())) for o in others)) < 1e-9
+    same = spark.createDataFrame([(1, "a b c d e", ["x", "a b c d e"])], "k long, pred string, refs array<string>")
+    row = reference_scores(reference_stats(same, "k", "pred", "refs")).first()
+    assert row.ngram == 1.0 and row.bleu == 100.0 and row.weighted < 1.0
