@@ -86,12 +86,13 @@ def apply_merges(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) ->
     return [s for s in symbols if s is not None]
 
 
-def merge_down(segments: list[list[str]], freqs: list[int], lo: int, limit: int, known: set[str], below: dict[tuple[str, str], int], last: int) -> list[tuple[str, str, int]]:
+def merge_down(segments: list[list[str]], freqs: list[int], lo: int, limit: int, known: set[str], below: dict[tuple[str, str], int], last: int, bound: tuple[str, str] | None = None) -> list[tuple[str, str, int]]:
     """Merges (left, right, count) of these segments one at a time, most frequent first and ties by text, while counts exceed
     ``lo``. Pairs lead to their segments, and a merge changes the counts of the pairs in those only.
 
     A merge may make a piece that some words hold already (``known``) at places that were cut off. Pairs with it may be more
-    frequent than the segments show, by what ``below`` says (or ``last``); the round ends where such a pair could be next.
+    frequent than the segments show, by what ``below`` says (or ``last``); the round ends where such a pair could be next, and
+    where the next pair comes after ``bound`` in the order of texts.
     """
     counts: dict[tuple[str, str], int] = defaultdict(int)
     where: dict[tuple[str, str], set[int]] = defaultdict(set)
@@ -110,7 +111,7 @@ def merge_down(segments: list[list[str]], freqs: list[int], lo: int, limit: int,
             if counts.get(pair) and most(pair) > lo:
                 heapq.heappush(heap, (-most(pair), pair))
             continue
-        if -n <= lo or -n != counts[pair]:
+        if -n <= lo or -n != counts[pair] or (bound is not None and pair > bound):
             break
         out.append((*pair, -n))
         piece = pair[0] + pair[1]
@@ -150,8 +151,9 @@ def _ranking(state: DataFrame, ranked: int) -> list[tuple[str, str, int]]:
     return [tuple(r) for r in counted.orderBy(F.desc("n"), "a", "b").limit(ranked).select("a", "b", "n").collect()]
 
 
-def _cut(state: DataFrame, kept: set[tuple[str, str]]) -> DataFrame:
-    """segment, freq: the distinct runs of symbols whose neighbours are all ``kept`` pairs, with their counts."""
+def _cut(state: DataFrame, kept: set[tuple[str, str]], whole: bool = False) -> DataFrame:
+    """segment, freq: the distinct runs of symbols whose neighbours are all ``kept`` pairs, with their counts; or the ``whole``
+    words that hold such a pair."""
     shared = state.sparkSession.sparkContext.broadcast(kept)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,6 +161,10 @@ def _cut(state: DataFrame, kept: set[tuple[str, str]]) -> DataFrame:
         for df in frames:
             sums: dict[str, int] = defaultdict(int)
             for symbols, freq in zip(df["symbols"], df["freq"]):
+                if whole:
+                    if any(pair in pairs for pair in zip(symbols, symbols[1:])):
+                        sums[_JOIN.join(symbols)] += freq
+                    continue
                 run = [symbols[0]]
                 for a, b in zip(symbols, symbols[1:]):
                     if (a, b) not in pairs:
@@ -189,7 +195,8 @@ def learn(words: DataFrame, n_merges: int, ranked: int = RANKED, segments: int =
     """rank, left, right, freq, round: the merges in order, equal to merging one pair at a time (ties by text).
 
     ``words`` is (word, freq). At most ``ranked`` pairs reach the driver in a round and at most ``segments`` segments a task;
-    lo is lowered as far as that allows. Where not even the first few pairs fit, a round takes the first pair alone.
+    lo is lowered as far as that allows, doubling the number of pairs from round to round. Where more pairs than that have one
+    count, a round takes those up to a text; where not even the first pair's segments fit, it takes that pair alone.
     """
     spark = words.sparkSession
     kind = "rank int, left string, right string, freq long, round int"
@@ -207,17 +214,20 @@ def learn(words: DataFrame, n_merges: int, ranked: int = RANKED, segments: int =
             # All pairs above the count of the first one that is left out.
             lo = top[tries][2] if tries < len(top) else (0 if whole else top[-1][2])
             kept = {(a, b) for a, b, n in top if n > lo}
-            if not kept and tries < len(top) and tries < 64:
-                tries = min(2 * tries, len(top))
-                continue
-            found = stage_table(_cut(state, kept), "segments") if kept else None
-            size = found.count() if kept else 0
+            bound = None
+            if not kept:
+                # Pairs of one count go in the order of their texts. Those up to a bound, and what becomes of them, are known
+                # from the words that hold one of them: a new pair that comes before the bound arises in such a word.
+                bound, lo = top[tries - 1][:2], top[0][2] - 1
+                kept = {(a, b) for a, b, n in top[:tries]}
+            found = stage_table(_cut(state, kept, bound is not None), "segments")
+            size = found.count()
             if size <= segments or tries == 1:
                 break
             tries = max(1, tries // 2)
-        if kept and size <= segments:
+        if size <= segments:
             below = {(a, b): n for a, b, n in top if n <= lo}
-            at = (lo, n_merges - done, frozenset(known), below, 0 if whole else top[-1][2])
+            at = (lo, n_merges - done, frozenset(known), below, 0 if whole else top[-1][2], bound)
             shared = spark.sparkContext.broadcast(at)
 
             def merged(df: pd.DataFrame) -> pd.DataFrame:
