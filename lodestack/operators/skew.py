@@ -13,6 +13,8 @@ from lodestack.session import stage_table
 PIECE_ROWS, PIECES = 1_000_000, 256
 # Bits of an order value that fall into one block of a prefix scan.
 BLOCK_BITS = 16
+# Digests among which the driver picks the wanted ranks.
+FEW = 10_000
 
 
 def hot_keys(df: DataFrame, on: list[str], share: int | None = None) -> DataFrame:
@@ -106,8 +108,8 @@ def rank_cut(hashed: DataFrame, column: str, ranks: Callable[[int], list[int]])
     no such rank.
 
     Radix selection: one pass counts rows per four digits (65,536 counters), a second one keeps the rows whose first four
-    digits are those of a wanted rank, one in 65,536 for each; further digits are counted among those. All cuts go together,
-    nothing is sorted or numbered.
+    digits are those of a wanted rank, one in 65,536 for each; further digits are counted among those, until at most FEW
+    candidates are left. All cuts go together, no table is sorted or numbered.
     """
 
     def counted(df: DataFrame, level: int) -> dict[str, list[tuple[str, int]]]:
@@ -135,6 +137,11 @@ def rank_cut(hashed: DataFrame, column: str, ranks: Callable[[int], list[int]])
         if level == 7 or not wanted:
             break
         kept = rows.filter(F.substring(column, 1, 4 * (level + 1)).isin(wanted)).select(column)
+        if sum(c for group in counts.values() for p, c in group if p in wanted) <= FEW:
+            values = sorted(r[0] for r in kept.collect())
+            below = lambda prefix: [v for v in values if v.startswith(prefix)]
+            places = [None if p is None else (below(p[0])[p[1] - 1], 1) for p in places]
+            break
         rows = stage_table(kept, "rank") if level == 0 else kept
         counts = counted(rows, level + 1)
     return [F.lit(None).cast("string") if p is None else F.lit(p[0]) for p in places]

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import runs, spans, split
+from lodestack.operators import runs, skew, spans, split
 from lodestack.operators.skew import rank_cut
 
 
@@ -124,8 +124,10 @@ def test_exact_split_and_sample(spark):
     assert tiny == {"train": 4, "test": 1}
 
 
-def test_radix_ranks_of_shared_prefixes(spark):
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_radix_ranks_of_shared_prefixes(spark, monkeypatch, few):
     """Digests that agree in many digits go down several levels."""
+    monkeypatch.setattr(skew, "FEW", few)
     rng = random.Random(3)
     digests = sorted({"0" * rng.choice([0, 4, 9, 30, 31]) + f"{rng.getrandbits(128):032x}" for _ in range(400)}, key=lambda d: d[:32])
     digests = sorted({d[:32] for d in digests})
