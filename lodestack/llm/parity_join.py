@@ -1,14 +1,15 @@
 """Near duplicates by Jaccard similarity of word shingles: a parity-sketch join.
 
-A text's shingles are tossed into 2**level parts by their hash. Inside a part every shingle toggles one bit of a wide, sparse
+A text's shingles are tossed into 2**(level - 1) parts by their hash, one or two to a part on average. Inside a part every shingle toggles one bit of a wide, sparse
 sketch, which is kept as its key (the XOR of the bits' keys). One shingle in only one of two sets changes at most one part, so
 the number of parts that differ is a lower bound of the symmetric difference, as is the Hamming distance of dense sketches.
 
 Sets with a Jaccard similarity of p / q or more differ in at most (q - p) / (q + p) of their summed sizes: D. By the
 pigeonhole principle they agree in all but D parts, so in any one order of part keys each has a common key among its first
-D + 1. The order puts keys that the corpus repeats last (estimated by a merged map of hash cells; any estimate gives right
-results), so passages that many texts share produce no candidates. Sizes fall into bands of one level each; a set also joins
-the next band if a partner may lie there.
+D + 1. The order puts keys that the corpus repeats last, the commonest at the end (estimated by a merged map of hash cells; any
+estimate gives right results), and among equals those of parts with several shingles first, as chance hardly repeats them. So
+neither passages that many texts share nor single common shingles produce candidates. Sizes fall into bands of one level each;
+a set also joins the next band if a partner may lie there.
 
 Candidates are stars around one member per key, never pairs of a group. Their components are verified: dense sketches sort
 out most pairs, exact intersections decide, and pairs that are already connected are not looked at.
@@ -30,11 +31,11 @@ from lodestack.llm.spans import keyed, packed, with_ranges
 from lodestack.session import stage_table
 
 SHINGLE, P, Q = 5, 3, 4
-#: Smallest level; entries sorted at once and per bucket; sets of a cluster compared at once.
-LEVEL, FLUSH, BUCKET, CLUSTER = 6, 1_000_000, 2_000_000, 2_048
+#: Smallest level; entries sorted at once and per bucket; sets of a cluster compared at once, and their shingles.
+LEVEL, FLUSH, BUCKET, CLUSTER, WEIGHT = 6, 500_000, 1_000_000, 2_048, 1_000_000
 #: Bits of the dense sketches.
 DENSE = 2048
-#: The map of repeated cells has at most 2**MAP bits (16 MB), which go to every executor.
+#: The map of repeated cells has at most 2**MAP places of two bits (32 MB), which go to every executor.
 MAP = 27
 U = np.uint64
 
@@ -99,21 +100,22 @@ def _bands(n: int) -> list[tuple[int, int]]:
 
 def part_key_lists(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, needs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, how many each set has) of sets that are not empty: keys of the parts that are not empty; of empty ones too, if
-    those are fewer than needed."""
+    those are fewer than needed. The lowest bit of a key is 0 if its part holds several shingles."""
     if not len(sizes):
         return np.empty(0, U), np.empty(0, np.int64)
     own, level = np.repeat(np.arange(len(sizes)), sizes), levels.astype(U)
-    part = flat >> (U(64) - level)[own]
+    part = flat >> (U(65) - level)[own]
     cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (own[1:] != own[:-1])])
+    alone = np.diff(np.r_[cut, len(part)]) == 1
     toggled, part, own = np.bitwise_xor.reduceat(H.mix(flat), cut), part[cut], own[cut]
-    keys = H.mix(toggled ^ H.mix((part << U(8)) + level[own]))
+    keys = H.mix(toggled ^ H.mix((part << U(8)) + level[own])) & ~U(1) | alone.astype(U)
     counts = np.bincount(own, minlength=len(sizes))
     few = np.flatnonzero(counts < needs)
     if len(few):
         lists, parts = _split(keys, counts), _split(part, counts)
         for i in few.tolist():
-            empty = np.setdiff1d(np.arange(1 << int(levels[i])).astype(U), parts[i])
-            more = H.mix(H.mix((empty << U(8)) + level[i]) ^ U(0xE7037ED1A0B428DB))
+            empty = np.setdiff1d(np.arange(1 << int(levels[i]) - 1).astype(U), parts[i])
+            more = H.mix(H.mix((empty << U(8)) + level[i]) ^ U(0xE7037ED1A0B428DB)) | U(1)
             lists[i] = np.concatenate([lists[i], np.sort(more)[: needs[i] - counts[i]]])
         keys, counts = np.concatenate(lists), np.array([len(x) for x in lists])
     return keys, counts
@@ -182,21 +184,34 @@ def _measure(rows: DataFrame, bits: int, shard_bits: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n long, node long, emits long, shard long, cells binary")
 
 
-def _repeated(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
-    """Packed bits: which cells hold two or more part keys. Beyond 2**MAP cells neighbours share a bit. The map has a fixed
-    size; a corpus that fills it only makes the order of keys, and so the candidates, less selective."""
+def _classes(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
+    """How often the corpus repeats each cell, in four classes packed by two bits: below a least count, and from that count,
+    eight and sixty-four times it. The least count is the smallest power of two that leaves three of four places of the map
+    free, so the map of fixed size tells keys apart however large the corpus is, and the commonest always stand out."""
     width, fold = 1 << (bits - shard_bits), max(0, bits - MAP)
 
     def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         cells = [np.cumsum(np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)) for x in df["cells"]]
-        often = np.bincount(np.concatenate(cells), minlength=width) > 1
-        return pd.DataFrame([(key[0], np.packbits(often.reshape(-1, 1 << fold).any(axis=1)).tobytes())], columns=["shard", "cells"])
-
-    kind = "shard long, cells binary"
-    out = np.zeros((1 << shard_bits, (width >> fold) // 8), np.uint8)
-    for r in measured.filter("cells is not null").select("shard", "cells").groupBy("shard").applyInPandas(merge, kind).collect():
-        out[r["shard"]] = np.frombuffer(r["cells"], np.uint8)
-    return out.ravel()
+        times = np.bincount(np.concatenate(cells), minlength=width)
+        at = np.flatnonzero(times > 1)
+        order = np.int64(key[0]) * width + at >> fold
+        power = np.frexp(times[at].astype(np.float64))[1] - 1
+        out = [(p, int((power == p).sum()), order[power == p].astype(np.uint32).tobytes()) for p in np.unique(power).tolist()]
+        return pd.DataFrame(out, columns=["power", "n", "places"])
+
+    cells = measured.filter("cells is not null").select("shard", "cells")
+    found = stage_table(cells.groupBy("shard").applyInPandas(merge, "power int, n long, places binary"), "repeated")
+    counts = {r["power"]: r["n"] for r in found.groupBy("power").agg(F.sum("n").alias("n")).collect()}
+    least, left = max(counts, default=1) + 1, (1 << MAP) // 4
+    while least > 1 and counts.get(least - 1, 0) <= left:
+        least -= 1
+        left -= counts.get(least, 0)
+    out = np.zeros(1 << min(bits, MAP), np.uint8)
+    for r in found.filter(F.col("power") >= least).select("power", "places").collect():
+        at = np.frombuffer(r["places"], np.uint32)
+        out[at] = np.maximum(out[at], min(3, 1 + (r["power"] - least) // 3))
+    by_four = out.reshape(-1, 4)
+    return by_four[:, 0] | by_four[:, 1] << 2 | by_four[:, 2] << 4 | by_four[:, 3] << 6
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +226,8 @@ def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between nodes such that nodes with a common prefix key are connected."""
+    """Edges (a, b) between nodes such that nodes with a common prefix key are connected. They are staged, which ends the use
+    of the map."""
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
     blob = "bucket long, nodes binary, sizes binary, keys binary, edges binary"
 
@@ -251,8 +267,8 @@ def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int)
                 flat, sizes, ids = flat[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
                 for which, needs, every, counts in banded_keys(flat, sizes):
                     cell = (every >> U(64 - min(bits, MAP))).astype(np.int64)
-                    often = repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
-                    rank = every >> U(1) | often.astype(U) << U(63)
+                    often = repeated[cell >> 2] >> (cell & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
+                    rank = every >> U(3) | often.astype(U) << U(62) | (every & U(1)) << U(61)
                     for own, order, need in zip(_split(every, counts), _split(rank, counts), needs.tolist()):
                         keys.append(own[np.argpartition(order, need - 1)[:need]] if len(own) > need else own)
                     nodes += ids[which].tolist()
@@ -281,7 +297,9 @@ def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int)
         every = np.concatenate([*edges, np.stack([a, b], 1)])
         return pd.DataFrame(np.unique(every, axis=0), columns=["a", "b"])
 
-    return rows.select("text").mapInArrow(emit, blob).groupBy("bucket").applyInPandas(join, "a long, b long").distinct()
+    edges = stage_table(rows.select("text").mapInArrow(emit, blob).groupBy("bucket").applyInPandas(join, "a long, b long"), "edges")
+    shared.destroy()
+    return edges
 
 
 class _Forest:
@@ -362,17 +380,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     measured = stage_table(_measure(rows, bits, shard_bits), "sets")
     sets = measured.filter("cells is null").select("row", "doc_id", "n", "node")
     total = measured.agg(F.sum("emits")).first()[0] or 0
-    edges = _candidates(rows, _repeated(measured, bits, shard_bits), bits, max(1, -(-total // BUCKET)))
+    edges = _candidates(rows, _classes(measured, bits, shard_bits), bits, max(1, -(-total // BUCKET)))
     clusters = components(edges).withColumnRenamed("id", "node")
-    holders = sets.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
+    holders = sets.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     members = stage_table(clusters.join(holders, "node"), "members")
-    crowds = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER, F.sum("n") / WEIGHT)).alias("blocks")
+    crowds = members.groupBy("root").agg(blocks)
     # A cluster of several blocks is compared block against block.
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     placed = members.join(crowds, "root").withColumn("block", block).withColumn("other", other)
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tasks = max(1, -(-members.count() // CLUSTER))
+    tasks = max(1, members.agg(blocks).first()[0] or 0)
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "i", "j"))
     placed = placed.select("row", "root", "node", "i", "j", (F.col("block") == F.col("i")).alias("half"), task.alias("task"))
     links = _verified(with_ranges(rows.select("row", "text"), placed, "inner"))
