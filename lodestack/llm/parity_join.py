@@ -206,12 +206,12 @@ def _classes(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
     while least > 1 and counts.get(least - 1, 0) <= left:
         least -= 1
         left -= counts.get(least, 0)
-    out = np.zeros(1 << min(bits, MAP), np.uint8)
+    out = np.zeros(1 << min(bits, MAP) - 2, np.uint8)
     for r in found.filter(F.col("power") >= least).select("power", "places").collect():
+        # Places that several cells share get the union of their bits, which is no less than the greatest class.
         at = np.frombuffer(r["places"], np.uint32)
-        out[at] = np.maximum(out[at], min(3, 1 + (r["power"] - least) // 3))
-    by_four = out.reshape(-1, 4)
-    return by_four[:, 0] | by_four[:, 1] << 2 | by_four[:, 2] << 4 | by_four[:, 3] << 6
+        np.bitwise_or.at(out, at >> 2, np.uint8(min(3, 1 + (r["power"] - least) // 3)) << (at & 3).astype(np.uint8) * np.uint8(2))
+    return out
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
