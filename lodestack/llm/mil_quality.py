@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
@@ -20,8 +20,8 @@ from lodestack.llm.common import fold
 PASSAGE, CLASSES, PAIRS = 512, 16, 64
 FEATURES = CLASSES + PAIRS + 5
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 30, 64, 0.01, 1e-4, 7
-#: Bounds of the training sample: labelled rows, and bytes of their texts.
-SAMPLE, BYTES = 3_000, 20_000
+#: Bounds of the training sample: labelled rows, and bytes of all their texts together.
+SAMPLE, BYTES = 3_000, 32_000_000
 THRESHOLD = 0.3
 
 #: Class of each byte: letters by case, digits, blanks, line ends, bytes of other scripts; marks by their code.
@@ -133,21 +133,24 @@ def fit(bags: list[np.ndarray], labels: list[int]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int) -> list[tuple[np.ndarray, int]]:
     """(passage features, label) of at most about SAMPLE labelled documents outside the held-out fold, drawn by a hash of
-    their ids, of at most BYTES bytes. Labels other than null count as 1 if positive; of several for one id the least counts."""
+    their ids until their whole texts reach BYTES bytes; long texts are drawn like short ones. Labels other than null count
+    as 1 if positive; of several labels or texts for one id the least counts."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, modulus) != 0))
     usable = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("label"))
     usable = usable.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)))
     n = usable.count()
     drawn = usable.filter(F.col("draw") < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))).orderBy("draw", "doc_id").limit(SAMPLE + SAMPLE // 10)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter((F.octet_length("text") <= BYTES))
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "draw", (F.col("label") > 0).cast("int").alias("label"), "text")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= BYTES)
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "draw").agg((F.min("label") > 0).cast("int").alias("label"), F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "doc_id"))  # over the drawn rows only
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= BYTES).select("draw", "label", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [features[a:b].tobytes() for _, first, features in passages(batch.column("text")) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(bags, pa.binary())], ["draw", "label", "bag"])
 
-    found = rows.mapInArrow(encode, "draw long, label int, bag binary").limit(2 * SAMPLE).collect()
+    found = rows.mapInArrow(encode, "draw long, label int, bag binary").collect()
     return [(np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES), r["label"]) for r in sorted(found, key=lambda r: (r["draw"], r["label"], bytes(r["bag"])))]
 
 
@@ -174,3 +177,12 @@ def score(
 
     kind = rows.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
     return rows.mapInArrow(run, kind)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5) -> DataFrame:
+    """The rows of ``docs`` that ``score`` predicts as 1, with all their columns as they were, whatever their names are."""
+    names = docs.columns
+    key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    marks = labels.select(F.col(id_col).alias(key), F.col(label_col).alias("label"))
+    return score(plain, marks, key, text, "label", modulus).filter("predicted = 1").select(*plain.columns).toDF(*names)
