@@ -3,8 +3,8 @@
 A text is the set of its character n-grams, n in ORDERS, lower-cased and hashed to 2**BITS buckets; the kernel of two texts is
 the size of the intersection over the geometric mean of their sizes. Landmarks are training texts; with their kernel matrix
 M, the feature map of a text x is k(x, landmarks) M^(-1/2). One ridge regression for each language against the rest is solved
-on these features. Texts are scored in batches: a sparse presence matrix times the landmark matrix gives the kernels, and
-a second product the scores.
+on these features. Texts are scored in batches: their presence matrix times that of the landmarks, block of buckets by block,
+gives the kernels, and a second product the scores.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import fold
+from lodestack.llm.common import fold, small_or_shuffled
+from lodestack.session import stage_table
 
 ORDERS, BITS = (1, 2, 3, 4), 18
-#: Bounds of the training sample: rows in all, characters of a row, languages (the most frequent ones), landmarks.
-SAMPLE, CHARS, LANGUAGES, LANDMARKS = 2_000, 8_000, 64, 96
+#: Bounds of the training sample: rows in all (two of a language at least) and characters of all their texts together.
+SAMPLE, CHARS = 2_000, 16_000_000
+#: Landmarks in all (two of a language at least).
+LANDMARKS = 96
 RIDGE = 1e-3
-#: Presence entries (n-grams of texts) multiplied at once.
-ENTRIES = 40_000
+#: Texts scored at once, buckets of a block.
+TEXTS, BLOCK = 128, 8_192
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -62,13 +65,22 @@ class Model:
     weights: np.ndarray
 
     def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Kernel of every text with every landmark: presence times landmarks, entry block by entry block."""
-        size = np.array([len(s) for s in sets])
+        """Kernel of every text with every landmark: products of presence matrices, TEXTS rows and BLOCK buckets at a time."""
         out = np.zeros((len(sets), len(self.sizes)), np.float32)
-        for i, s in enumerate(sets):
-            for at in range(0, len(s), ENTRIES):
-                rows = self.row[s[at:at + ENTRIES]]
-                out[i] += self.presence[rows[rows > 0]].sum(axis=0, dtype=np.int32)
+        for lo in range(0, len(sets), TEXTS):
+            part = sets[lo:lo + TEXTS]
+            column = self.row[np.concatenate(part)]
+            own = np.repeat(np.arange(len(part)), [len(s) for s in part])
+            by = np.argsort(column)
+            column, own = column[by], own[by]
+            for at in range(1, len(self.presence), BLOCK):
+                a, b = np.searchsorted(column, (at, at + BLOCK))
+                if a < b:
+                    marks = self.presence[at:at + BLOCK].astype(np.float32)
+                    texts = np.zeros((len(part), len(marks)), np.float32)
+                    texts[own[a:b], column[a:b] - at] = 1
+                    out[lo:lo + TEXTS] += texts @ marks
+        size = np.array([len(s) for s in sets])
         return out / np.sqrt(np.maximum(size[:, None], 1) * np.maximum(self.sizes[None, :], 1))
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -93,7 +105,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     label = np.array([names.index(x) for x in langs], int)
     sets = [buckets(t) for t in texts]
     # Landmarks: as many of each language, in the order of the sample.
-    each = max(1, LANDMARKS // max(1, len(names)))
+    each = max(2, LANDMARKS // max(1, len(names)))
     chosen = [i for k in range(len(names)) for i in np.flatnonzero(label == k)[:each]]
     every = np.unique(np.concatenate([np.empty(0, np.int64), *(sets[i] for i in chosen)]))
     row = np.zeros(1 << BITS, np.int32)
@@ -115,24 +127,33 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def sample(rows: DataFrame) -> list[tuple[str, str]]:
-    """(text, lang) of at most about SAMPLE rows (id_text, text, lang): evenly over the LANGUAGES most frequent languages,
-    chosen by a hash of id and text, of at most CHARS characters. The only rows that reach the driver."""
+    """(text, lang) of about SAMPLE rows (id_text, text, lang), evenly over all languages, two of each at least: the first by a
+    hash of id and text, until the whole texts of a language reach its share of CHARS characters. Long texts are drawn like
+    short ones; only one that exceeds CHARS alone is not; a repeated row is drawn once. The only rows that reach the driver; they grow with languages, not
+    with rows."""
     usable = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= CHARS) & F.col("text").rlike(r"\p{L}"))
     usable = usable.withColumn("draw", F.pmod(F.xxhash64("id_text", "text"), F.lit(1 << 30)))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = stage_table(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    langs = counts.count()
+    if not langs:
         return []
-    each = max(2, SAMPLE // len(counts))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, each / r["n"]) * (1 << 30))))])
-    drawn = usable.filter(F.col("draw") < share[F.col("lang")]).orderBy("draw", "lang", "text").select("text", "lang")
-    return [(r["text"], r["lang"]) for r in drawn.limit(2 * SAMPLE).collect()]
+    each = max(2, SAMPLE // langs)
+    # About twice the share by a cut of the hash, so that the window below sees a bounded number of rows of each language.
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 16) / F.col("n"))
+    cut = counts.select("lang", (share * (1 << 30)).cast("long").alias("cut"))
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    drawn = usable.select("text", "lang", "draw").join(small_or_shuffled(cut), "lang").filter("draw < cut")
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).withColumn("place", F.row_number().over(order))
+    drawn = drawn.withColumn("so_far", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = drawn.filter((F.col("place") <= each) & ((F.col("so_far") <= CHARS // langs) | (F.col("place") <= 2)))
+    return [(r["text"], r["lang"]) for r in drawn.orderBy("draw", "lang", "text").select("text", "lang").collect()]
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
     The model learns from text and non-null language of rows whose crc32(id as text) mod ``modulus`` is not 0; a prediction
-    sees the whole text only. Null texts and texts without a letter are ``und`` with score 0, as is everything if there is
+    sees the whole text only. Of languages with equal scores the first by name is predicted. Null texts and texts without a letter are ``und`` with score 0, as is everything if there is
     nothing to learn from. Repeated rows and null ids (they count as empty text) give a row each; an empty table none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(id_col).cast("string").alias("id_text"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (fold(id_col, modulus) == 0).alias("held_out"))
@@ -142,8 +163,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
                 found = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],

@@ -91,6 +91,38 @@ def test_language_prediction_sees_the_text_only(spark):
     assert _key(lang_kernel.classify(frame).collect()) == _key(lang_kernel.classify(other).collect())
 
 
+def test_a_hundred_languages_and_long_texts(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(100):
+        letters = [chr(0x4E00 + 7 * k + j) for j in range(7)]
+        text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+        rows += [(len(rows) + i, text(9_000 if k % 2 else 60), f"l{k:03}") for i in range(12)]
+    found = lang_kernel.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    assert len({r.lang_pred for r in found}) == 100
+    assert all(r.lang_pred == lang[r.doc_id] for r in found)
+
+
+def test_language_scores_equal_the_exact_ridge():
+    rnd = random.Random(4)
+    text = lambda c: "".join(rnd.choice(c) for _ in range(40))
+    texts, langs = zip(*[(text(c), c) for c in ("abcdef", "defghi", "xyzabc") for _ in range(20)])
+    new = [text("abcdefghixyz") for _ in range(10)]
+
+    def grams(t):
+        return set(lang_kernel.buckets(t).tolist())
+
+    def kernel(a, b):
+        return np.array([[len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y))) for y in b] for x in a])
+
+    # With every text a landmark the features span the kernel, so the ridge has a closed form.
+    target = np.eye(3)[[sorted(set(langs)).index(x) for x in langs]]
+    exact = kernel(new, texts) @ np.linalg.solve(kernel(texts, texts) + lang_kernel.RIDGE * len(texts) * np.eye(len(texts)), target)
+    model = lang_kernel.fit(list(texts), list(langs))
+    assert np.abs(model.scores([lang_kernel.buckets(t) for t in new]) - exact).max() < 1e-3
+
+
 # --- 2 quality -------------------------------------------------------------------------------------------------------
 
 
@@ -112,6 +144,24 @@ def test_quality_learns_from_bags(spark, none):
     assert {r.score for r in mil_quality.score(frame, marks.filter("doc_id < 0")).collect()} == {0.5}
 
 
+def test_quality_learns_from_long_texts_alone(spark):
+    rnd = random.Random(5)
+    make = lambda words: " ".join(rnd.choice(words) for _ in range(6_000))
+    rows = [(i, make(["plain", "words", "of", "text"] if i % 2 else ["$$$", "WIN!!", "NOW"])) for i in range(80)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    found = mil_quality.score(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()
+    assert min(len(t) for _, t in rows) > 20_000 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_keep_good_leaves_columns_as_they_were(spark):
+    rows = [(i, "plain words of text " * 9 if i % 2 else "$$$ WIN!! " * 9, -7.0, "h", 5, f"v{i}") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out string, predicted int, `a.b` string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    kept = mil_quality.keep_good(frame, marks)
+    assert kept.schema.names == frame.schema.names
+    assert _key(kept.collect()) == _key(r for r in rows if r[0] % 2)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, mil_quality.FEATURES)) for n in (1, 3, 2)]
@@ -195,6 +245,13 @@ def test_clusters_are_compared_block_by_block(spark, docs, monkeypatch, block):
     assert _key(got.collect()) == _key(_components(_rows()))
 
 
+def test_small_maps_and_heavy_texts_give_the_same_components(spark, docs, monkeypatch):
+    monkeypatch.setattr(parity_join, "MAP", 8)
+    monkeypatch.setattr(parity_join, "WEIGHT", 300)
+    got = parity_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    assert _key(got.collect()) == _key(_components(_rows()))
+
+
 def test_part_keys_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(200):
