@@ -1,19 +1,29 @@
 """N-gram counts per segment and the clipped overlap of a hypothesis with its references.
 
 The text is shuffled once, by segment. Everything after that (n-gram rows, their counts, the per-segment sums) is
-clustered by the segment already, so the several-times-larger n-gram rows never cross the network.
+clustered by the segment already, so the several-times-larger n-gram rows never cross the network. The sums of a segment
+that is one row need no n-gram rows at all: a task numbers the n-grams of some texts and counts the numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions.text import tokens
+from lodestack.operators.skew import own_rows
 
 
 # One token becomes up to eight n-gram rows, so partitions are made smaller than their bytes suggest.
 SPREAD = 4
+# Text bytes whose n-grams are numbered together in a task; one row at least.
+PORTION = 6_000_000
 
 
 def spread_by(df: DataFrame, key: str, factor: int = SPREAD) -> DataFrame:
@@ -80,10 +90,103 @@ def gram_overlap(df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4
     )
 
 
+def clipped_matches(code: np.ndarray, text: np.ndarray, slot: np.ndarray, row: np.ndarray, max_order: int, weight: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the matches of every row: clipped by the largest count of any reference, and summed over the references.
+
+    ``code`` numbers the tokens of all texts, ``text`` is the text of a token, ``slot`` (0: hypothesis) and ``row`` are those of
+    a text. ``weight`` (by code) weighs the summed unigrams. N-grams of a row get exact numbers, order by order; one whose
+    beginning matches nothing cannot match and is not followed.
+    """
+    rows = int(row.max()) + 1 if len(row) else 0
+    end = np.cumsum(np.bincount(text, minlength=len(row)))
+    width = int(code.max()) + 1 if len(code) else 1
+    at, before, out = np.arange(len(code)), row[text], []
+    for n in range(1, max_order + 1):
+        _, first, gram = np.unique(before * width + code[at + n - 1], return_index=True, return_inverse=True)
+        own, place = text[at], row[text[at[first]]]
+        hyp = np.bincount(gram[slot[own] == 0], minlength=len(first))
+        found = (slot[own] > 0) & (hyp[gram] > 0)
+        each, count = np.unique(gram[found] * len(row) + own[found], return_counts=True)
+        of = each // max(len(row), 1)
+        low = np.minimum(hyp[of], count)
+        best = np.zeros(len(first), np.int64)
+        np.maximum.at(best, of, low)
+        scale = low if n > 1 or weight is None else low * weight[code[at[first]]][of]
+        out.append((np.bincount(place, best, rows).astype(np.int64), np.bincount(place[of], scale, rows).astype(float)))
+        on = (best[gram] > 0) & (at + n < end[own])
+        at, before = at[on], gram[on]
+    return out
+
+
+def _sized(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch (key, text, list of texts) in slices of about PORTION text bytes."""
+    own, others = batch.column(1), batch.column(2)
+    size = lambda texts: pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(size(others.flatten()))][np.r_[0, np.cumsum(_lengths(others))]]
+    sizes = size(own) + np.diff(ends)
+    part = (np.cumsum(sizes) - sizes) // PORTION
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(sizes)] if len(sizes) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens, as ``tokens`` cuts them (the same 29 characters are blanks), and their number in each text."""
+    lists = pc.utf8_split_whitespace(texts)
+    parts, size = lists.flatten(), _lengths(lists)
+    empty = pc.equal(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
+    size = size - np.bincount(np.repeat(np.arange(len(size)), size)[empty], minlength=len(size))
+    return parts.filter(pa.array(~empty)), size
+
+
+def _row_overlap(batch: pa.RecordBatch, max_order: int, keywords: list[str] | None, other: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(tokens of each hypothesis; references of each row; tokens and weighted tokens of each reference; matches by order) of a
+    batch (key, hyp, refs) of texts and lists of texts. A missing text is empty here."""
+    hyp, n_refs = batch.column(1), _lengths(batch.column(2))
+    words, size = _split(pa.concat_arrays([hyp, batch.column(2).flatten()]))
+    words, h, r = words.dictionary_encode(), size[:len(hyp)], size[len(hyp):]
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key_word = np.ones(len(words.dictionary), bool)
+    if keywords is not None:
+        key_word = pc.is_in(words.dictionary, value_set=pa.array(keywords, pa.string())).to_numpy(zero_copy_only=False)
+    weight = np.where(key_word, 1.0, other)
+    text = np.repeat(np.arange(len(size)), size)
+    row = np.r_[np.arange(len(h)), np.repeat(np.arange(len(h)), n_refs)]
+    slot = np.r_[np.zeros(len(h), np.int64), np.ones(len(r), np.int64)]
+    marked = np.bincount(text, key_word[code], len(size))[len(h):]
+    return h, n_refs, r, other * r + (1 - other) * marked, clipped_matches(code, text, slot, row, max_order, weight)
+
+
 def segment_stats(
     df: DataFrame, key: str, hyp: str, ref: str, max_order: int = 4, keywords: list[str] | None = None, other: float = 0.2
 ) -> DataFrame:
-    """One row per segment: hyp_len, ref_len, clipped matches m1..mN; with ``keywords`` weighted unigrams wm, wr."""
+    """One row per segment: hyp_len, ref_len, clipped matches m1..mN; with ``keywords`` weighted unigrams wm, wr.
+
+    Rows that share a key are one segment, by way of its n-gram rows; all others are counted where their text is."""
+    alone, shared = own_rows(df, key)
+    listed = None if keywords is None else sorted(set(keywords))
+    base = spread_by(alone.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), key)
+    base = base.withColumn("_r", F.array("_r"))
+    names = ["hyp_len", "ref_len", *[f"m{n}" for n in range(1, max_order + 1)]]
+    weighed = [] if keywords is None else ["wm", "wr"]
+    schema = T.StructType([base.schema[0], *[T.StructField(c, T.LongType()) for c in names], *[T.StructField(c, T.DoubleType()) for c in weighed]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _sized(whole):
+                h, _, r, w, found = _row_overlap(batch, max_order, listed, other)
+                columns = [h, r, *[m for m, _ in found]] + ([found[0][1], w] if weighed else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=[key, *names, *weighed])
+
+    stats = base.mapInArrow(count, schema)
+    return stats if shared is None else stats.unionByName(_grouped_stats(shared, key, hyp, ref, max_order, listed, other))
+
+
+def _grouped_stats(df: DataFrame, key: str, hyp: str, ref: str, max_order: int, keywords: list[str] | None, other: float) -> DataFrame:
     overlap = gram_overlap(df, key, hyp, ref, max_order)
     first = F.col("n") == 1
     match = F.least("hyp_cnt", "ref_cnt")
@@ -93,7 +196,7 @@ def segment_stats(
     ]
     sums += [F.sum(F.when(F.col("n") == n, match).otherwise(0)).alias(f"m{n}") for n in range(1, max_order + 1)]
     if keywords is not None:
-        weight = F.when(F.col("gram").isin(sorted(set(keywords))), 1.0).otherwise(other)
+        weight = F.when(F.col("gram").isin(keywords), 1.0).otherwise(other)
         sums.append(F.sum(F.when(first, match * weight).otherwise(0.0)).alias("wm"))
         sums.append(F.sum(F.when(first, F.col("ref_cnt") * weight).otherwise(0.0)).alias("wr"))
     return overlap.groupBy(key).agg(*sums)
@@ -128,10 +231,44 @@ def reference_stats(
     hyp_len, ref_min and ref_closest (length of the shortest reference and of the one nearest to the hypothesis, the shorter on
     ties); m1..mN, matches clipped by the largest count of any reference; r1..rN and d1..dN, matches and possible n-grams summed
     over the references one by one, the latter at least one each. With ``keywords`` r1 and d1 weigh unigrams: 1 for a keyword,
-    else ``other``. Texts move once, by segment; what is counted after that is clustered by it. A segment without references
-    has null lengths and no matches.
+    else ``other``. Texts move once, by segment, and are counted there. A segment without references has null lengths and no
+    matches. Rows that share a key take the matches of them all, by way of their n-gram rows.
     """
-    listed = sorted(set(keywords or []))
+    alone, shared = own_rows(df, key)
+    listed = None if keywords is None else sorted(set(keywords))
+    base = spread_by(alone.select(key, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs")), key)
+    orders = range(1, max_order + 1)
+    types = {"hyp_len": T.LongType(), "ref_min": T.LongType(), "ref_closest": T.LongType(), **{f"m{n}": T.LongType() for n in orders}}
+    types |= {f"{x}{n}": T.DoubleType() for x in "rd" for n in orders}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _sized(whole):
+                h, n_refs, r, w, found = _row_overlap(batch, max_order, listed, other)
+                known = batch.column(2).flatten().is_valid().to_numpy(zero_copy_only=False)
+                row, rows = np.repeat(np.arange(len(h)), n_refs), len(h)
+                # A missing reference has no length, and sorts before those that have one.
+                none, far = np.bincount(row, ~known, rows) > 0, np.iinfo(np.int64).max
+                short = np.full(rows, far)
+                np.minimum.at(short, row[known], r[known])
+                there = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                apart = np.where(there[row], np.abs(r - h[row]), 0)
+                order = np.lexsort((r, apart, known, row))
+                near, starts = np.zeros(rows, np.int64), np.r_[0, np.cumsum(n_refs)][:-1]
+                near[n_refs > 0] = r[order][starts[n_refs > 0]]
+                least = [np.where(known, np.maximum(w if n == 1 and listed is not None else r - (n - 1), 1), 1) for n in orders]
+                gone = ~batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+                columns = [pa.array(h, mask=~there), pa.array(short, mask=short == far), pa.array(near, mask=(n_refs == 0) | none)]
+                columns += [pa.array(m) for m, _ in found] + [pa.array(s) for _, s in found] + [pa.array(np.bincount(row, x, rows).astype(float), mask=gone) for x in least]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *types])
+
+    stats = base.mapInArrow(count, T.StructType([base.schema[0], *[T.StructField(c, t) for c, t in types.items()]]))
+    stats = stats.select(key, "hyp_len", "ref_min", "ref_closest", *[f"{x}{n}" for x in "mr" for n in orders], *[f"d{n}" for n in orders])
+    return stats if shared is None else stats.unionByName(_grouped_references(shared, key, hyp, refs, max_order, listed, other))
+
+
+def _grouped_references(df: DataFrame, key: str, hyp: str, refs: str, max_order: int, keywords: list[str] | None, other: float) -> DataFrame:
+    listed = keywords or []
     base = spread_by(df.select(key, F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs")), key)
     base = base.select(key, tokens(F.col("_hyp")).alias("_hyp"), F.transform("_refs", tokens).alias("_refs"))
     size = F.size("_hyp")

@@ -50,6 +50,16 @@ def lookup_join(
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 
+def own_rows(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key no other row has, and those that share theirs or have none (None if there are no such rows)."""
+    counted = df.groupBy(F.col(key).alias("_shared")).agg(F.count(F.lit(1)).alias("n"))
+    shared = stage_table(counted.filter("n > 1 or _shared is null").select("_shared"), "shared-keys")
+    if shared.isEmpty():
+        return df, None
+    same = F.col(key).eqNullSafe(F.col("_shared"))
+    return df.join(shared, same, "left_anti"), df.join(shared, same, "left_semi")
+
+
 _COMBINE = {"min": F.min, "max": F.max, "sum": F.sum}
 
 

@@ -97,3 +97,31 @@ def test_several_references_by_brute_force(spark):
     same = spark.createDataFrame([(1, "a b c d e", ["x", "a b c d e"])], "k long, pred string, refs array<string>")
     row = reference_scores(reference_stats(same, "k", "pred", "refs")).first()
     assert row.ngram == 1.0 and row.bleu == 100.0 and row.weighted < 1.0
+
+
+def test_statistics_of_odd_rows_and_without_gram_rows(spark, monkeypatch):
+    """Missing and blank texts, keys that repeat or are missing, odd blanks, and portions of a few rows."""
+    import io
+    from collections import Counter
+    from contextlib import redirect_stdout
+
+    monkeypatch.setattr(overlap, "PORTION", 40)
+    data = [(1, "a b a the", "a a the c"), (2, None, "x y"), (3, " \u2003 ", None), (4, "a b\u00a0c d e", "\x1ca b c\nd"), (4, "a b", "f a"), (None, "q", "q"), (5, "k " * 30, "k " * 20)]
+    df = spark.createDataFrame(data, "k long, pred string, gold string")
+    got = {r.k: r for r in overlap.segment_stats(df, "k", "pred", "gold", 4, ["the"]).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5, None}
+    for k, row in got.items():
+        own = [((p or "").split(), (g or "").split()) for i, p, g in data if i == k]
+        assert (row.hyp_len, row.ref_len) == (sum(len(p) for p, _ in own), sum(len(g) for _, g in own))
+        for n in range(1, 5):
+            sides = [sum((Counter(zip(*[x[i][j:] for j in range(n)])) for x in own), Counter()) for i in (0, 1)]
+            assert row[f"m{n}"] == sum((sides[0] & sides[1]).values())
+        weigh = lambda c: sum(v * (1.0 if w == "the" else 0.2) for w, v in c.items())
+        words = [Counter(w for x in own for w in x[i]) for i in (0, 1)]
+        assert abs(row.wm - weigh(words[0] & words[1])) < 1e-9 and abs(row.wr - weigh(words[1])) < 1e-9
+    alone = df.filter("k in (1, 2, 3, 5)")
+    refs = alone.withColumn("refs", F.array("gold", F.upper("gold"), F.lit("a")))
+    for stats in (overlap.segment_stats(alone, "k", "pred", "gold"), overlap.reference_stats(refs, "k", "pred", "refs")):
+        with redirect_stdout(io.StringIO()) as plan:
+            stats.explain()
+        assert "Generate" not in plan.getvalue()
