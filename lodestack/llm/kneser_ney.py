@@ -5,8 +5,9 @@ pairs are then dealt by their first word, and those of words that would fill a b
 knows their exact counts, and tells the word buckets how many different followers (with count 1, 2, 3 or more) a word has and
 how many different words precede it.
 
-Storage. Each bucket becomes sorted hash arrays in the shared folder. Pairs counted once are left out of the arrays; their whole
-mass goes to the lower order, so every distribution still sums to one.
+Storage. Each bucket becomes sorted hash arrays in the shared folder, counts in as few bytes as they need. With ``single`` pairs
+counted once are kept like all others. Without it they are left out of the arrays, and their whole mass goes to the lower
+order, so every distribution still sums to one.
 
 Scoring. Workers map the arrays, look the sorted hashes of a portion of texts up, and sum log10 probabilities by text.
 """
@@ -134,6 +135,8 @@ class Model:
     pair_counts: np.ndarray
     word_counts: np.ndarray
     kinds: int
+    #: Whether pairs counted once are stored.
+    single: bool = False
     discounts: tuple[np.ndarray, np.ndarray] = field(init=False)
 
     def __post_init__(self):
@@ -159,7 +162,7 @@ class Model:
         return count, more
 
     def look_up_pairs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Count of each pair, 0 if it was seen once or never."""
+        """Count of each pair, 0 if it is not stored."""
         key, out = _pairs(before, token), np.zeros(len(token), np.int64)
         bucket = np.where(_member(self.heavy, before) >= 0, _bucket(token, self.pair_bits), _bucket(before, self.pair_bits))
         order = np.lexsort((key, bucket))
@@ -189,10 +192,10 @@ class Model:
         kept = more[:, 3] - low[np.minimum(more[:, 3], 3)]
         spread = float(low[1:] @ np.r_[self.word_counts[:2], self.words - self.word_counts[:2].sum()]) if self.kinds else 1.0
         unigram = (np.maximum(kept, 0) + spread / (self.words + 1)) / max(self.kinds, 1)
-        # Pairs counted once are not stored: all of their mass is the lower order's.
-        rest = np.where(total > 0, (more[:, 0] + pair[2] * more[:, 1] + pair[3] * more[:, 2]) / np.maximum(total, 1), 1.0)
+        # All mass of pairs that are not stored is the lower order's.
+        rest = np.where(total > 0, ((pair[1] if self.single else 1) * more[:, 0] + pair[2] * more[:, 1] + pair[3] * more[:, 2]) / np.maximum(total, 1), 1.0)
         seen = self.look_up_pairs(before, token)
-        own = np.where(seen > 1, seen - pair[np.minimum(seen, 3)], 0) / np.maximum(total[back], 1)
+        own = np.where(seen > 0, seen - pair[np.minimum(seen, 3)], 0) / np.maximum(total[back], 1)
         value = np.log10(own + rest[back] * unigram[ahead])
         base = np.log10((count_at + 0.1) / (self.tokens + 0.1 * (self.words + 1)))[ahead]
         at = first[:-1]
@@ -234,7 +237,7 @@ def _word_counts(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("text").mapInArrow(emit, _BLOB).groupBy("bucket").applyInPandas(merge, _BLOB)
 
 
-def _pair_counts(rows: DataFrame, heavy: np.ndarray, bits: int, word_bits: int, folder: Folder) -> DataFrame:
+def _pair_counts(rows: DataFrame, heavy: np.ndarray, bits: int, word_bits: int, folder: Folder, single: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def deal(before: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
@@ -272,9 +275,9 @@ def _pair_counts(rows: DataFrame, heavy: np.ndarray, bits: int, word_bits: int,
         cut = _cuts(pair)
         at = order[cut[:-1]]
         n, before, token, pair = np.add.reduceat(n[order], cut[:-1]), before[at], token[at], pair[cut[:-1]]
-        often = n > 1
-        folder.save(f"pair-{key[0]}.keys.npy", pair[often])
-        folder.save(f"pair-{key[0]}.count.npy", n[often])
+        stored = n > (0 if single else 1)
+        folder.save(f"pair-{key[0]}.keys.npy", pair[stored])
+        folder.save(f"pair-{key[0]}.count.npy", n[stored].astype(np.min_scalar_type(int(n.max()))))
         order = np.argsort(before)
         cut = _cuts(before[order])
         followers = np.stack([np.add.reduceat(low(n[order]).astype(np.int64), cut[:-1]).astype(np.uint32) for low in (lambda x: x == 1, lambda x: x == 2, lambda x: x > 2)], 1)
@@ -310,8 +313,8 @@ def _save_words(parts: DataFrame, folder: Folder) -> DataFrame:
     return parts.groupBy("bucket").applyInPandas(save, "pairs array<long>, words array<long>")
 
 
-def train(rows: DataFrame) -> Model:
-    """Model of the texts of ``rows`` (text). What the driver gets has a fixed size, but for the words that are spread over all
+def train(rows: DataFrame, single: bool = False) -> Model:
+    """Model of the texts of ``rows`` (text); with ``single`` pairs counted once are part of it. What the driver gets has a fixed size, but for the words that are spread over all
     buckets because they hold more than a quarter of a bucket's share: at most four for each bucket."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -335,23 +338,23 @@ def train(rows: DataFrame) -> Model:
 
     heavy = [r["word"] for r in counts.mapInArrow(crowded, "word long").collect()]
     heavy = np.sort(np.array([*heavy, int(np.array(BEGIN).view(np.int64))], np.int64).view(U))
-    parts = counts.unionAll(_pair_counts(rows, heavy, pair_bits, word_bits, folder))
+    parts = counts.unionAll(_pair_counts(rows, heavy, pair_bits, word_bits, folder, single))
     told = stage_table(_save_words(parts, folder), "counts")
     sums_of = lambda c, k: [F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(k)]
     found = told.agg(*sums_of("pairs", 5), *sums_of("words", 4)).first()
-    return Model(folder, word_bits, pair_bits, heavy, n, words, np.array(found[:4]), np.array(found[5:9]), found[4])
+    return Model(folder, word_bits, pair_bits, heavy, n, words, np.array(found[:4]), np.array(found[5:9]), found[4], single)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, single: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     Tokens are words (runs of bytes other than space and \\t to \\r, A-Z lower-cased) and one end for each text; null counts as
     empty and is its end alone. The model learns from rows whose crc32(id as text) mod ``modulus`` is not 0, and scores all. A
     word it has not seen has the probability of one unknown word. Without training rows there are no known words, and each
-    token's probability is one. Repeated rows and null ids (empty text for the fold) give a row each; an empty table none.
+    token's probability is one. ``single`` keeps the pairs that were counted once. Repeated rows and null ids (empty text for the fold) give a row each; an empty table none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, modulus) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows.filter(~F.col("held_out")).select("text")))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.filter(~F.col("held_out")).select("text"), single))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -533,3 +533,31 @@ def test_kneser_ney(spark, docs, none):
     assert kneser_ney.score(none).count() == 0
     alone = kneser_ney.score(docs.filter("crc32(cast(doc_id as string)) % 10 = 0 and doc_id is not null")).collect()
     assert alone and {(r.train_tokens, r.n_known, r.base_score, r.score) for r in alone} == {(0, 0, 0.0, 0.0)}
+
+
+def test_kneser_ney_with_all_pairs(spark):
+    """Pairs counted once are part of the model, and their own evidence shows; the sums of every context are 1."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 9)))) for i in range(60)]
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    unigram, pair = Counter(), Counter()
+    for i, t in tokens.items():
+        if crc32(str(i).encode()) % 10:
+            unigram.update(t)
+            pair.update(zip([0, *t], t))
+    assert 1 in pair.values()
+    before, total, follow = Counter(w for _, w in pair), Counter(), defaultdict(Counter)
+    for (u, w), c in pair.items():
+        total[u] += c
+        follow[u][min(c, 3)] += 1
+    d = [kneser_ney._discounts(np.array([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])) for c in (pair, before)]
+    spread = sum(d[1][min(x, 3)] for x in before.values())
+    low = lambda w: (max(before[w] - d[1][min(before[w], 3)], 0) + spread / (len(unigram) + 1)) / len(pair)
+    rest = lambda u: sum(d[0][k] * follow[u][k] for k in (1, 2, 3))
+    p = lambda u, w: (max(pair[u, w] - d[0][min(pair[u, w], 3)], 0) + rest(u) * low(w)) / total[u] if total[u] else low(w)
+    for u in total:
+        assert abs(sum(p(u, w) for w in unigram) + p(u, "never seen") - 1) < 1e-9
+    found = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, text string"), single=True).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert abs(r.score - sum(math.log10(p(u, w)) for u, w in zip([0, *tokens[r.doc_id]], tokens[r.doc_id]))) < 1e-6
