@@ -195,12 +195,15 @@ def assemble_program(c: Column) -> Column:
     """Make generated statements a program: imports and directives first, the rest inside a main function."""
 
     def build(text: Column) -> Column:
-        statements = F.filter(F.transform(F.split(text, ";"), strip), lambda s: s != "")
+        # Bound, so that the text is cut and stripped once.
+        bound = F.array(F.filter(F.transform(F.split(text, ";"), strip), lambda s: s != ""))
+        return F.when(F.contains(text, F.lit("fn main")), text).otherwise(F.get(F.transform(bound, wrapped), F.lit(0)))
+
+    def wrapped(statements: Column) -> Column:
         leading = lambda s: F.startswith(s, F.lit("#")) | F.startswith(s, F.lit("use"))
         head = F.transform(F.filter(statements, leading), lambda s: F.concat(F.regexp_replace(s, r"\A[ #]+", ""), F.lit(";\n")))
         body = F.transform(F.filter(statements, lambda s: ~leading(s)), lambda s: F.concat(s, F.lit(";\n")))
-        wrapped = F.concat(F.array_join(head, ""), F.lit("pub fn main() {\n"), F.array_join(body, ""), F.lit("\n}"))
-        return F.when(F.contains(text, F.lit("fn main")), text).otherwise(wrapped)
+        return F.concat(F.array_join(head, ""), F.lit("pub fn main() {\n"), F.array_join(body, ""), F.lit("\n}"))
 
     return F.transform(F.array(c), build)[0]
 
