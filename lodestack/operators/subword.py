@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import SPACE_MARK, tokens
-from lodestack.operators.skew import lookup_join
+from lodestack.operators.skew import lookup_join, own_rows
 from lodestack.session import stage_table
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -29,6 +30,8 @@ SPECIALS = ["<pad>", "<s>", "</s>", "<unk>"]
 VOCAB_SIZE = 50_000
 # Pairs of the ranking that reach the driver in a round, and segments that one task works on.
 RANKED, SEGMENTS = 100_000, 250_000
+# Segmented words that a task remembers.
+KNOWN = 300_000
 _JOIN = "\u0002"
 
 
@@ -302,11 +305,55 @@ def _placed(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | None
     return lookup_join(rows, table, ["w"], "_at", "inner").select("_key", "slot", "pos", "ids")
 
 
+def _task_words(model: Model) -> Callable[[str], np.ndarray]:
+    """Ids of a word; a task segments a word once as long as it remembers it."""
+    vocab, ranks = model.vocab, _in_order(model.merges)
+    known: dict[str, np.ndarray] = {}
+
+    def ids(word: str) -> np.ndarray:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            found = known[word] = np.array([vocab.get(p, UNK) for p in apply_merges(list(SPACE_MARK + word), ranks)], np.int32)
+        return found
+
+    return ids
+
+
+def _text_ids(df: DataFrame, model: Model) -> Callable[[Column, int | None], Column]:
+    """Ids of a text, of its first max_len - 1 words only if it is cut to max_len ids, since a word has at least one id.
+
+    Python cuts at the same blanks as ``tokens``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def of(text: Column, most: int | None) -> Column:
+        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ids, first, none = _task_words(shared.value), None if most is None else max(most - 1, 1), np.zeros(0, np.int32)
+            for texts in parts:
+                words = [[] if t is None else t.split() if first is None else t.split(None, first)[:first] for t in texts]
+                yield pd.Series([np.concatenate([ids(w) for w in own]) if own else none for own in words], dtype=object)
+
+        return F.pandas_udf(encode, "array<int>", F.PandasUDFType.SCALAR_ITER)(text)
+
+    return of
+
+
 def with_ids(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | None]], model: Model, pad: bool = True) -> DataFrame:
     """``df`` with an id array for every entry of ``columns`` (name to text and length): see ``frame_ids``.
 
     ``key`` is unique. Without a length (None) the ids come whole and without markers. Null and empty texts have no ids.
+    Texts are encoded where they are; only rows that share a key after all, or have none, go through the word table.
     """
+    alone, shared = own_rows(df, key)
+    encode = _text_ids(df, model)
+    ids = {name: (encode(c, most), most) for name, (c, most) in columns.items()}
+    out = alone.select(*alone.columns, *[x.alias(name) for name, (x, _) in ids.items()])
+    out = out.select(*df.columns, *[(F.col(name) if most is None else frame_ids(F.col(name), most, pad)).alias(name) for name, (_, most) in ids.items()])
+    return out if shared is None else out.unionByName(_joined_ids(shared, key, columns, model, pad))
+
+
+def _joined_ids(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | None]], model: Model, pad: bool) -> DataFrame:
     lists = _placed(df, key, columns, model).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("slot", "pos", "ids"))).alias("_ids"))
 
     def of(i: int, most: int | None) -> Column:
@@ -318,7 +365,15 @@ def with_ids(df: DataFrame, key: str, columns: dict[str, tuple[Column, int | Non
 
 
 def with_lengths(df: DataFrame, key: str, columns: dict[str, Column], model: Model) -> DataFrame:
-    """``df`` with the number of ids of every text, without markers."""
+    """``df`` with the number of ids of every text, without markers. ``key`` is unique; see ``with_ids`` for rows that share one."""
+    alone, shared = own_rows(df, key)
+    encode = _text_ids(df, model)
+    out = alone.select(*alone.columns, *[encode(c, None).alias(name) for name, c in columns.items()])
+    out = out.select(*df.columns, *[F.size(name).cast("long").alias(name) for name in columns])
+    return out if shared is None else out.unionByName(_joined_lengths(shared, key, columns, model))
+
+
+def _joined_lengths(df: DataFrame, key: str, columns: dict[str, Column], model: Model) -> DataFrame:
     placed = _placed(df, key, {name: (c, None) for name, c in columns.items()}, model)
     sums = [F.sum(F.when(F.col("slot") == i, F.size("ids"))).alias(f"_n{i}") for i in range(len(columns))]
     rows = df.join(placed.groupBy("_key").agg(*sums), df[key] == F.col("_key"), "left")

@@ -133,3 +133,23 @@ def test_each_word_is_segmented_by_brute_force_and_unknown_characters(spark):
 
     rows = {r.k: list(r.ids) for r in subword.with_ids(other, "k", {"ids": (F.col("t"), None)}, model).collect()}
     assert rows == {1: brute("abcab edé " * 50), 2: brute("cab")} and subword.UNK in rows[1]
+
+
+def test_texts_are_encoded_where_they_are(spark, monkeypatch):
+    """No word rows for keys of their own; rows that share a key or have none, odd blanks and a small memory as by the word table."""
+    import io
+    from contextlib import redirect_stdout
+
+    monkeypatch.setattr(subword, "KNOWN", 2)
+    rows = [(1, "ab abc abab  c", "x"), (2, None, ""), (3, " \x1cabab\nab ", None), (4, "ab c", "q"), (4, "abc", "ab ab"), (None, "ab", "ab")]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    merges = [("a", "b"), (subword.SPACE_MARK, "ab"), ("ab", "c")]
+    model = subword.Model({p: i for i, p in enumerate([*subword.SPECIALS, subword.SPACE_MARK, "a", "b", "c", "ab", subword.SPACE_MARK + "ab", "abc"])}, merges)
+    texts = {"i": (F.col("a"), 4), "j": (F.col("b"), None)}
+    plain = lambda d: sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in d.collect()), key=repr)
+    assert plain(subword.with_ids(df, "k", texts, model)) == plain(subword._joined_ids(df, "k", texts, model, True))
+    lengths = {"n": F.col("a"), "m": F.col("b")}
+    assert plain(subword.with_lengths(df, "k", lengths, model)) == plain(subword._joined_lengths(df, "k", lengths, model))
+    with redirect_stdout(io.StringIO()) as plan:
+        subword.with_ids(df.filter("k < 4"), "k", texts, model).explain()
+    assert "Generate" not in plan.getvalue() and "Join" not in plan.getvalue()
