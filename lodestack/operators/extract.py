@@ -13,6 +13,8 @@ from lodestack.functions.lexing import HEADER, OUTLINE, is_comment, is_space, le
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
+# Bytes of source text in one partition. Its lexemes, sorted for several windows, take some 300 times as much memory.
+PORTION = 1_000_000
 
 
 def located_lexemes(files: DataFrame, file_id: str, text: str, pattern: str = OUTLINE) -> DataFrame:
@@ -81,13 +83,19 @@ def function_ranges(files: DataFrame, file_id: str, text: str) -> DataFrame:
 def extract_functions(files: DataFrame, file_id: str = "file_id") -> DataFrame:
     """(repo, ref, file, content) rows to (repo, ref, file, doc, code) rows, one per function with a body.
 
-    ``file_id`` is unique per file, ``content`` is binary. Both inputs of the final join are clustered by file already.
+    ``file_id`` is unique per file, ``content`` is binary. Both inputs of the final join are clustered by file already. A file
+    meets all its ranges in one row, so its content is not copied for each of its functions. The number of partitions follows
+    the bytes of text; sized by the compressed bytes of the shuffle they would hold many times too much.
     """
-    placed = files.repartition(F.col(file_id))
+    total = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.repartition(max(least, -(-total // PORTION)), F.col(file_id))
     ranges = function_ranges(placed.select(file_id, F.decode("content", "ISO-8859-1").alias("_text")), file_id, "_text")
-    joined = ranges.join(placed, file_id)
-    cut = lambda a, b: F.substring(F.col("content"), F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")).cast("string")
-    pieces = joined.select(
-        "repo", "ref", "file", F.coalesce(cut("doc_start", "doc_end"), F.lit("")).alias("doc"), cut("code_start", "code_end").alias("code")
+    own = ranges.groupBy(file_id).agg(F.collect_list(F.struct("code_start", "code_end", "doc_start", "doc_end")).alias("_ranges"))
+    cut = lambda a, b: F.substring(F.col("content"), a.cast("int") + 1, (b - a).cast("int")).cast("string")
+    parts = F.transform(
+        "_ranges",
+        lambda r: F.struct(F.coalesce(cut(r.doc_start, r.doc_end), F.lit("")).alias("doc"), cut(r.code_start, r.code_end).alias("code")),
     )
-    return pieces.filter(F.is_valid_utf8("doc") & F.is_valid_utf8("code"))
+    cut_out = own.join(placed, file_id).select("repo", "ref", "file", F.inline(parts))
+    return cut_out.filter(F.is_valid_utf8("doc") & F.is_valid_utf8("code"))

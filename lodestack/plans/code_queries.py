@@ -17,6 +17,8 @@ from lodestack.sources.keywords import KEYWORDS
 
 QUERIES, SQL = {}, {}
 RUST = KEYWORDS["rust"]
+# Rows that the source tree of s20 puts into one file, so that files get more and not longer with the table.
+FILE_ROWS = 256
 
 
 def query(name, oracle=None):
@@ -73,7 +75,7 @@ def s20(spark, sf):
     repos = view(spark, sf, "fx_repos")
     repos.write.json(f"{meta}/x")
     src = view(spark, sf, "fx_src")
-    src.select("content", repo_dir(F.col("repo")).alias("d")).write.partitionBy("d").text(tree)
+    src.select("content", repo_dir(F.col("repo")).alias("d")).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("d").text(tree)
     eligible = eligible_repos(read_repos(spark, meta, glob="*.json"))
     files = read_sources(spark, tree, "*.txt").withColumn("full_name", F.regexp_replace("repo", "^d(=|%3D)", "")).withColumn("file_id", F.col("file"))
     kept = files_for_repos(files.drop("repo"), eligible, "file_id").withColumnRenamed("full_name", "repo")
