@@ -45,7 +45,12 @@ def bracket_groups(df: DataFrame, key: str, tokens: str) -> DataFrame:
 
 def structure_nodes(df: DataFrame, key: str, code: str, keywords: list[str]) -> DataFrame:
     """Rows (key, depth, shape): one per bracket group plus one for the whole text (depth 0)."""
-    toks = df.select(key, code_tokens(F.col(code)).alias("_t")).repartition(key)
+    return token_nodes(df.select(key, code_tokens(F.col(code)).alias("_t")).repartition(key), key, "_t", keywords)
+
+
+def token_nodes(df: DataFrame, key: str, tokens: str, keywords: list[str]) -> DataFrame:
+    """``structure_nodes`` of token arrays."""
+    toks = df.select(key, F.col(tokens).alias("_t"))
     shaped = toks.withColumn("_s", F.transform("_t", lambda x: token_class(x, keywords)))
     groups = bracket_groups(toks, key, "_t")
     inner = groups.join(shaped.select(key, "_s"), key).select(
@@ -64,11 +69,9 @@ def structure_recall(ref_nodes: DataFrame, hyp_nodes: DataFrame, key: str) -> Da
     return sums.select("matched", "total", F.coalesce(F.col("matched") / F.nullif("total", F.lit(0)), F.lit(0.0)).alias("score"))
 
 
-def variable_rows(df: DataFrame, key: str, code: str, keywords: list[str]) -> DataFrame:
-    """Rows (key, pos, x, stmt, target): variables with their statement and, for defined ones, the relation."""
-    rows = df.select(key, code_tokens(F.col(code)).alias("_t")).repartition(key).select(
-        key, F.posexplode("_t").alias("pos", "x")
-    )
+def variable_rows(df: DataFrame, key: str, tokens: str, keywords: list[str]) -> DataFrame:
+    """Rows (key, pos, x, stmt, target): variables of token arrays with their statement and, for defined ones, the relation."""
+    rows = df.select(key, F.posexplode(tokens).alias("pos", "x"))
     w = Window.partitionBy(key).orderBy("pos")
     for name, offset in [("_p1", -1), ("_p2", -2), ("_n1", 1), ("_n2", 2)]:
         rows = rows.withColumn(name, F.coalesce(F.lag("x", -offset).over(w), F.lit("")))
@@ -99,7 +102,12 @@ def def_use_edges(df: DataFrame, key: str, code: str, keywords: list[str]) -> Da
     variable depends on the variables to its right in the statement, a compound assignment also on itself. A
     definition that depends on nothing has no parents.
     """
-    variables = variable_rows(df, key, code, keywords)
+    return token_edges(df.select(key, code_tokens(F.col(code)).alias("_t")).repartition(key), key, "_t", keywords)
+
+
+def token_edges(df: DataFrame, key: str, tokens: str, keywords: list[str]) -> DataFrame:
+    """``def_use_edges`` of token arrays."""
+    variables = variable_rows(df, key, tokens, keywords)
     named = Window.partitionBy(key, "x").orderBy("pos")
     before = named.rowsBetween(Window.unboundedPreceding, -1)
     stmt = Window.partitionBy(key, "stmt").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

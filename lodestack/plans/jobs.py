@@ -14,14 +14,14 @@ from lodestack.operators.extract import extract_functions
 from lodestack.operators.filters import eligible_repos, has_doctest, keep_doc, non_empty
 from lodestack.operators.language import filter_language
 from lodestack.operators.lookups import attach_source, files_for_repos
-from lodestack.operators.overlap import segment_stats
+from lodestack.operators.overlap import segment_stats, spread_by
 from lodestack.operators.scores import (
     composite, corpus_bleu_from_stats, exact_match, flattened, label_accuracy, nltk_bleu, smooth_bleu,
     smooth_bleu_per_id, weighted_recall,
 )
 from lodestack.operators.split import split_exact
 from lodestack.operators.structure import (
-    def_use_edges, edge_recall, normalize_edges, structure_nodes, structure_recall,
+    code_tokens, edge_recall, normalize_edges, structure_recall, token_edges, token_nodes,
 )
 from lodestack.operators.subword import EOS, Model, with_ids, with_lengths
 from lodestack.session import stage_table
@@ -130,10 +130,15 @@ def length_stats(df: DataFrame, model: Model | None = None, key: str = "idx") ->
 
 
 def code_parts(pairs: DataFrame, key: str, keywords: list[str], stats: DataFrame, raw: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The four components of the code score. Structure is computed on ``raw``, text that keeps its line ends."""
-    code = raw if raw is not None else pairs
-    ref_nodes, hyp_nodes = (structure_nodes(code, key, c, keywords) for c in ("gold", "pred"))
-    edges = {c: stage_table(def_use_edges(code, key, c, keywords), "edges") for c in ("gold", "pred")}
+    """The four components of the code score. Structure is computed on ``raw``, text that keeps its line ends.
+
+    Both texts of a pair are cut into tokens once, in as many tasks as a shuffle has, however few files they come from.
+    """
+    code = spread_by((raw if raw is not None else pairs).select(key, "gold", "pred"), key)
+    cut = stage_table(code.select(key, code_tokens(F.col("gold")).alias("gold"), code_tokens(F.col("pred")).alias("pred")), "code-tokens")
+    side = {c: spread_by(cut.select(key, c), key) for c in ("gold", "pred")}
+    ref_nodes, hyp_nodes = (token_nodes(rows, key, c, keywords) for c, rows in side.items())
+    edges = {c: stage_table(token_edges(rows, key, c, keywords), "edges") for c, rows in side.items()}
     ref_edges, hyp_edges = (normalize_edges(edges[c], key) for c in ("gold", "pred"))
     return {
         "ngram": nltk_bleu(stats),

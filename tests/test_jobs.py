@@ -82,3 +82,15 @@ def test_datasets_with_ids(spark):
     assert tuned.keys() == {i for i in range(60) if i % 3}
     assert all(list(tuned[i].code_doc_tokens) == framed(c, 256) + framed(d, 32) and list(tuned[i].doctest_tokens) == framed(t, 256) for i, c, d, t in rows if i % 3)
     assert {r.split for r in made.values()} == {"train", "valid", "test"}
+
+
+def test_code_score_cuts_each_text_once(spark, monkeypatch):
+    """Structure and data flow share the tokens of a text, whatever the number of files the pairs come from."""
+    cut = []
+    real = structure.lexemes
+    monkeypatch.setattr(structure, "lexemes", lambda c: cut.append(c) or real(c))
+    code = "fn f(a: u32) -> u32 { let s = 3; let t = s + a; t }"
+    rows = [(0, code, code), (1, code, "fn f(a: u32) -> u32 { let t = a; t }"), (2, "", "")]
+    out = jobs.code_score(spark.createDataFrame(rows, "idx long, gold string, pred string").coalesce(1), "idx", RUST).first()
+    assert len(cut) == 2
+    assert (round(out.structure, 6), round(out.edges, 6)) == (round(5 / 7, 6), 0.75)
