@@ -171,3 +171,11 @@ def test_unbalanced_openers_stay(spark):
         row = spark.createDataFrame([(text,)], "c string").select(lexing.lexemes(F.col("c")).alias("l"), lexing.drop_comments(F.col("c")).alias("d")).first()
         assert "".join(row.l) == text
         assert row.d == text if text[0] in '"*' else row.d.startswith(text[:2])
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """Every code point at both ends, as Python strips it, without an expression that runs over the whole text."""
+    texts = [f"{chr(i)}a {chr(i)}" for i in range(1, 0xD800)] + ["", " \t　\n", " x\x1c y\x85", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("u"))
+    assert [r for r in out.collect() if r.u != (None if r.t is None else r.t.strip())] == []
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
