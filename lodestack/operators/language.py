@@ -2,26 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.overlap import spread_by
 
 GRAM = 3
+# Bytes of letters whose grams are counted together in a task; one text at least.
+PORTION = 4_000_000
 UNKNOWN = "unk"
 KEPT_LANGUAGES = ["unk", "en", "ca", "nl"]
 
 
-def char_grams(text: Column, n: int = GRAM) -> Column:
-    """Overlapping character n-grams of the letters, lower case, words separated by one blank; whole text."""
-    clean = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" "))
-    return F.regexp_extract_all(clean, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
+def letters(text: Column) -> Column:
+    """The letters of the whole text, lower case, words separated by one blank, a blank at either end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" "))
+
+
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram, count) of the distinct grams of some texts, a gram being its code points in 21 bits each."""
+    whole = texts.to_pylist()
+    codes = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, sizes = np.unique(codes), np.array([len(t) for t in whole], np.int64)
+    bits = max(1, len(alphabet).bit_length())
+    if GRAM * bits + len(whole).bit_length() > 63 and len(whole) > 1:  # texts of very many different letters
+        half = len(whole) // 2
+        left, right = _counted(texts[:half]), _counted(texts[half:])
+        return np.r_[left[0], right[0] + half], np.r_[left[1], right[1]], np.r_[left[2], right[2]]
+    at = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
+    at[alphabet] = np.arange(len(alphabet))
+    n = max(len(codes) - GRAM + 1, 0)
+    letter, left = at[codes], np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)
+    packed = np.repeat(np.arange(len(whole)), sizes)[:n]
+    for i in range(GRAM):
+        packed = packed << bits | letter[i:i + n]
+    packed, cnt = np.unique(packed[left >= GRAM], return_counts=True)
+    gram = np.zeros(len(packed), np.int64)
+    for i in reversed(range(GRAM)):
+        gram = gram << 21 | alphabet[packed >> (i * bits) & ((1 << bits) - 1)].astype(np.int64)
+    return packed >> (GRAM * bits), gram, cnt
 
 
 def gram_table(df: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
-    """Counts per (key, gram). ``key`` identifies a row: the text moves once, its many grams do not."""
-    grams = spread_by(df.select(key, *carried, text), key).select(key, *carried, F.explode(char_grams(F.col(text))).alias("gram"))
-    return grams.groupBy(key, *carried, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """Counts (key, *carried, gram, cnt) of the overlapping grams of every row, a gram as a number: equal texts, equal numbers.
+
+    The text moves once, so that few input splits do not mean few tasks; its grams are counted in the task and do not move. Rows
+    that share a key have their counts side by side.
+    """
+    rows = spread_by(df.select(key, *carried, text), key).select(key, *carried, F.coalesce(letters(F.col(text)), F.lit("")).alias("_letters"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *carried))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            sizes = np.cumsum(pc.binary_length(batch.column("_letters")).to_numpy())
+            while at < len(batch):
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PORTION, "right")))
+                part = batch.slice(at, end - at)
+                own, gram, cnt = _counted(part.column("_letters"))
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(own) for c in (key, *carried)], pa.array(gram), pa.array(cnt)], [key, *carried, "gram", "cnt"])
+                at = end
+
+    return rows.mapInArrow(count, f"{kinds}, gram long, cnt long")
 
 
 def learn_profiles(counts: DataFrame, lang: str = "lang") -> tuple[DataFrame, DataFrame]:
