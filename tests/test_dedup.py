@@ -77,6 +77,26 @@ def test_near_duplicates_lose_no_link(spark, threshold, piece):
     assert {(r.id, r.other) for r in found} == _links(texts, threshold)
 
 
+def test_near_duplicates_write_no_row_for_each_shingle(spark, monkeypatch):
+    rnd, rows, keep = random.Random(1), [], dedup.stage_table
+    monkeypatch.setattr(dedup, "stage_table", lambda df, name: rows.append(keep(df, name)) or rows[-1])
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(300)) for _ in range(20)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    df = spark.createDataFrame(list(enumerate([*texts, near, near])), "id long, t string")
+    assert sorted(tuple(r) for r in dedup.near_duplicate_links(df, "t", "id").collect()) == [(0, 21), (20, 21)]
+    assert max(r.count() for r in rows) < 300
+
+
+def test_shingles_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FLUSH", 50)
+    monkeypatch.setattr(dedup, "SHARD", 20)
+    sets = [(k, list(range(40)) + [1000 * k + j for j in range(4)]) for k in range(-9, 9)] + [(99, [5])]
+    sets = [(k, [h * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for h in s]) for k, s in sets]
+    got = dedup._by_rarity(spark.createDataFrame(sets, "k long, sh array<long>").repartition(3), 850).collect()
+    assert {(r.k, r.n, frozenset(r.r)) for r in got} == {(k, len(s), frozenset(s[:40])) for k, s in sets}
+    assert dedup._by_rarity(spark.createDataFrame(sets, "k long, sh array<long>"), 950).count() == 1
+
+
 def test_similar_sets_without_candidates(spark):
     empty = spark.createDataFrame([], "id long, t string")
     assert dedup.near_duplicate_links(empty, "t", "id").collect() == []
