@@ -1,4 +1,9 @@
+import math
+
+from pyspark.sql import functions as F
+
 from lodestack.llm import bwt_dedup
+from lodestack.llm.common import only_known
 
 
 def test_repeated_runs_are_looked_up_not_paired(spark):
@@ -10,3 +15,15 @@ def test_repeated_runs_are_looked_up_not_paired(spark):
     assert len(runs) == 30 and len({r["count"] for r in runs}) == 1
     plan = ranges._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join LeftSemi" in line and "run#" in line for line in plan.splitlines())
+
+
+def test_rows_of_unknown_keys_are_left_out_before_the_shuffle(spark):
+    rows = spark.range(-3000, 3000).select((F.col("id") % 2000 * 7919).alias("key"), F.col("id").alias("n")).unionAll(spark.sql("select cast(null as long), 9999L"))
+    keys = spark.range(-300, 300).select((F.col("id") * 5 * 7919).alias("key"))
+    expected = [n for n in range(-3000, 3000) if n % 5 == 0 and -300 <= math.fmod(n, 2000) / 5 < 300]
+    for limit, bits in ((10_000, 27), (10, 27), (10, 15)):
+        got = only_known(rows, keys, "key", limit, bits)
+        assert got.columns == ["key", "n"]
+        assert sorted(r.n for r in got.collect()) == expected
+    joined = only_known(rows, keys, "key", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in joined and "LeftSemi" in joined
