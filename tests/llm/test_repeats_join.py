@@ -27,3 +27,18 @@ def test_rows_of_unknown_keys_are_left_out_before_the_shuffle(spark):
         assert sorted(r.n for r in got.collect()) == expected
     joined = only_known(rows, keys, "key", 10)._jdf.queryExecution().optimizedPlan().toString()
     assert "getbit" in joined and "LeftSemi" in joined
+
+
+def test_the_map_is_asked_before_the_look_up(spark):
+    """The semi join, and its shuffle, stand above the join with the map; where the map may decide alone there is none."""
+    rows = spark.range(20_000).select((F.col("id") * 7919).alias("key"), F.col("id").alias("n"))
+    keys = spark.range(300).select((F.col("id") * 5 * 7919).alias("key"))
+    lines = only_known(rows, keys, "key", 10)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi, marked = (next(i for i, line in enumerate(lines) if word in line) for word in ("LeftSemi", "getbit"))
+    assert semi < marked
+    loose = only_known(rows, keys, "key", 10, exact=False)
+    assert "LeftSemi" not in loose._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.n for r in loose.collect()}
+    assert found >= set(range(0, 1500, 5)) and len(found) < 6000
+    full = only_known(spark.range(20_000).select((F.col("id") * 7919).alias("key")), spark.range(20_000).select((F.col("id") * 7919).alias("key")), "key", 10, 15, exact=False)
+    assert "LeftSemi" in full._jdf.queryExecution().optimizedPlan().toString() and full.count() == 20_000
