@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,44 +156,69 @@ def _ranking(state: DataFrame, ranked: int) -> list[tuple[str, str, int]]:
     return [tuple(r) for r in counted.orderBy(F.desc("n"), "a", "b").limit(ranked).select("a", "b", "n").collect()]
 
 
+def _pair_columns(pairs: Iterable[tuple[str, str]]) -> tuple[pa.Array, pa.Array]:
+    left, right = zip(*pairs) if pairs else ((), ())
+    return pa.array(left, pa.string()), pa.array(right, pa.string())
+
+
+def _joints(words: pa.ListArray, left: pa.Array, right: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(symbols, first, joint) of words that have symbols: all symbols one after the other, where each word begins and, at the
+    end, where the last one stops, and for each symbol whether it makes one of the pairs with the next one of its word."""
+    flat = words.flatten().cast(pa.string())
+    first = np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]
+    coded = flat.dictionary_encode()
+    code, k = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    a, b = (pc.fill_null(pc.index_in(side, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64) for side in (left, right))
+    known = np.unique((a * k + b)[(a >= 0) & (b >= 0)])
+    joint = np.zeros(len(code), bool)
+    if len(known):
+        here = code[:-1] * k + code[1:]
+        joint[:-1] = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+        joint[first[1:] - 1] = False
+    return flat.to_numpy(zero_copy_only=False).tolist(), first, joint
+
+
 def _cut(state: DataFrame, kept: set[tuple[str, str]], whole: bool = False) -> DataFrame:
     """segment, freq: the distinct runs of symbols whose neighbours are all ``kept`` pairs, with their counts; or the ``whole``
     words that hold such a pair."""
     shared = state.sparkSession.sparkContext.broadcast(kept)
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = shared.value
-        for df in frames:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _pair_columns(shared.value)
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbols, first, joint = _joints(batch.column("symbols"), *pairs)
+            if whole:
+                own = np.flatnonzero(np.logical_or.reduceat(joint, first[:-1]))
+                low, high = first[own], first[own + 1]
+            else:
+                low = np.flatnonzero(joint & ~np.r_[False, joint[:-1]])
+                high = np.flatnonzero(joint & ~np.r_[joint[1:], False]) + 2
+                own = np.searchsorted(first, low, "right") - 1
             sums: dict[str, int] = defaultdict(int)
-            for symbols, freq in zip(df["symbols"], df["freq"]):
-                if whole:
-                    if any(pair in pairs for pair in zip(symbols, symbols[1:])):
-                        sums[_JOIN.join(symbols)] += freq
-                    continue
-                run = [symbols[0]]
-                for a, b in zip(symbols, symbols[1:]):
-                    if (a, b) not in pairs:
-                        if len(run) > 1:
-                            sums[_JOIN.join(run)] += freq
-                        run = []
-                    run.append(b)
-                if len(run) > 1:
-                    sums[_JOIN.join(run)] += freq
-            yield pd.DataFrame({"segment": list(sums), "freq": list(sums.values())}, columns=["segment", "freq"])
-
-    return state.mapInPandas(cut, "segment string, freq long").groupBy("segment").agg(F.sum("freq").alias("freq"))
+            for a, b, freq in zip(low.tolist(), high.tolist(), batch.column("freq").to_numpy()[own].tolist()):
+                sums[_JOIN.join(symbols[a:b])] += freq
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["segment", "freq"])
+
+    return state.mapInArrow(cut, "segment string, freq long").groupBy("segment").agg(F.sum("freq").alias("freq"))
 
 
 def _rewritten(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Words after the merges; those that are one symbol now have no pair and go."""
-    shared = state.sparkSession.sparkContext.broadcast(_in_order(merges))
+    """Words after the merges; those that are one symbol now have no pair and go. Words without any of the pairs stay as they are."""
+    shared = state.sparkSession.sparkContext.broadcast(merges)
 
-    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            symbols = [apply_merges(list(s), shared.value) for s in df["symbols"]]
-            yield pd.DataFrame({"freq": df["freq"], "symbols": symbols}, columns=["freq", "symbols"])
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, ranks = _pair_columns(shared.value), _in_order(shared.value)
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbols, first, joint = _joints(batch.column("symbols"), *pairs)
+            touched, ends = np.logical_or.reduceat(joint, first[:-1]).tolist(), first.tolist()
+            words = [apply_merges(symbols[a:b], ranks) if t else symbols[a:b] for a, b, t in zip(ends, ends[1:], touched)]
+            yield pa.RecordBatch.from_arrays([batch.column("freq"), pa.array(words, pa.list_(pa.string()))], ["freq", "symbols"])
 
-    return state.mapInPandas(rewrite, "freq long, symbols array<string>").filter(F.size("symbols") > 1)
+    return state.mapInArrow(rewrite, "freq long, symbols array<string>").filter(F.size("symbols") > 1)
 
 
 def learn(words: DataFrame, n_merges: int, ranked: int = RANKED, segments: int = SEGMENTS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,12 @@ def test_texts_are_encoded_where_they_are(spark, monkeypatch):
     with redirect_stdout(io.StringIO()) as plan:
         subword.with_ids(df.filter("k < 4"), "k", texts, model).explain()
     assert "Generate" not in plan.getvalue() and "Join" not in plan.getvalue()
+
+
+def test_pairs_are_found_in_all_words_at_once():
+    rnd = random.Random(1)
+    words = [[rnd.choice(["a", "b", "ab", "c", "é"]) for _ in range(rnd.randint(2, 9))] for _ in range(500)]
+    for pairs in (set(), {("x", "a")}, {("a", "b"), ("ab", "c"), ("é", "x")}):
+        symbols, first, joint = subword._joints(pa.array([["a", "b"], *words]).slice(1), *subword._pair_columns(pairs))
+        assert [symbols[a:b] for a, b in zip(first, first[1:])] == words
+        assert [joint[a:b].tolist() for a, b in zip(first, first[1:])] == [[p in pairs for p in zip(w, w[1:])] + [False] for w in words]
