@@ -11,8 +11,11 @@ estimate gives right results), and among equals those of parts with several shin
 neither passages that many texts share nor single common shingles produce candidates. Sizes fall into bands of one level each;
 a set also joins the next band if a partner may lie there.
 
-Candidates are stars around one member per key, never pairs of a group. Their components are verified: dense sketches sort
-out most pairs, exact intersections decide, and pairs that are already connected are not looked at.
+Among the first D + 1 + t keys of each, such sets even have 1 + t keys in common. So pairs of keys that a few sets hold are
+counted, and only those with 1 + t are candidates: texts that share a passage or some shingle by chance have fewer, and the
+components of candidates stay those of similar texts however large the corpus is and whatever the map can tell. Keys that more
+sets hold give stars around one member, never pairs of a group, and these count at once. The components are verified: dense sketches
+sort out most pairs, exact intersections decide, and pairs that are already connected are not looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from lodestack.session import stage_table
 SHINGLE, P, Q = 5, 3, 4
 #: Smallest level; entries sorted at once and per bucket; sets of a cluster compared at once, and their shingles.
 LEVEL, FLUSH, BUCKET, CLUSTER, WEIGHT = 6, 500_000, 1_000_000, 2_048, 1_000_000
+#: Sets of a key whose pairs are counted; more are a star.
+FEW = 8
 #: Bits of the dense sketches.
 DENSE = 2048
 #: The map of repeated cells has at most 2**MAP places of two bits (32 MB), which go to every executor.
@@ -89,12 +94,18 @@ def differing(a: int, b: int, p: int = P, q: int = Q) -> int:
     return (q - p) * (a + b) // (q + p)
 
 
+def _asked(n: int) -> int:
+    """Keys, 1 + t, that a set of n emits beyond D: similar sets have as many in common as the lesser of theirs. Few enough that
+    parts which are not empty suffice."""
+    return 1 + min(254, n // (24 if n > 1 << LEVEL else 32))
+
+
 def _bands(n: int) -> list[tuple[int, int]]:
     """(level, number of part keys) to emit for a set of n."""
     level, most = max(LEVEL, (n - 1).bit_length()), Q * n // P
-    out = [(level, differing(n, min(most, 1 << level)) + 1)]
+    out = [(level, differing(n, min(most, 1 << level)) + _asked(n))]
     if most > 1 << level:
-        out.append((level + 1, differing(n, most) + 1))
+        out.append((level + 1, differing(n, most) + _asked(n)))
     return out
 
 
@@ -137,19 +148,31 @@ def banded_keys(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarra
             yield which, needs, *part_key_lists(flat[np.repeat(here, sizes)], sizes[which], levels, needs)
 
 
+_WIDTHS = [(w, (1 << 8 * w) - 1) for w in (1, 2, 4)]
+
+
 def _gaps(keys: np.ndarray, bits: int, shard_bits: int) -> list[tuple[int, bytes]]:
-    """(shard, cells) of part keys: the upper ``bits`` of each, ascending, as distances in as few bytes as they need."""
+    """(shard, cells) of part keys: the upper ``bits`` of each, ascending, as distances in numbers of the width that needs least
+    bytes. The greatest number adds to the next one."""
     cell = np.sort(keys >> U(64 - bits)).astype(np.int64)
     shard = cell >> (bits - shard_bits)
     cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(cell)]
     out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         gap = np.diff(cell[a:b], prepend=int(shard[a]) << (bits - shard_bits))
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if gap.max() <= np.iinfo(k).max)
-        out.append((int(shard[a]), bytes([np.dtype(kind).itemsize]) + gap.astype(kind).tobytes()))
+        more, width, most = min(((gap // m, w, m) for w, m in _WIDTHS), key=lambda x: x[1] * (len(gap) + int(x[0].sum())))
+        line = np.full(len(gap) + int(more.sum()), most, f"u{width}")
+        line[np.cumsum(more + 1) - 1] = gap % most
+        out.append((int(shard[a]), bytes([width]) + line.tobytes()))
     return out
 
 
+def _ungapped(cells: bytes) -> np.ndarray:
+    """The cells of a shard, from its first one, of one line of ``_gaps``."""
+    line = np.frombuffer(cells, f"u{cells[0]}", offset=1)
+    return np.cumsum(line.astype(np.int64))[line != np.iinfo(line.dtype).max]
+
+
 def _measure(rows: DataFrame, bits: int, shard_bits: int) -> DataFrame:
     """Rows (row, doc_id, n, node, emits: how many part keys), and the cells of all part keys as (shard, cells)."""
     names = ["row", "doc_id", "n", "node", "emits", "shard", "cells"]
@@ -172,7 +195,7 @@ def _measure(rows: DataFrame, bits: int, shard_bits: int) -> DataFrame:
                 sizes.append(size)
                 nodes.append(set_keys(flat, size))
                 emits.append(emit)
-                if n >= FLUSH:
+                if n >= 2 * FLUSH:  # more at once lie closer together
                     yield told(held)
                     held, n = [], 0
             sizes, nodes, emits = (np.concatenate([np.empty(0, np.int64), *x]) for x in (sizes, nodes, emits))
@@ -191,8 +214,7 @@ def _classes(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
     width, fold = 1 << (bits - shard_bits), max(0, bits - MAP)
 
     def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        cells = [np.cumsum(np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)) for x in df["cells"]]
-        times = np.bincount(np.concatenate(cells), minlength=width)
+        times = np.bincount(np.concatenate([_ungapped(x) for x in df["cells"]]), minlength=width)
         at = np.flatnonzero(times > 1)
         order = np.int64(key[0]) * width + at >> fold
         power = np.frexp(times[at].astype(np.float64))[1] - 1
@@ -207,56 +229,74 @@ def _classes(measured: DataFrame, bits: int, shard_bits: int) -> np.ndarray:
         least -= 1
         left -= counts.get(least, 0)
     out = np.zeros(1 << min(bits, MAP) - 2, np.uint8)
-    for r in found.filter(F.col("power") >= least).select("power", "places").collect():
+    for r in found.filter(F.col("power") >= least).select("power", "places").toLocalIterator():
         # Places that several cells share get the union of their bits, which is no less than the greatest class.
         at = np.frombuffer(r["places"], np.uint32)
         np.bitwise_or.at(out, at >> 2, np.uint8(min(3, 1 + (r["power"] - least) // 3)) << (at & 3).astype(np.uint8) * np.uint8(2))
     return out
 
 
-def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (member, leader) of nodes that share a key, the leader being the smallest; keys and nodes sorted by (key, node)."""
-    if not len(key):
-        return node, node
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    leader = np.repeat(node[cut], np.diff(np.r_[cut, len(key)]))
-    own = node != leader
-    pairs = np.unique(np.stack([node[own], leader[own]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+def _sharing(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of its key, number of nodes with its key, place among them) of every entry; keys sorted."""
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.r_[cut, len(key)])
+    lead = np.repeat(cut, size)
+    return lead, np.repeat(size, size), np.arange(len(key)) - lead
+
+
+def _star(node: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct (member, leader) of nodes that share a key with more than a few, the leader being the smallest."""
+    own = (size > FEW) & (lead != np.arange(len(node)))
+    return np.unique(np.stack([node[own], node[lead[own]]], 1), axis=0)
+
+
+def _pairs(key: np.ndarray, node: np.ndarray, asked: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(smaller, greater, how many keys, how many are asked) of pairs of nodes that share a key with a few only."""
+    few = size <= FEW
+    key, node, asked = key[few], node[few], asked[few]
+    a, b = zip(*[(at, at + k) for k in range(1, FEW) for at in [np.flatnonzero(key[k:] == key[:-k])]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    by = np.lexsort((node[b], node[a]))
+    a, b = a[by], b[by]
+    cut = np.flatnonzero(np.r_[True, (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])]) if len(a) else np.empty(0, np.int64)
+    times = np.diff(np.r_[cut, len(a)])
+    a, b = a[cut], b[cut]
+    return np.stack([node[a], node[b], times, np.minimum(asked[a], asked[b])], 1)
 
 
 def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between nodes such that nodes with a common prefix key are connected. They are staged, which ends the use
-    of the map."""
+    """Edges (a, b) between nodes such that nodes with as many common prefix keys as are asked of them are connected. They
+    are staged, which ends the use of the map."""
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
-    blob = "bucket long, nodes binary, sizes binary, keys binary, edges binary"
+    blob = "bucket long, nodes binary, asked binary, sizes binary, keys binary, edges binary"
 
-    def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        """Nodes of one task that share a key are joined here; only their leader goes on under that key."""
+    def flush(keys: list, nodes: list, asked: list) -> Iterator[pa.RecordBatch]:
+        """Nodes of one task that share a key with more than a few are joined here; only as many go on under that key as make
+        it one of more than a few."""
         sizes = np.array([len(k) for k in keys])
-        key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), sizes)
+        key, node, ask = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(np.array(asked, np.uint8), sizes)
         by = np.lexsort((node, key))
-        key, node = key[by], node[by]
-        a, b = _star(key, node)
-        lead = np.r_[True, key[1:] != key[:-1]]
-        key, node = key[lead], node[lead]
+        key, node, ask = key[by], node[by], ask[by]
+        lead, size, place = _sharing(key)
+        edges, on = _star(node, lead, size), place <= FEW
+        key, node, ask = key[on], node[on], ask[on]
         bucket = ((key >> U(40)) % U(buckets)).astype(np.int64)
         by = np.lexsort((node, bucket))
-        key, node, bucket = key[by], node[by], bucket[by]
+        key, node, ask, bucket = key[by], node[by], ask[by], bucket[by]
         cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
         out = []
         for low, high in zip(cut[:-1], cut[1:]):
-            own, n = np.unique(node[low:high], return_counts=True)
+            own, first, n = np.unique(node[low:high], return_index=True, return_counts=True)
             low40 = key[low:high]
             packed = (low40 & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (low40 >> U(32)).astype(np.uint8).tobytes()
-            out.append((int(bucket[low]), own.tobytes(), n.astype(np.uint32).tobytes(), packed, b""))
-        for i, at in enumerate(range(0, len(a), 100_000)):
-            out.append((i % buckets, b"", b"", b"", np.stack([a[at:at + 100_000], b[at:at + 100_000]], 1).tobytes()))
-        kinds = [pa.int64()] + [pa.binary()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "nodes", "sizes", "keys", "edges"])
+            out.append((int(bucket[low]), own.tobytes(), ask[low:high][first].tobytes(), n.astype(np.min_scalar_type(n.max())).tobytes(), packed, b""))
+        for i, at in enumerate(range(0, len(edges), 100_000)):
+            out.append((i % buckets, b"", b"", b"", b"", edges[at:at + 100_000].tobytes()))
+        kinds = [pa.int64()] + [pa.binary()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "nodes", "asked", "sizes", "keys", "edges"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, seen, keys, nodes, held = shared.value, set(), [], [], 0
+        repeated, seen, keys, nodes, asked, held = shared.value, set(), [], [], [], 0
         for batch in batches:
             for _, flat, sizes in shingle_portions(batch.column("text")):
                 ids, fresh = set_keys(flat, sizes), np.zeros(len(sizes), bool)
@@ -265,6 +305,7 @@ def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int)
                         seen.add(node)
                         fresh[i] = True
                 flat, sizes, ids = flat[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
+                least = [_asked(n) for n in sizes.tolist()]
                 for which, needs, every, counts in banded_keys(flat, sizes):
                     cell = (every >> U(64 - min(bits, MAP))).astype(np.int64)
                     often = repeated[cell >> 2] >> (cell & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
@@ -272,34 +313,41 @@ def _candidates(rows: DataFrame, repeated: np.ndarray, bits: int, buckets: int)
                     for own, order, need in zip(_split(every, counts), _split(rank, counts), needs.tolist()):
                         keys.append(own[np.argpartition(order, need - 1)[:need]] if len(own) > need else own)
                     nodes += ids[which].tolist()
+                    asked += [least[i] for i in which.tolist()]
                     held += int(np.minimum(counts, needs).sum())
                 if held >= FLUSH:
-                    yield from flush(keys, nodes)
-                    seen, keys, nodes, held = set(), [], [], 0
+                    yield from flush(keys, nodes, asked)
+                    seen, keys, nodes, asked, held = set(), [], [], [], 0
         if keys:
-            yield from flush(keys, nodes)
+            yield from flush(keys, nodes, asked)
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
-        keys, nodes, edges = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
-        for own, sizes, packed, pairs in zip(df["nodes"], df["sizes"], df["keys"], df["edges"]):
-            n = len(packed) // 5
+        keys, nodes, asks, edges = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)], [np.empty((0, 2), np.int64)]
+        for own, asked, sizes, packed, pairs in zip(df["nodes"], df["asked"], df["sizes"], df["keys"], df["edges"]):
+            n, times = len(packed) // 5, np.frombuffer(sizes, f"u{len(sizes) // len(asked)}" if asked else np.uint8)
             keys.append(np.frombuffer(packed, np.uint32, n).astype(U) | np.frombuffer(packed, np.uint8, n, 4 * n).astype(U) << U(32))
-            nodes.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(sizes, np.uint32)))
+            nodes.append(np.repeat(np.frombuffer(own, np.int64), times))
+            asks.append(np.repeat(np.frombuffer(asked, np.uint8), times))
             edges.append(np.frombuffer(pairs, np.int64).reshape(-1, 2))
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+        key, node, ask = np.concatenate(keys), np.concatenate(nodes), np.concatenate(asks)
         by = np.argsort(key)
-        key, node = key[by], node[by]
+        key, node, ask = key[by], node[by], ask[by]
         same = np.r_[False, key[1:] == key[:-1]] if len(key) else np.empty(0, bool)
         same[:-1] |= same[1:]
-        key, node = key[same], node[same]
+        key, node, ask = key[same], node[same], ask[same]
         by = np.lexsort((node, key))
-        a, b = _star(key[by], node[by])
-        every = np.concatenate([*edges, np.stack([a, b], 1)])
-        return pd.DataFrame(np.unique(every, axis=0), columns=["a", "b"])
-
-    edges = stage_table(rows.select("text").mapInArrow(emit, blob).groupBy("bucket").applyInPandas(join, "a long, b long"), "edges")
+        key, node, ask = key[by], node[by], ask[by]
+        # Copies of a set come from several tasks.
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+        key, node, ask = key[once], node[once], ask[once]
+        lead, size, _ = _sharing(key)
+        star = np.unique(np.concatenate([*edges, _star(node, lead, size)]), axis=0)
+        star = np.concatenate([star, np.zeros_like(star)], 1)
+        return pd.DataFrame(np.concatenate([star, _pairs(key, node, ask.astype(np.int64), size)]), columns=["a", "b", "times", "asked"])
+
+    edges = stage_table(rows.select("text").mapInArrow(emit, blob).groupBy("bucket").applyInPandas(join, "a long, b long, times long, asked long"), "edges")
     shared.destroy()
-    return edges
+    return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("times").alias("times"), F.min("asked").alias("asked")).filter("times >= asked").select("a", "b")
 
 
 class _Forest:
