@@ -106,3 +106,16 @@ def test_a_tab_in_an_indexed_text_stays(spark, tmp_path):
         (tmp_path / name).write_text(f"1\t{name}\tmore\n")
     row = text.read_indexed(spark, *(str(tmp_path / n) for n in ("output", "gold", "src"))).first()
     assert (row.idx, row.src, row.output, row.gold) == (1, "src\tmore", "output\tmore", "gold\tmore")
+
+
+def test_written_predictions_are_compressed_and_read_alike(spark, tmp_path):
+    """The Parquet table and all six text tables together take less room than the texts once, and hold every row."""
+    said = [" ".join(f"{chr(97 + (i * k) % 26)}on" for k in range(300)) for i in range(200)]
+    rows = [(i, f" {x}\n", f"{x} ti\tle\nend ", str(i)) for i, x in enumerate(said)] + [(200, None, "only", "200"), (201, "", "", "201")]
+    folder = tmp_path / "predictions"
+    text.write_predictions(spark.createDataFrame(rows, "idx long, output string, gold string, src string"), str(folder))
+    assert sum(f.stat().st_size for f in folder.rglob("part-*")) < sum(len(x) for x in said)
+    got = {tuple(r) for r in text.read_indexed(spark, *(f"{folder}/{n}" for n in ("output", "gold", "src"))).select("idx", "src", "output", "gold").collect()}
+    assert got == {(i, str(i), x, f"{x} ti\tle end") for i, x in enumerate(said)} | {(200, "200", None, "only"), (201, "201", "", "")}
+    assert sorted(r.value for r in spark.read.text(f"{folder}/output.noidx").collect()) == sorted([*said, "", ""])
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/table").collect()} == set(rows)
