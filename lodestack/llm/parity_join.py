@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import hashing as H
-from lodestack.llm.common import components, small_or_shuffled
+from lodestack.llm.common import components, only_known, small_or_shuffled
 from lodestack.llm.spans import keyed, packed, with_ranges
 from lodestack.session import stage_table
 
@@ -442,7 +442,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(1, members.agg(blocks).first()[0] or 0)
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "i", "j"))
     placed = placed.select("row", "root", "node", "i", "j", (F.col("block") == F.col("i")).alias("half"), task.alias("task"))
-    links = _verified(with_ranges(rows.select("row", "text"), placed, "inner"))
+    # Where the places are too many to be sent to all, only texts of candidates are shuffled.
+    texts = only_known(rows.select("row", "text"), members.select("row"), "row", exact=False)
+    links = _verified(with_ranges(texts, placed, "inner"))
     roots = components(links).select(F.col("id").alias("node"), "root")
     joined = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

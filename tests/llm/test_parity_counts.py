@@ -71,3 +71,19 @@ def test_cells_are_told_by_distances_of_any_size():
         width = 1 << bits - 4
         cells = np.concatenate([s * width + parity_join._ungapped(line) for s, line in parity_join._gaps(keys, bits, 4)])
         assert np.array_equal(np.sort(cells), np.sort(keys >> np.uint64(64 - bits)).astype(np.int64))
+
+
+def test_only_texts_of_candidates_are_looked_up(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(60)]
+    texts += [t + " end" for t in texts[:5]] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, join = [], parity_join.with_ranges
+
+    def counted(rows, ranges, how):
+        asked.append(rows.count())
+        return join(rows, ranges, how)
+
+    monkeypatch.setattr(parity_join, "with_ranges", counted)
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(frame).collect()}
+    assert got == {i: i - 60 if 60 <= i < 65 else i for i in range(67)}
+    assert asked == [10]
